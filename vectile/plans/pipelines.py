@@ -13,7 +13,7 @@ from vectile.operators.catalog import Catalog
 from vectile.operators.evaluation import confusion, recall
 from vectile.operators.search import SearchLimits, search
 from vectile.operators.tree import Tree, TreeParams, build_tree
-from vectile.operators.workload import atom_list, characterize, explode_atomics
+from vectile.operators.workload import Uniform, atom_list, characterize, explode_atomics
 
 
 def plan_layout(base: DataFrame, workload: DataFrame, attrs: Sequence[str], params: TreeParams = TreeParams()) -> Tree:
@@ -32,10 +32,12 @@ def pruned_search(
     return search(base, queries, k, catalog.attrs, catalog.routes(queries), limits)
 
 
-def fixed_selectivity_queries(queries: DataFrame, attrs: Sequence[str], attr: str, maximum: int, share: float, filtered: float, seed: int = 584) -> DataFrame:
+def fixed_selectivity_queries(
+    queries: DataFrame, attrs: Sequence[str], attr: str, maximum: int, share: float, filtered: float, uniform: Uniform = hash_uniform
+) -> DataFrame:
     """Queries of which a fraction ``filtered`` gets ``not(attr >= int(maximum * share) + 1)``."""
     limit = dnf_literal(negate(at_least(attr, int(maximum * share) + 1)), attrs)
-    used = hash_uniform(F.col("qid"), 0, seed) <= F.lit(filtered)
+    used = uniform(F.col("qid"), 0) <= F.lit(filtered)
     return queries.withColumn("filter_used", used).withColumn("dnf", F.when(F.col("filter_used"), limit))
 
 
