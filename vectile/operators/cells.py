@@ -15,6 +15,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vectile.operators.search import SearchLimits, matrix, search
 from vectile.session import ship_by_value
@@ -68,7 +69,7 @@ def with_codes(df: DataFrame, planes: np.ndarray, probes: int = 1) -> DataFrame:
 
 
 def _map_vectors(df: DataFrame, step) -> DataFrame:
-    schema = df.schema.add("cells", "array<string>")
+    schema = T.StructType([*df.schema.fields, T.StructField("cells", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
