@@ -42,5 +42,5 @@ def load_dataset(spark: SparkSession, directory: str, kind: str, n: int | None =
 
 def describe(vectors: DataFrame) -> DataFrame:
     """Row count and dimensions of a vector table; the vectors themselves are only measured."""
-    d = F.size("vector")
+    d = F.size("vector").cast("bigint")
     return vectors.agg(F.count("*").alias("n_vectors"), F.min(d).alias("min_dim"), F.max(d).alias("max_dim"))
