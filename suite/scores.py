@@ -134,7 +134,7 @@ def results_explode(spark, sf):
         *[ordered(c, t).alias(n) for n, (c, t) in names.items()]
     )
     files.write.partitionBy("trial", "schema_id", "workflow_id").json(path)
-    return read_run_arrays(spark, path).drop("pos")
+    return read_run_arrays(spark, path, multi_line=False).drop("pos")
 
 
 DENSITY = f"""ends AS (SELECT min(log10(search_time)) AS a, max(log10(search_time)) AS z FROM runs),

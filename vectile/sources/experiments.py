@@ -54,12 +54,12 @@ def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, trial int, schema_id int, workflow_id int").json(path)
 
 
-def read_run_arrays(spark: SparkSession, path: str) -> DataFrame:
+def read_run_arrays(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Result files that keep parallel arrays per run, as one row per query.
 
-    Runs without filter flags have an empty array for them; those rows get NULL.
+    By default a file is one document, indented or not; otherwise every line is one. Runs without filter flags have an empty array for them; those rows get NULL.
     """
-    arrays = spark.read.schema(f"{RUN_ARRAYS}, trial int, schema_id int, workflow_id int").json(path)
+    arrays = spark.read.schema(f"{RUN_ARRAYS}, trial int, schema_id int, workflow_id int").option("multiLine", multi_line).json(path)
     zipped = F.arrays_zip("search_times", "filter_used", "tp", "fp", "fn")
     rows = arrays.select(*RUN_KEYS, F.posexplode(zipped).alias("pos", "r"))
     return rows.select(
