@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectile.functions.predicates import (
-    DNF_TYPE,
     UNBOUNDED_HI,
     UNBOUNDED_LO,
     Predicate,
@@ -20,17 +20,19 @@ from vectile.functions.predicates import (
     as_column,
     at_least,
     catalog_truth,
-    dnf_truth,
     filter_text,
     negate,
     survives,
 )
+from vectile.session import ship_by_value
 
 UNMATCHED = "__unmatched__"
 #: A catalog is planning data held on the driver and inside plans; this bounds its size.
 MAX_PARTITIONS = 4096
 #: Largest lookup table, in cells, that a routing column carries.
 MAX_LOOKUP_CELLS = 1 << 20
+#: Queries times partitions tested at once.
+PRUNE_CELLS = 1 << 21
 
 Bounds = tuple[int | None, int | None]
 
@@ -169,36 +171,45 @@ class Catalog:
     def prune_names(self, spark: SparkSession, predicate: Predicate | None) -> list[str]:
         return [r.part for r in self.prune(spark, predicate).select("part").collect()]
 
-    def surviving(self, dnf: Column) -> Column:
-        """Positions of the partitions that a filter carried by the row does not rule out.
+    def with_parts(self, queries: DataFrame, dnf: str = "dnf") -> DataFrame:
+        """Adds ``parts``, the names of the partitions a query has to read. A map over the queries, without shuffle or join.
 
-        The catalog is bounded and sits in the plan as a constant, so this needs no join.
+        "Holds or may hold" passes through AND and OR, so one comparison per literal and partition
+        decides: the upper bound for a plain threshold, the lower bound for a negated one.
         """
-        kept = F.filter(
-            catalog_literal(self._all_boxes()),
-            lambda box: survives(dnf_truth(dnf, box["lo"], box["hi"])),
-        )
-        return F.transform(kept, lambda box: box["pos"])
+        boxes = self._all_boxes()
+        lo, hi = (np.array([getattr(b, side) for b in boxes], dtype=np.int64).T for side in ("lo", "hi"))
+        names = pa.array([b.name for b in boxes])
+        step = max(1, PRUNE_CELLS // len(boxes))
+
+        def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for start in range(0, whole.num_rows, step):
+                    batch = whole.slice(start, step)
+                    forms = batch.column(dnf)
+                    literals = forms.flatten().flatten()
+                    attr, neg, value = (literals.field(n).to_numpy(zero_copy_only=False) for n in ("attr", "neg", "value"))
+                    may = np.where(neg[:, None], lo[attr] < value[:, None], hi[attr] >= value[:, None])
+                    clause = _per_list(~may, forms.flatten()) == 0
+                    kept = _per_list(clause, forms) > 0
+                    kept[forms.is_null().to_numpy(zero_copy_only=False)] = True  # no filter at all
+                    ends = np.concatenate([[0], np.cumsum(kept.sum(axis=1))]).astype(np.int32)
+                    parts = pa.ListArray.from_arrays(pa.array(ends), names.take(pa.array(np.nonzero(kept)[1])))
+                    yield pa.RecordBatch.from_arrays([*batch.columns, parts], [*batch.schema.names, "parts"])
+
+        schema = T.StructType([*queries.schema.fields, T.StructField("parts", T.ArrayType(T.StringType()))])
+        return queries.mapInArrow(prune, schema)
 
     def routes(self, queries: DataFrame, qid: str = "qid", dnf: str = "dnf") -> DataFrame:
-        """(qid, part) for every partition a query has to read.
+        """(qid, part) for every partition a query has to read."""
+        return self.with_parts(queries.select(qid, dnf), dnf).select(qid, F.explode("parts").alias("part"))
 
-        A workload repeats few distinct filters, so each distinct one is tested once.
-        """
-        filters = F.coalesce(F.col(dnf), literal_array([[]], DNF_TYPE))  # no filter at all: always true
-        key = F.to_json(filters)
-        distinct = (
-            queries.groupBy(key.alias("filter_key"))
-            .agg(F.any_value(filters).alias(dnf))
-            .select("filter_key", self.surviving(F.col(dnf)).alias("kept"))
-        )
-        names = literal_array(self.names, "array<string>")
-        return (
-            queries.select(qid, key.alias("filter_key"))
-            .join(distinct, "filter_key")
-            .select(qid, F.explode("kept").alias("pos"))
-            .select(qid, F.get(names, F.col("pos")).alias("part"))
-        )
+
+def _per_list(mask: np.ndarray, lists: pa.ListArray) -> np.ndarray:
+    """How many of a list's elements are set, per list and column; empty lists count 0."""
+    running = np.concatenate([np.zeros((1, mask.shape[1]), np.int32), np.cumsum(mask, axis=0, dtype=np.int32)])
+    ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    return running[ends[1:]] - running[ends[:-1]]
 
 
 def literal_array(values: Sequence, ddl: str) -> Column:
@@ -258,3 +269,6 @@ def selectivity(df: DataFrame, predicates: Mapping[str, Predicate]) -> DataFrame
         *[c for name, p in predicates.items() for c in (F.lit(name), F.avg(F.coalesce(as_column(p), F.lit(False)).cast("int")))]
     )
     return df.agg(passing.alias("m")).select(F.explode("m").alias("predicate", "selectivity"))
+
+
+ship_by_value(__name__)

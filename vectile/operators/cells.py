@@ -84,8 +84,7 @@ def _map_vectors(df: DataFrame, step) -> DataFrame:
 def search_cells(base: DataFrame, probed: DataFrame, k: int, attrs=(), limits: SearchLimits = SearchLimits()) -> DataFrame:
     """Search with ``base`` assigned to its first cell and ``probed`` queries reading all of theirs."""
     stored = base.withColumn("part", F.get("cells", F.lit(0))).drop("cells")
-    routes = probed.select("qid", F.explode("cells").alias("part"))
-    return search(stored, probed, k, attrs, routes, limits)
+    return search(stored, probed.withColumnRenamed("cells", "parts"), k, attrs, limits)
 
 
 def knn_ivf(base: DataFrame, queries: DataFrame, k: int, attrs=(), n_cells: int = N_CELLS, n_probe: int = N_PROBE, seed: int = 584) -> DataFrame:

@@ -57,40 +57,32 @@ def search(
     queries: DataFrame,
     k: int,
     attrs: Sequence[str] = (),
-    routes: DataFrame | None = None,
     limits: SearchLimits = SearchLimits(),
 ) -> DataFrame:
     """(qid, id, dist, rank) with the k nearest base rows of every query that pass its filter.
 
-    ``base`` has id, vector, the ``attrs`` and, with ``routes``, part. ``queries`` has qid, vector and
-    optionally dnf. ``routes`` (qid, part) limits a query to some partitions; it has to keep every
-    partition that can hold a match. A query batch that fits the limits is broadcast and the base is
-    not shuffled at all; any other batch is joined block by block.
+    ``base`` has id, vector and the ``attrs``. ``queries`` has qid, vector and optionally dnf, the filter.
+    With an array column ``parts`` a query reads only those values of the base column ``part``; they have
+    to include every partition that can hold a match. A query batch that fits the limits is broadcast
+    and the base is not shuffled at all; any other batch is joined block by block.
     """
+    routed = "parts" in queries.columns
     if "dnf" not in queries.columns:
         queries = queries.withColumn("dnf", F.lit(None).cast(DNF_TYPE))
-    queries = queries.select("qid", "vector", "dnf")
+    queries = queries.select("qid", "vector", "dnf", *(["parts"] if routed else []))
     base = base.select(
         "id",
         "vector",
         F.array(*[F.col(a).cast("int") for a in attrs]).cast("array<int>").alias("values"),
-        *(["part"] if routes is not None else []),
+        *(["part"] if routed else []),
     )
-    packed = queries
-    if routes is not None:
-        targets = routes.groupBy("qid").agg(F.collect_set("part").alias("parts"))
-        packed = queries.join(targets, "qid")  # a query without any partition has no result
-    size = packed.agg(
-        F.count("*").alias("n"),
-        F.sum(4 * F.size("vector") + 16 * F.coalesce(F.size(F.flatten("dnf")), F.lit(0)) + 64).alias("bytes"),
-        *([F.sum(8 * F.size("parts")).alias("parts")] if routes is not None else []),
-    ).first()
-    held = (size["bytes"] or 0) + (size["n"] * k * 32) + (size["parts"] or 0 if routes is not None else 0)
+    per_query = 64 + 32 * k + 4 * F.size("vector") + 16 * F.coalesce(F.size(F.flatten("dnf")), F.lit(0))
+    if routed:
+        per_query = per_query + 24 * F.size("parts")
+    held = queries.agg(F.sum(per_query.cast("bigint"))).first()[0] or 0
     if held <= limits.broadcast_bytes:
-        local = _broadcast_search(base, packed, k)
-    else:
-        local = _block_search(base, queries, routes, k, limits)
-    return rank(local, k)
+        return rank(_broadcast_search(base, queries, k), k)
+    return rank(_block_search(base, queries, k, limits), k)
 
 
 def rank(candidates: DataFrame, k: int) -> DataFrame:
@@ -102,9 +94,9 @@ def rank(candidates: DataFrame, k: int) -> DataFrame:
 # -- query batch within the limits: broadcast it, scan the base in place -------------------------
 
 
-def _broadcast_search(base: DataFrame, packed: DataFrame, k: int) -> DataFrame:
+def _broadcast_search(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     spark = base.sparkSession
-    table = packed.toArrow()  # size checked by the caller
+    table = queries.toArrow()  # size checked by the caller
     if "parts" in table.column_names:
         names = pc.unique(table.column("parts").combine_chunks().flatten()).to_pylist()
         if len(names) <= MAX_PARTITIONS:  # a constant list prunes directories before anything is read
@@ -125,18 +117,20 @@ def _broadcast_search(base: DataFrame, packed: DataFrame, k: int) -> DataFrame:
 # -- any number of queries: groups of one base block and one query block -------------------------
 
 
-def _block_search(base, queries, routes, k, limits) -> DataFrame:
+def _block_search(base: DataFrame, queries: DataFrame, k: int, limits: SearchLimits) -> DataFrame:
     """Base rows go to (part, salt, query block), queries to every block of the parts they read.
 
     A large partition is cut into as many salts as its row count asks for, so no group grows with
     the data, however the partitions are skewed.
     """
-    if routes is None:
+    if "parts" in queries.columns:
+        asked = queries.withColumn("part", F.explode("parts")).drop("parts")
+    else:
         base = base.withColumn("part", F.lit("all"))
-        routes = queries.select("qid", F.lit("all").alias("part"))
+        asked = queries.withColumn("part", F.lit("all"))
     blocks = base.groupBy("part").agg(F.ceil(F.count("*") / limits.block_rows).cast("int").alias("n_base"))
     block_queries = max(1, min(limits.block_queries, limits.broadcast_bytes // (32 * k)))
-    shares = routes.groupBy("part").agg(F.ceil(F.count("*") / block_queries).cast("int").alias("n_query"))
+    shares = asked.groupBy("part").agg(F.ceil(F.count("*") / block_queries).cast("int").alias("n_query"))
     plan = blocks.join(shares, "part")  # parts without data or without queries drop out here
     listed = plan.limit(limits.max_listed_parts + 1).collect()
     if len(listed) <= limits.max_listed_parts:  # else a plain join, with AQE's skew handling
@@ -150,8 +144,7 @@ def _block_search(base, queries, routes, k, limits) -> DataFrame:
         .drop("n_base", "n_query")
     )
     right = (
-        routes.join(plan, "part")
-        .join(queries, "qid")
+        asked.join(plan, "part")
         .withColumn("query_block", salt("qid", "n_query"))
         .withColumn("base_block", upto("n_base"))
         .drop("n_base", "n_query")

@@ -29,7 +29,7 @@ def pruned_search(
 
     ``base`` carries ``part``; the result equals the unpruned search.
     """
-    return search(base, queries, k, catalog.attrs, catalog.routes(queries), limits)
+    return search(base, catalog.with_parts(queries), k, catalog.attrs, limits)
 
 
 def fixed_selectivity_queries(
