@@ -63,6 +63,9 @@ def test_buckets_and_mod(spark):
     df = spark.createDataFrame([(v,) for v in range(12)], "v int")
     assert [r[0] for r in df.select(bucket_of(F.col("v"), [2, 5, 9])).collect()] == [sum(v >= c for c in (2, 5, 9)) for v in range(12)]
     assert [r[0] for r in df.select(bucket_of(F.col("v"), [])).collect()] == [0] * 12
+    for cuts in ([0], [2, 5, 9], [1, 2, 3, 4, 5, 6, 7, 8], list(range(3, 11))):
+        want = [sum(v >= c for c in cuts) for v in range(12)]
+        assert [r[0] for r in df.select(bucket_of(F.col("v"), cuts, max_case=0)).collect()] == want
     assert df.select(mod_partition(F.col("v"), 3)).distinct().count() == 3
 
 

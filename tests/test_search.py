@@ -156,6 +156,16 @@ def test_cell_search_with_small_blocks(spark, sf):
         cells.check_model(np.zeros((1 << 20, 64), np.float32))
 
 
+def test_folder_names_that_look_like_numbers(spark, copies, tmp_path):
+    df, vectors, ids, a, b, queries = copies
+    path = str(tmp_path / "numbered")
+    df.withColumn("part", (F.col("a") % 3).cast("string")).write.partitionBy("part").parquet(path)
+    asked = query_frame(spark, queries).withColumn("parts", F.array(F.lit("0"), F.lit("2")))
+    for limits in (SearchLimits(), TINY):
+        got = lists(search(spark.read.parquet(path), asked, 5, limits=limits), len(queries))
+        same(got, brute(vectors, ids, queries, 5, [a % 3 != 1] * len(queries)))
+
+
 def test_truth_lists(spark):
     truth = spark.createDataFrame([(0, [3, 1, 2]), (1, [2, 3]), (2, [1])], "qid bigint, neighbours array<int>")
     rows = spark.createDataFrame([(i, [0.0], 10 * i, 0) for i in range(1, 4)], BASE_TYPE)

@@ -28,7 +28,7 @@ from vectile.session import ship_by_value
 
 UNMATCHED = "__unmatched__"
 #: A catalog is planning data held on the driver and inside plans; this bounds its size.
-MAX_PARTITIONS = 4096
+MAX_PARTITIONS = 16_384
 #: Largest lookup table, in cells, that a routing column carries.
 MAX_LOOKUP_CELLS = 1 << 20
 #: Queries times partitions tested at once.
@@ -222,8 +222,8 @@ def catalog_literal(boxes: Sequence[Box]) -> Column:
     return F.from_json(F.lit(json.dumps(rows)), "array<struct<pos:int,lo:array<int>,hi:array<int>>>")
 
 
-def bucket_of(value: Column, cuts: Sequence[int]) -> Column:
-    """Number of cuts at or below the value, as a balanced CASE of depth log2(len(cuts))."""
+def bucket_of(value: Column, cuts: Sequence[int], max_case: int = 256) -> Column:
+    """Number of cuts at or below the value: a balanced CASE, or a binary search over a constant array for many cuts."""
 
     def build(first: int, last: int) -> Column:
         if first == last:
@@ -231,7 +231,13 @@ def bucket_of(value: Column, cuts: Sequence[int]) -> Column:
         mid = (first + last) // 2
         return F.when(value >= F.lit(cuts[mid]), build(mid + 1, last)).otherwise(build(first, mid))
 
-    return build(0, len(cuts))
+    n = len(cuts)
+    if n <= max_case:
+        return build(0, n)
+    table = literal_array(cuts, "array<bigint>")
+    steps = literal_array([1 << i for i in reversed(range(n.bit_length()))], "array<int>")
+    fits = lambda at: (at <= n) & (F.get(table, at - 1) <= value)
+    return F.reduce(steps, F.lit(0), lambda at, step: F.when(fits(at + step), at + step).otherwise(at))
 
 
 def mod_partition(key: Column, n: int) -> Column:

@@ -74,7 +74,7 @@ def search(
         "id",
         "vector",
         F.array(*[F.col(a).cast("int") for a in attrs]).cast("array<int>").alias("values"),
-        *(["part"] if routed else []),
+        *([F.col("part").cast("string").alias("part")] if routed else []),  # folder names may read back as numbers
     )
     per_query = 64 + 32 * k + 4 * F.size("vector") + 16 * F.coalesce(F.size(F.flatten("dnf")), F.lit(0))
     if routed:
@@ -187,8 +187,9 @@ class QueryBlock:
     def __init__(self, table: pa.Table, k: int):
         self.k, self.n = k, table.num_rows
         self.qid = table.column("qid").to_numpy()
-        self.vec = matrix(table.column("vector"))
-        self.norm = np.einsum("ij,ij->i", self.vec, self.vec, dtype=np.float64)
+        self.vec = matrix(table.column("vector")).astype(np.float64)
+        self.norm = np.einsum("ij,ij->i", self.vec, self.vec)
+        self.twice = np.column_stack([2 * self.vec, np.ones(self.n)]).astype(np.float32)
         self.dist = np.full((self.n, k), np.inf)
         self.ids = np.full((self.n, k), np.iinfo(np.int64).max)
         self.bound = np.full(self.n, np.inf)  # distance of the k-th best so far
@@ -200,7 +201,6 @@ class QueryBlock:
         where = {f: i for i, f in enumerate(self.filters)}
         self.filter_of = np.array([where[f] for f in keyed], dtype=np.int64)
         self.readers = self._readers(table) if "parts" in table.column_names else None
-        self.seen = 0
 
     @staticmethod
     def _readers(table: pa.Table) -> dict[str, np.ndarray]:
@@ -226,56 +226,65 @@ class QueryBlock:
             ]
         for asked, rows in groups:
             start = 0
-            while start < len(rows):  # short tiles first, until the k-th distances bound the candidates
-                tile = rows[start : start + max(256, min(self.k + self.seen, 4096))]
+            while start < len(rows):
+                tile = rows[start : start + 4096]
                 self._tile(asked, ids[tile], vectors[tile], values[tile])
                 start += len(tile)
-                self.seen += len(tile)
 
     def _tile(self, asked, ids, vectors, values) -> None:
-        norms = np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64)
+        exact = vectors.astype(np.float64)
+        norms = np.einsum("ij,ij->i", exact, exact)
+        # one product gives 2 q.r - |r|^2, so a row is close enough where that reaches |q|^2 - bound
+        rows32 = np.column_stack([vectors, -norms]).astype(np.float32)
         used, group = np.unique(self.filter_of[asked], return_inverse=True)
-        masks = np.array([self._passing(self.filters[f], values) for f in used])
+        masks = self._masks(used, values)
         n_group, n_rows = np.bincount(group), masks.sum(axis=1)
         overhead = 20_000  # pairs a matrix product handles in the time one more call costs
         if np.sum(n_group * n_rows + overhead) < len(asked) * len(ids):
-            work = [(asked[group == g], np.flatnonzero(masks[g]), None) for g in range(len(used)) if n_rows[g]]
+            work = [(asked[group == g], np.flatnonzero(masks[g]), None, None) for g in range(len(used)) if n_rows[g]]
         else:
-            work = [(asked, np.arange(len(ids)), masks[group])]
-        for queries, rows, mask in work:
+            work = [(asked, np.arange(len(ids)), masks[group], n_rows[group])]
+        for queries, rows, mask, matches in work:
+            block = rows32[rows].T
+            longest = norms[rows].max()
             for s in range(0, len(queries), 1024):
                 q = queries[s : s + 1024]
+                near = self.twice[q] @ block
+                passing = None if mask is None else mask[s : s + 1024]
                 bound = self.bound[q]
-                scale = self.norm[q] + norms[rows].max() + np.where(np.isfinite(bound), bound, 0.0)
+                scale = self.norm[q] + longest + np.where(np.isfinite(bound), bound, 0.0)
                 slack = scale * (vectors.shape[1] + 8) * 2.0**-22  # several times the rounding error
-                # |q - r|^2 <= bound, rearranged around the product
-                near = self.vec[q] @ vectors[rows].T
-                near *= 2
-                near -= (self.norm[q] - bound - slack).astype(np.float32)[:, None]
-                keep = near >= norms[rows].astype(np.float32)
-                if mask is not None:
-                    keep &= mask[s : s + 1024]
-                hit_q, hit_r = np.nonzero(keep)
-                self._measure(q[hit_q], rows[hit_r], ids, vectors)
-        if sum(len(f[0]) for f in self.found) >= max(50_000, self.n * self.k):
+                limit = np.maximum(self.norm[q] - bound - slack, -np.finfo(np.float32).max)
+                # without a bound yet, the k-th best of a tile with plenty of matches is one
+                plenty = (len(rows) if matches is None else matches[s : s + 1024]) > 2 * self.k
+                first = np.flatnonzero(np.isinf(bound) & plenty)
+                if len(first):
+                    seen = near[first] if passing is None else np.where(passing[first], near[first], -np.inf)
+                    kth = np.partition(seen, len(rows) - self.k, axis=1)[:, len(rows) - self.k]
+                    limit[first] = np.maximum(limit[first], kth - 2 * slack[first])
+                hit = near >= limit.astype(np.float32)[:, None]
+                if passing is not None:
+                    hit &= passing
+                hit_q, hit_r = np.divmod(np.flatnonzero(hit), len(rows))
+                self._measure(q[hit_q], rows[hit_r], ids, exact)
+        if sum(len(f[0]) for f in self.found) >= max(50_000, self.n * self.k // 2):
             self._merge()
 
-    @staticmethod
-    def _passing(dnf, values) -> np.ndarray:
-        if dnf is None:
-            return np.ones(len(values), bool)
-        passing = np.zeros(len(values), bool)
-        for clause in dnf:
-            hold = np.ones(len(values), bool)
-            for attr, neg, value in clause:
-                hold &= (values[:, attr] >= value) != neg
-            passing |= hold
-        return passing
-
-    def _measure(self, q, r, ids, vectors) -> None:
-        for s in range(0, len(q), 65_536):
-            part_q, part_r = q[s : s + 65_536], r[s : s + 65_536]
-            diff = vectors[part_r].astype(np.float64) - self.vec[part_q]
+    def _masks(self, used, values) -> np.ndarray:
+        """Which rows pass each of the filters; every distinct literal is tested once per tile."""
+        tested = {l: (values[:, l[0]] >= l[2]) != l[1] for f in used for clause in self.filters[f] or () for l in clause}
+        masks = np.empty((len(used), len(values)), bool)
+        for i, f in enumerate(used):
+            dnf = self.filters[f]
+            hold = [np.logical_and.reduce([tested[l] for l in c]) if len(c) > 1 else tested[c[0]] if c else True for c in dnf or ()]
+            masks[i] = True if dnf is None else np.logical_or.reduce(hold) if len(hold) > 1 else hold[0] if hold else False
+        return masks
+
+    def _measure(self, q, r, ids, exact) -> None:
+        for s in range(0, len(q), 4_096):
+            part_q, part_r = q[s : s + 4_096], r[s : s + 4_096]
+            diff = exact.take(part_r, axis=0)
+            diff -= self.vec.take(part_q, axis=0)
             dist = np.einsum("ij,ij->i", diff, diff)
             close = dist <= self.bound[part_q]
             self.found.append((part_q[close], dist[close], ids[part_r[close]]))

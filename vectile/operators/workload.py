@@ -127,9 +127,13 @@ def characterize(atoms: DataFrame, qid: str = "qid") -> DataFrame:
     )
 
 
-def atom_list(characterized: DataFrame, limit: int = 100_000) -> list[tuple[str, int, int]]:
-    """The ordered list for ``build_tree``; distinct thresholds, not queries, so it stays small."""
-    rows = characterized.select("attr", "value", "freq").limit(limit + 1).collect()
+def atom_list(characterized: DataFrame, min_frequency: int = 1, limit: int = 1_000_000) -> list[tuple[str, int, int]]:
+    """The ordered list for ``build_tree``: distinct thresholds, not queries, so it stays small.
+
+    Predicates below ``min_frequency`` can never split a node and stay out of it.
+    """
+    frequent = characterized.filter(F.col("freq") >= min_frequency)
+    rows = frequent.select("attr", "value", "freq").limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"more than {limit} distinct atomic predicates; keep the frequent ones before listing")
+        raise ValueError(f"more than {limit} distinct predicates occur {min_frequency} times; raise the minimum frequency")
     return [(r.attr, r.value, r.freq) for r in rows]

@@ -18,7 +18,7 @@ from vectile.operators.workload import Uniform, atom_list, characterize, explode
 
 def plan_layout(base: DataFrame, workload: DataFrame, attrs: Sequence[str], params: TreeParams = TreeParams()) -> Tree:
     """The partition tree for the rows of ``base`` and the filters of ``workload``."""
-    atoms = atom_list(characterize(explode_atomics(workload, attrs)))
+    atoms = atom_list(characterize(explode_atomics(workload, attrs)), params.min_predicate_frequency)
     return build_tree(base, attrs, atoms, params)
 
 
