@@ -129,6 +129,21 @@ def test_search_plan_has_no_cross_join_and_one_shuffle(spark, sf):
     assert "embedding" in plan and "label" not in plan  # unused columns are not read
 
 
+def test_shared_filter_and_folders_reach_the_scan(spark, sf, tmp_path):
+    from vectile.sources.collection import read_collection, write_collection
+
+    catalog = Catalog.from_ranges(ATTRS, SIX_BOXES)
+    rows, path = base(spark, sf), str(tmp_path / "c")
+    write_collection(rows, path, ATTRS, catalog)
+    asked = rows.select(F.col("id").alias("qid"), "vector").withColumn("dnf", dnf_literal(EXAMPLE, ATTRS))
+    found = pruned_search(read_collection(spark, path), asked, 5, catalog)
+    plan = plan_of(found)
+    assert "GreaterThanOrEqual(y,200)" in plan and "PartitionFilters: [part#" in plan
+    assert "part_0" not in plan.split("PartitionFilters:")[1].split("]")[0]
+    plain = search(rows, asked, 5, ATTRS)
+    assert found.select("qid", "id").exceptAll(plain.select("qid", "id")).count() == 0 and found.count() == plain.count()
+
+
 def test_inverted_file(spark, sf):
     rows = base(spark, sf)
     queries = rows.select(F.col("id").alias("qid"), "vector").join(filters_of(rows, F.col("id")), "qid")

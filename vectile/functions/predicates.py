@@ -163,6 +163,12 @@ def dnf_literal(p: Predicate, attrs: Sequence[str]) -> Column:
     return F.from_json(F.lit(json.dumps(form)), DNF_TYPE)
 
 
+def dnf_column(form: Sequence[Sequence[tuple[int, bool, int]]], attrs: Sequence[str]) -> Column:
+    """A filter in disjunctive form as a plain column, which reaches the Parquet scan."""
+    literal = lambda a, n, v: negate(at_least(attrs[a], v)) if n else at_least(attrs[a], v)
+    return as_column(any_of(*[all_of(*[literal(*l) for l in clause]) for clause in form]))
+
+
 def _quantify(dnf: Column, literal: Callable[[Column], Column]) -> Column:
     return F.exists(dnf, lambda clause: F.forall(clause, literal))
 

@@ -61,8 +61,7 @@ def time_stats(runs: DataFrame, keys: Sequence[str], time: str = "search_time")
 def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     if keys:
         return left.join(right, list(keys))
-    one = F.lit(1).alias("one")  # both sides are a single row
-    return left.select("*", one).join(right.select("*", one), "one").drop("one")
+    return left.withColumns({c: right.select(c).scalar() for c in right.columns})  # a single row
 
 
 def time_percentiles(runs: DataFrame, keys: Sequence[str], percents: Sequence[float], time: str = "search_time") -> DataFrame:

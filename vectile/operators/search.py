@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vectile.functions.predicates import DNF_TYPE, Predicate, as_column
+from vectile.functions.predicates import DNF_TYPE, Predicate, as_column, dnf_column
 from vectile.functions.vectors import squared_l2
 from vectile.operators.catalog import MAX_PARTITIONS
 from vectile.session import ship_by_value
@@ -70,19 +72,20 @@ def search(
     if "dnf" not in queries.columns:
         queries = queries.withColumn("dnf", F.lit(None).cast(DNF_TYPE))
     queries = queries.select("qid", "vector", "dnf", *(["parts"] if routed else []))
-    base = base.select(
+    columns = [
         "id",
         "vector",
         F.array(*[F.col(a).cast("int") for a in attrs]).cast("array<int>").alias("values"),
         *([F.col("part").cast("string").alias("part")] if routed else []),  # folder names may read back as numbers
-    )
+    ]
     per_query = 64 + 32 * k + 4 * F.size("vector") + 16 * F.coalesce(F.size(F.flatten("dnf")), F.lit(0))
     if routed:
         per_query = per_query + 24 * F.size("parts")
     held = queries.agg(F.sum(per_query.cast("bigint"))).first()[0] or 0
     if held <= limits.broadcast_bytes:
-        return rank(_broadcast_search(base, queries, k), k)
-    return rank(_block_search(base, queries, k, limits), k)
+        table = queries.toArrow()  # its size is known to fit
+        return rank(_broadcast_search(_prefiltered(base, table, attrs).select(*columns), table, k), k)
+    return rank(_block_search(base.select(*columns), queries, k, limits), k)
 
 
 def rank(candidates: DataFrame, k: int) -> DataFrame:
@@ -94,13 +97,20 @@ def rank(candidates: DataFrame, k: int) -> DataFrame:
 # -- query batch within the limits: broadcast it, scan the base in place -------------------------
 
 
-def _broadcast_search(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    spark = base.sparkSession
-    table = queries.toArrow()  # size checked by the caller
+def _prefiltered(base: DataFrame, table: pa.Table, attrs: Sequence[str], most: int = 8) -> DataFrame:
+    """Rows and partitions that some query can use, as conditions that reach the scan."""
     if "parts" in table.column_names:
         names = pc.unique(table.column("parts").combine_chunks().flatten()).to_pylist()
-        if len(names) <= MAX_PARTITIONS:  # a constant list prunes directories before anything is read
+        if len(names) <= MAX_PARTITIONS:  # a constant list prunes folders before anything is read
             base = base.filter(F.col("part").isin(names)) if names else base.filter(F.lit(False))
+    forms = set(filter_forms(table))
+    if len(forms) <= most and None not in forms:
+        base = base.filter(reduce(or_, [dnf_column(form, attrs) for form in forms], F.lit(False)))
+    return base
+
+
+def _broadcast_search(base: DataFrame, table: pa.Table, k: int) -> DataFrame:
+    spark = base.sparkSession
     held = spark.sparkContext.broadcast(table)
     # A task emits k rows per query, so the task count, not the file count, sets the shuffle size.
     scan = base.coalesce(3 * spark.sparkContext.defaultParallelism)
@@ -177,6 +187,12 @@ def matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float32, copy=False)
 
 
+def filter_forms(table: pa.Table) -> list:
+    """The filters of the queries in hashable form; ``None`` is no filter."""
+    literals = lambda clause: tuple((l["attr"], l["neg"], l["value"]) for l in clause)
+    return [None if form is None else tuple(map(literals, form)) for form in table.column("dnf").to_pylist()]
+
+
 class QueryBlock:
     """Running top-k of a block of queries over the base rows of one task.
 
@@ -195,8 +211,7 @@ class QueryBlock:
         self.bound = np.full(self.n, np.inf)  # distance of the k-th best so far
         self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         # queries with the same filter are masked together
-        clauses = table.column("dnf").to_pylist()
-        keyed = [None if c is None else tuple(tuple((l["attr"], l["neg"], l["value"]) for l in x) for x in c) for c in clauses]
+        keyed = filter_forms(table)
         self.filters = list(dict.fromkeys(keyed))
         where = {f: i for i, f in enumerate(self.filters)}
         self.filter_of = np.array([where[f] for f in keyed], dtype=np.int64)
