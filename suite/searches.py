@@ -13,7 +13,9 @@ from vectile.operators.search import search
 from vectile.operators.truth import as_lists, explode_truth, filtered_truth
 from vectile.plans.pipelines import pruned_search, score
 from vectile.session import materialise, shared_dir
-from vectile.sources.collection import read_catalog, read_collection, search_collection, write_collection
+from vectile.sources.collection import (
+    read_catalog, read_collection, read_seed, search_collection, write_collection, write_seed,
+)
 
 K, STORED = 10, 40
 
@@ -56,6 +58,15 @@ def knn_batch(spark, sf):
     return _out(pruned_search(read_collection(spark, path), vector_queries(spark, sf), K, read_catalog(spark, path)))
 
 
+def knn_seeded(spark, sf):
+    """The same search, with bounds from a stored sample of the collection."""
+    path = shared_dir(spark)
+    write_collection(base(spark, sf), path, ATTRS, _catalog())
+    write_seed(spark, path, one_in=4)
+    stored, seed = read_collection(spark, path), read_seed(spark, path)
+    return _out(pruned_search(stored, vector_queries(spark, sf), K, read_catalog(spark, path), seed=seed))
+
+
 def topk_limit(spark, sf):
     """The 100 rows nearest to the mean vector of the table, filtered and pruned."""
     path = shared_dir(spark)
@@ -179,6 +190,7 @@ QUERIES = {
     "knn_filtered": (knn_filtered, f"WITH {BASE}, {ranked_sql('found', EXAMPLE_B, K)} {FULL}"),
     "knn_pruned": (knn_pruned, f"WITH {BASE}, {ranked_sql('found', EXAMPLE_B, K)} {FULL}"),
     "knn_batch": (knn_batch, f"WITH {BASE}, {OWN}, {ranked_sql('found', HOLDS, K, OWN_JOIN)} {FULL}"),
+    "knn_seeded": (knn_seeded, f"WITH {BASE}, {OWN}, {ranked_sql('found', HOLDS, K, OWN_JOIN)} {FULL}"),
     "topk_limit": (
         topk_limit,
         f"""WITH {BASE}, mean AS (SELECT list(m ORDER BY pos) AS vector FROM (SELECT pos, avg(CAST(v AS DOUBLE)) AS m FROM

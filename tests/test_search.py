@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +8,7 @@ from suite.tables import ATTRS, EXAMPLE, SIX_BOXES, base, filters_of
 from vectile.functions.predicates import DNF_TYPE, any_of, at_least, dnf_literal
 from vectile.operators import cells
 from vectile.operators.catalog import Catalog
-from vectile.operators.search import SearchLimits, nearest, search
+from vectile.operators.search import QueryBlock, SearchLimits, nearest, search
 from vectile.operators.truth import as_lists, explode_truth, filtered_truth
 from vectile.plans.pipelines import pruned_search, score
 
@@ -84,6 +85,24 @@ def test_filters_carried_by_queries(spark, copies, limits):
     same(lists(pruned_search(routed, asked, 5, catalog, limits), len(queries)), want)
 
 
+@pytest.mark.parametrize("limits", [SearchLimits(), TINY])
+def test_seed_bounds_change_nothing_but_the_volume(spark, copies, limits):
+    df, vectors, ids, a, b, queries = copies
+    dnf = F.when(F.col("qid") % 2 == 0, dnf_literal(at_least("a", 60), "ab")).otherwise(F.lit(None).cast(DNF_TYPE))
+    asked = query_frame(spark, queries, dnf)
+    masks = [a >= 60 if i % 2 == 0 else np.ones(900, bool) for i in range(len(queries))]
+    for k in (3, 40):
+        seed = df.filter("id % 5 = 0")
+        got = search(df, asked, k, "ab", limits, seed)
+        same(lists(got, len(queries)), brute(vectors, ids, queries, k, masks))
+    table = asked.toArrow()
+    block = QueryBlock(table.append_column("bound", pa.array([-1.0] * table.num_rows)), 3)
+    rows = df.select("id", "vector", F.array("a", "b").alias("values")).toArrow()
+    for batch in rows.to_batches():
+        block.add(batch)
+    assert sum(r.num_rows for r in block.results()) == 0
+
+
 @pytest.mark.parametrize("limits", [SearchLimits(), TINY])
 def test_empty_inputs(spark, copies, limits):
     df, *_, queries = copies

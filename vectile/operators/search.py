@@ -60,6 +60,7 @@ def search(
     k: int,
     attrs: Sequence[str] = (),
     limits: SearchLimits = SearchLimits(),
+    seed: DataFrame | None = None,
 ) -> DataFrame:
     """(qid, id, dist, rank) with the k nearest base rows of every query that pass its filter.
 
@@ -67,11 +68,18 @@ def search(
     With an array column ``parts`` a query reads only those values of the base column ``part``; they have
     to include every partition that can hold a match. A query batch that fits the limits is broadcast
     and the base is not shuffled at all; any other batch is joined block by block.
+
+    ``seed`` is a small sample of the base rows, searched first. A query's k-th distance within it bounds
+    the result, so tasks pass on only rows within the bound instead of k rows each: on thousands of
+    tasks that, not the distances, decides how much is shuffled.
     """
     routed = "parts" in queries.columns
     if "dnf" not in queries.columns:
         queries = queries.withColumn("dnf", F.lit(None).cast(DNF_TYPE))
     queries = queries.select("qid", "vector", "dnf", *(["parts"] if routed else []))
+    if seed is not None:
+        near = search(seed, queries, k, attrs, limits).filter(F.col("rank") == k)
+        queries = queries.join(near.select("qid", F.col("dist").alias("bound")), "qid", "left")
     columns = [
         "id",
         "vector",
@@ -164,7 +172,7 @@ def _block_search(base: DataFrame, queries: DataFrame, k: int, limits: SearchLim
     def kernel(rows: pa.Table, asked: pa.Table) -> pa.Table:
         found = []
         if rows.num_rows and asked.num_rows:
-            block = QueryBlock(asked.select(["qid", "vector", "dnf"]), k)
+            block = QueryBlock(asked.drop_columns(["part", "base_block", "query_block"]), k)
             for batch in rows.select(["id", "vector", "values"]).to_batches():
                 block.add(batch)
             found = list(block.results())
@@ -208,7 +216,9 @@ class QueryBlock:
         self.twice = np.column_stack([2 * self.vec, np.ones(self.n)]).astype(np.float32)
         self.dist = np.full((self.n, k), np.inf)
         self.ids = np.full((self.n, k), np.iinfo(np.int64).max)
-        self.bound = np.full(self.n, np.inf)  # distance of the k-th best so far
+        self.bound = np.full(self.n, np.inf)  # no row beyond it can be among the k best
+        if "bound" in table.column_names:
+            self.bound = pc.fill_null(table.column("bound"), np.inf).to_numpy().copy()
         self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         # queries with the same filter are masked together
         keyed = filter_forms(table)
@@ -329,7 +339,7 @@ class QueryBlock:
                 keep[tied[:, None], best] = True
             self.dist[own] = pool_d[keep].reshape(len(own), self.k)
             self.ids[own] = pool_i[keep].reshape(len(own), self.k)
-            self.bound[own] = kth
+            self.bound[own] = np.minimum(self.bound[own], kth)
 
     def results(self) -> Iterator[pa.RecordBatch]:
         if self.found:

@@ -23,13 +23,18 @@ def plan_layout(base: DataFrame, workload: DataFrame, attrs: Sequence[str], para
 
 
 def pruned_search(
-    base: DataFrame, queries: DataFrame, k: int, catalog: Catalog, limits: SearchLimits = SearchLimits()
+    base: DataFrame,
+    queries: DataFrame,
+    k: int,
+    catalog: Catalog,
+    limits: SearchLimits = SearchLimits(),
+    seed: DataFrame | None = None,
 ) -> DataFrame:
     """Top-k per query where each query reads only the partitions its filter may match.
 
     ``base`` carries ``part``; the result equals the unpruned search.
     """
-    return search(base, catalog.with_parts(queries), k, catalog.attrs, limits)
+    return search(base, catalog.with_parts(queries), k, catalog.attrs, limits, seed)
 
 
 def fixed_selectivity_queries(

@@ -12,6 +12,7 @@ from vectile.operators.catalog import Catalog
 from vectile.operators.search import nearest
 
 CATALOG_DIR = "_catalog"  # an underscore hides it from scans of the collection
+SEED_DIR = "_seed"  # a sample of the rows, searched first to bound a large search
 ROWS_PER_FILE = 1_000_000
 
 
@@ -57,6 +58,16 @@ def read_catalog(spark: SparkSession, path: str) -> Catalog:
     return Catalog.from_df(spark.read.parquet(f"{path}/{CATALOG_DIR}"))
 
 
+def write_seed(spark: SparkSession, path: str, one_in: int = 1_000) -> None:
+    """Store a sample of the collection beside it, chosen by a hash of the id. Appending keeps it valid."""
+    rows = read_collection(spark, path)
+    rows.filter(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0).write.mode("overwrite").parquet(f"{path}/{SEED_DIR}")
+
+
+def read_seed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/{SEED_DIR}")
+
+
 def compact(spark: SparkSession, source: str, target: str, attrs: Sequence[str], n: int | None = None) -> None:
     """Rewrite the layout: rows ranged by partition and attribute and sorted inside each task, so that
     the minimum and maximum of a Parquet row group skip data inside a partition as well."""
