@@ -14,11 +14,11 @@ from vectile.functions.predicates import DNF_TYPE, all_of, any_of, at_least, neg
 ATTRS = ("w", "x", "y", "z")
 PRIMES = (7919, 104729, 1299709, 15485863)
 
-#: (y in [200, 250)) or x < 400
+# The example filter, (y in [200, 250)) or x < 400.
 EXAMPLE = any_of(all_of(at_least("y", 200), negate(at_least("y", 250))), negate(at_least("x", 400)))
 EXAMPLE_SQL = "((y >= 200 AND NOT (y >= 250)) OR NOT (x >= 400))"
 
-#: Six boxes over x and y.
+# The example catalog of six boxes over x and y.
 SIX_BOXES = {
     "part_0": {"x": (500, None), "y": (300, None)},
     "part_1": {"x": (500, None), "y": (None, 299)},

@@ -23,6 +23,12 @@ def test_six_boxes(spark):
     assert "part_0" not in SIX.prune_names(spark, EXAMPLE)
 
 
+def test_overlaps():
+    assert SIX.overlapping() == []
+    cat = Catalog.from_ranges(XY, {"a": {"x": (0, 10)}, "b": {"x": (10, 20), "y": (None, 5)}, "c": {"x": (10, 10), "y": (6, None)}})
+    assert cat.overlapping() == [("a", "b"), ("a", "c")]
+
+
 def test_equal_width():
     names = Catalog.equal_width(("w", "x"), 1000, 10).names
     assert names[:3] == ["0_99", "100_199", "200_299"] and names[9] == "900_999" and names[-1] == UNMATCHED

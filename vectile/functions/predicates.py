@@ -196,13 +196,12 @@ def dnf_text(dnf: Column, attrs: Sequence[str]) -> Column:
         plain = F.concat_ws(" ", F.get(names, l["attr"]), F.lit(">="), l["value"].cast("string"))
         return F.when(l["neg"], F.concat(F.lit("not("), plain, F.lit(")"))).otherwise(plain)
 
-    def joined(parts: Column, word: str, empty: str) -> Column:
-        wrapped = F.transform(parts, lambda t: F.concat(F.lit("("), t, F.lit(")")))
+    def joined(items: Column, render: Callable[[Column], Column], word: str, empty: str) -> Column:
+        wrapped = F.transform(items, lambda item: F.concat(F.lit("("), render(item), F.lit(")")))
         return (
-            F.when(F.size(parts) == 0, F.lit(empty))
-            .when(F.size(parts) == 1, F.get(parts, F.lit(0)))
+            F.when(F.size(items) == 0, F.lit(empty))
+            .when(F.size(items) == 1, render(F.get(items, F.lit(0))))
             .otherwise(F.array_join(wrapped, f" {word} "))
         )
 
-    clause = lambda c: joined(F.transform(c, literal), "and", "true")
-    return joined(F.transform(dnf, clause), "or", "false")
+    return joined(dnf, lambda clause: joined(clause, literal, "and", "true"), "or", "false")

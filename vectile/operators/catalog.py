@@ -116,6 +116,15 @@ class Catalog:
         named = [b for b in boxes if b.name != UNMATCHED]
         return cls(attrs, named, unmatched=len(named) < len(boxes))
 
+    def overlapping(self) -> list[tuple[str, str]]:
+        """Pairs of boxes that share points, so that their order decides. Planning data only."""
+        lo, hi = (np.array([getattr(b, side) for b in self.boxes], dtype=np.int64) for side in ("lo", "hi"))
+        pairs = []
+        for i in range(len(self.boxes) - 1):
+            shared = ((lo[i + 1 :] <= hi[i]) & (hi[i + 1 :] >= lo[i])).all(axis=1)
+            pairs += [(self.boxes[i].name, self.boxes[i + 1 + int(j)].name) for j in np.flatnonzero(shared)]
+        return pairs
+
     # -- routing ---------------------------------------------------------------------------
 
     def cuts(self) -> list[list[int]]:

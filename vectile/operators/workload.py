@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vectile.functions.predicates import DNF_TYPE
 from vectile.functions.vectors import hash_uniform
@@ -38,8 +39,6 @@ def exponential_weights(ranks: DataFrame, rate: Column, shuffle: Column | None =
 
     ``ranks`` has (name, choice), a handful of rows per distribution.
     """
-    from pyspark.sql.window import Window
-
     per = Window.partitionBy("name")
     place = F.col("choice") if shuffle is None else F.row_number().over(per.orderBy(shuffle, "choice")) - 1
     raw = F.exp(-rate * place)
@@ -76,23 +75,21 @@ def sample_workload(keys: DataFrame, params: WorkloadParams, key: str = "qid", u
     (none at all included); "none" is an absent filter.
     """
     k, n = F.col(key), len(params.attrs)
-    kind = F.get(literal_array(KINDS, "array<string>"), choose(uniform(k, 0), params.kind_weights))
-    length = choose(uniform(k, 1), params.length_weights)
+    live = [i for i, w in enumerate(params.attr_weights) if w > 0]
+    draws = {"u_kind": uniform(k, 0), "u_length": uniform(k, 1)}
+    draws |= {f"u_race{i}": uniform(k, 10 + i) for i in live} | {f"u_value{i}": uniform(k, 20 + i) for i in range(n)}
+    numbers = keys.select(k, *[u.alias(name) for name, u in draws.items()])  # drawn once, used often
+    kind = F.get(literal_array(KINDS, "array<string>"), choose(F.col("u_kind"), params.kind_weights))
     # weighted draw without replacement: the smallest arrival times of competing exponentials
-    race = F.array_sort(
-        F.array(
-            *[
-                F.struct((-F.log(uniform(k, 10 + i)) / F.lit(w)).alias("time"), F.lit(i).alias("attr"))
-                for i, w in enumerate(params.attr_weights)
-                if w > 0
-            ]
-        )
-    )
-    thresholds = F.array(
-        *[
-            F.get(literal_array(THRESHOLDS, "array<int>"), choose(uniform(k, 20 + i), w))
-            for i, w in enumerate(params.threshold_weights)
-        ]
+    arrival = lambda i: (-F.log(f"u_race{i}") / F.lit(params.attr_weights[i])).alias("time")
+    race = F.sort_array(F.array(*[F.struct(arrival(i), F.lit(i).alias("attr")) for i in live]))
+    value = lambda i: F.get(literal_array(THRESHOLDS, "array<int>"), choose(F.col(f"u_value{i}"), params.threshold_weights[i]))
+    drawn = numbers.select(
+        k,
+        kind.alias("kind"),
+        choose(F.col("u_length"), params.length_weights).alias("length"),
+        race.alias("race"),
+        F.array(*[value(i) for i in range(n)]).alias("thresholds"),
     )
     taken = F.when(F.col("kind") == "single", F.lit(1)).otherwise(F.least(F.col("length"), F.lit(n)))
     literals = F.transform(
@@ -104,7 +101,6 @@ def sample_workload(keys: DataFrame, params: WorkloadParams, key: str = "qid", u
         .when(F.col("kind") == "or", F.transform(literals, lambda l: F.array(l)))
         .otherwise(F.array(literals))
     )
-    drawn = keys.select(k, kind.alias("kind"), length.alias("length"), race.alias("race"), thresholds.alias("thresholds"))
     return drawn.select(key, "kind", dnf.cast(DNF_TYPE).alias("dnf"))
 
 
