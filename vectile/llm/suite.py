@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from vectile.llm.bpe import round_trip
 from vectile.llm.caps import near_vectors
 from vectile.llm.common import read_table
 from vectile.llm.simhash import simhash_groups
@@ -32,11 +35,22 @@ FROM embeddings e LEFT JOIN low USING (vec_id) LEFT JOIN deg USING (vec_id)
 """
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read_table(spark, sf_dir, "documents"), width=3, radius=2)
 
 
 QUERIES = {
     "op3_spherical_caps": (op3_spherical_caps, OP3_SQL),
+    "op5_bpe": (op5_bpe, None),
     "op9_simhash": (op9_simhash, None),
 }
