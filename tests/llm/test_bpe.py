@@ -39,7 +39,7 @@ def noise(n, seed):
 def test_every_token_encodes_to_itself(definition):
     vocabulary = Vocabulary(definition)
     own = sorted((t, i) for t, i in vocabulary.ids.items())
-    assert [ids for ids in vocabulary.encode_sorted([t for t, _ in own])] == [[i] for _, i in own]
+    assert [int.from_bytes(ids, "little") for ids in vocabulary.encode_sorted([t for t, _ in own])] == [i for _, i in own]
 
 
 def test_encoding_equals_the_library(library, definition):

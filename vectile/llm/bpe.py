@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -94,38 +95,44 @@ class Vocabulary:
         return fits
 
     def encode_sorted(self, words: list[bytes]):
-        """The ids of each of ``words``, which are distinct and in byte order."""
-        ids, longest, pairs, compatible, text = self.ids, self.longest, self.pairs, self.compatible, self.text
-        last: list[int] = [-1]  # the last token of every prefix on the path, by its length
+        """The ids of each of ``words``, which are distinct and in byte order, as little-endian 32-bit integers.
+
+        As one token alone fits each prefix, the order of trying is free: first the token before grown by a
+        byte, then the byte by itself, then all others from the longest.
+        """
+        ids, longest, pairs, compatible = self.ids.get, self.longest, self.pairs, self.compatible
+        last: list[int] = [-1]  # the last token of every prefix on the path, by its length, and where it starts
+        starts: list[int] = [0]
         before = b""
         for word in words:
-            n = len(word)
             shared = 0
             for a, b in zip(before, word):
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1 :]
-            for end in range(len(last), n + 1):
-                start = max(0, end - longest[word[end - 1]])
-                while True:
-                    token = ids.get(word[start:end])
-                    if token is not None:
-                        if not start:
-                            break
-                        pair = (last[start], token)
-                        fits = pairs.get(pair)
-                        if fits or fits is None and compatible(*pair):
-                            break
-                    start += 1
+            del last[shared + 1 :], starts[shared + 1 :]
+            for end in range(len(last), len(word) + 1):
+                first = max(0, end - longest[word[end - 1]])
+                grown = starts[end - 1]
+                start = grown if grown >= first else first
+                token = ids(word[start:end])
+                if token is None or start and not ((fits := pairs.get(pair := (last[start], token))) or fits is None and compatible(*pair)):
+                    start = end - 1
+                    token = ids(word[start:end])
+                    if start and not ((fits := pairs.get(pair := (last[start], token))) or fits is None and compatible(*pair)):
+                        for start in range(first, end - 1):
+                            token = ids(word[start:end])
+                            if token is not None and (not start or (fits := pairs.get(pair := (last[start], token))) or fits is None and compatible(*pair)):
+                                break
                 last.append(token)
-            found, at = [], n
+                starts.append(start)
+            found, at = array("i"), len(word)
             while at:
                 found.append(last[at])
-                at -= len(text[last[at]])
+                at = starts[at]
             found.reverse()
             before = word
-            yield found
+            yield found.tobytes()
 
 
 class Encoder:
@@ -154,16 +161,16 @@ class Encoder:
             size += len(text)
             if size < BLOCK_CHARS and i + 1 < len(texts):
                 continue
-            known = self.known
-            new = {w for words in block for w in words if w not in known}
+            known, new = self.known, set().union(*block)
+            new.difference_update(known)
             if len(known) + len(new) > KNOWN_WORDS:
                 known = self.known = {}
-                new = {w for words in block for w in words}
-            plain = sorted((w.encode(), w) for w in new if w not in special)
+                new = set().union(*block)
+            plain = sorted([(w.encode(), w) for w in new.difference(special)])
             for (_, w), ids in zip(plain, self.vocabulary.encode_sorted([b for b, _ in plain])):
-                known[w] = np.array(ids, "<i4").tobytes()
-            known.update((w, np.array([special[w]], "<i4").tobytes()) for w in new if w in special)
-            out += [b"".join([known[w] for w in words]) for words in block]
+                known[w] = ids
+            known.update((w, special[w].to_bytes(4, "little")) for w in new.intersection(special))
+            out += [b"".join(map(known.__getitem__, words)) for words in block]
             block, size = [], 0
         return out
 
