@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from vectile.llm.bpe import round_trip
 from vectile.llm.caps import near_vectors
 from vectile.llm.common import read_table
+from vectile.llm.orcids import token_index, write_token_files
 from vectile.llm.simhash import simhash_groups
+from vectile.session import shared_dir
 
 
 def op3_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +37,12 @@ FROM embeddings e LEFT JOIN low USING (vec_id) LEFT JOIN deg USING (vec_id)
 """
 
 
+def op4_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark)
+    write_token_files(read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_index(spark, folder)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select(
@@ -51,6 +59,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_spherical_caps": (op3_spherical_caps, OP3_SQL),
+    "op4_orc_tokens": (op4_orc_tokens, None),
     "op5_bpe": (op5_bpe, None),
     "op9_simhash": (op9_simhash, None),
 }
