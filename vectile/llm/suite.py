@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 from vectile.llm.bpe import round_trip
 from vectile.llm.caps import near_vectors
 from vectile.llm.common import read_table
+from vectile.llm.langid import predict_languages
 from vectile.llm.orcids import token_index, write_token_files
 from vectile.llm.simhash import simhash_groups
 from vectile.session import shared_dir
 
 
+def op2_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(read_table(spark, sf_dir, "documents"))
+
+
 def op3_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read_table(spark, sf_dir, "embeddings"))
 
@@ -58,6 +63,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_output_codes": (op2_output_codes, None),
     "op3_spherical_caps": (op3_spherical_caps, OP3_SQL),
     "op4_orc_tokens": (op4_orc_tokens, None),
     "op5_bpe": (op5_bpe, None),
