@@ -9,10 +9,10 @@ cap, so the filters (``words ** parts`` of them) are never enumerated.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 from vectile.llm.components import components
 from vectile.session import materialise
 
-MEMBER = "label int, dims int, cls long, embedding array<float>, filters array<long>"
-
 
 def product_code(dims: int, parts: int, words: int, seed: int) -> list[tuple[slice, np.ndarray]]:
     """Each part's slice of the dimensions with its code, scaled so that a filter is a unit vector.
@@ -83,36 +81,82 @@ def with_filters(vectors: DataFrame, parts: int, words: int, deviations: float,
     return vectors.select("label", "dims", "cls", "embedding").mapInArrow(run, "label int, dims int, cls long, filters array<long>")
 
 
-def linked_block(threshold: float):
-    """A function of one pair of blocks: verified links counted for each vector, and a spanning star for each piece."""
-
-    def run(key, df: pd.DataFrame) -> pd.DataFrame:
-        filter_, one, two = key[2], key[3], key[4]
-        x = np.stack(df.embedding.to_numpy()).astype(np.float64)
-        x /= np.abs(x).max(axis=1, keepdims=True)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        near = x @ x.T >= threshold
-        np.fill_diagonal(near, False)
-        block, cls = df.block.to_numpy(), df.cls.to_numpy()
-        if one != two:
-            near &= block[:, None] != block[None, :]
-        # A pair counts in the smallest filter that both pass, and in no other.
-        filters, weight = df.filters.to_numpy(), df.copies.to_numpy()
-        below = [f[: np.searchsorted(f, filter_)] for f in filters]
-        names, at = np.unique(np.concatenate(below), return_inverse=True)
-        passes = np.zeros((len(df), len(names)), np.float32)
-        passes[np.repeat(np.arange(len(df)), [len(b) for b in below]), at] = 1
-        links = (near & (passes @ passes.T == 0)) @ weight.astype(np.int64)
-        root = cls.copy()
-        while True:
-            low = np.minimum(root, np.where(near, root[None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max))
-            if (low == root).all():
-                break
-            root = low
-        out = pd.DataFrame({"cls": cls, "links": links, "root": root})
-        return out[(out.links > 0) | (out.root != out.cls)]
-
-    return run
+def linked_block(cls: np.ndarray, copies: np.ndarray, block: np.ndarray, vectors: np.ndarray, below: list[np.ndarray], within: bool, threshold: float):
+    """Verified links counted for each vector of a pair of blocks, and the smallest vector of each linked piece.
+
+    ``below`` has for each vector the filters it passes before this one: a pair counts in the first filter that both
+    pass, and in no other. ``within`` compares one block with itself, else only vectors of different blocks meet.
+    """
+    x = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= threshold
+    np.fill_diagonal(near, False)
+    if not within:
+        near &= block[:, None] != block[None, :]
+    if not near.any():
+        return None
+    names, at = np.unique(np.concatenate(below), return_inverse=True)
+    passes = np.zeros((len(cls), len(names)), np.float32)
+    passes[np.repeat(np.arange(len(cls)), [len(b) for b in below]), at] = 1
+    links = (near & (passes @ passes.T == 0)) @ copies
+    root = cls.copy()
+    while True:
+        low = np.minimum(root, np.where(near, root[None, :], np.iinfo(np.int64).max).min(axis=1))
+        if (low == root).all():
+            break
+        root = low
+    take = (links > 0) | (root != cls)
+    return cls[take], links[take], root[take]
+
+
+KEYS = ["label", "dims", "filter", "one", "two"]
+
+
+def compared_blocks(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(cls, links, root) of every pair of blocks; ``pairs`` has the vectors of both under ``KEYS``.
+
+    Pairs of blocks are cut from the sorted rows of a partition, so many small ones share one batch; what is held is a
+    batch and the rows of one pair.
+    """
+
+    def groups(rows: pa.Table):
+        rows = rows.combine_chunks()
+        plain = {c: rows[c].to_numpy() for c in [*KEYS, "block", "cls", "copies"]}
+        lists = {c: rows[c].chunk(0) for c in ("embedding", "filters")}
+        values = {c: v.values.to_numpy(zero_copy_only=False) for c, v in lists.items()}
+        ends = {c: v.offsets.to_numpy() for c, v in lists.items()}
+        change = np.any([plain[k][1:] != plain[k][:-1] for k in KEYS], axis=0)
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(rows)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            own = [values["filters"][s:e] for s, e in zip(ends["filters"][a:b].tolist(), ends["filters"][a + 1 : b + 1].tolist())]
+            below = [f[: np.searchsorted(f, plain["filter"][a])] for f in own]
+            vectors = values["embedding"][ends["embedding"][a] : ends["embedding"][b]].reshape(b - a, -1).astype(np.float64)
+            found = linked_block(plain["cls"][a:b], plain["copies"][a:b], plain["block"][a:b], vectors, below, bool(plain["one"][a] == plain["two"][a]), threshold)
+            if found is not None:
+                yield found
+
+    def last_start(rows: pa.Table) -> int:
+        columns = [rows[k].to_numpy() for k in KEYS]
+        return int(np.flatnonzero(~np.all([c == c[-1] for c in columns], axis=0))[-1:].sum() + 1) if any((c != c[-1]).any() for c in columns) else 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, out = None, []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                table = pa.Table.from_batches([batch])
+                rest = table if rest is None else pa.concat_tables([rest, table])
+            if rest is None:
+                return
+            start = last_start(rest) if batch is not None else len(rest)
+            out = list(groups(rest.slice(0, start))) if start else []
+            rest = rest.slice(start)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["cls", "links", "root"])
+
+    columns = [*KEYS, "block", "cls", "copies", "filters", "embedding"]
+    return pairs.select(*columns).repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(run, "cls long, links long, root long")
 
 
 def near_vectors(
@@ -158,7 +202,7 @@ def near_vectors(
     # Each block meets each block, itself included: pairs (one <= two), and a pair holds both blocks.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = full.withColumn("other", other).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
-    compared = materialise(pairs.select("label", "dims", "filter", "one", "two", "block", "cls", "copies", "filters", "embedding").groupBy("label", "dims", "filter", "one", "two").applyInPandas(linked_block(threshold), "cls long, links long, root long"))
+    compared = materialise(compared_blocks(pairs, threshold))
     counted = compared.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = components(compared.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     placed = classes.select("cls", "low", *shape, "copies").join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
