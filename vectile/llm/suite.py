@@ -10,6 +10,7 @@ from vectile.llm.bpe import round_trip
 from vectile.llm.caps import near_vectors
 from vectile.llm.common import read_table
 from vectile.llm.langid import predict_languages
+from vectile.llm.machine import predict_quality
 from vectile.llm.orcids import token_index, write_token_files
 from vectile.llm.simhash import simhash_groups
 from vectile.session import shared_dir
@@ -23,6 +24,10 @@ def op3_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+def op10_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 # Exact links and components: the operator has to reach what brute force finds.
 OP3_SQL = """
 WITH RECURSIVE v AS (
@@ -68,4 +73,5 @@ QUERIES = {
     "op4_orc_tokens": (op4_orc_tokens, None),
     "op5_bpe": (op5_bpe, None),
     "op9_simhash": (op9_simhash, None),
+    "op10_factorisation_machine": (op10_factorisation_machine, None),
 }
