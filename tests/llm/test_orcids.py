@@ -32,7 +32,7 @@ def noise(n, seed):
 
 def test_words_encode_as_whole_texts():
     texts = [t or "" for t in ODD] + noise(3000, 5)
-    got = [np.frombuffer(b, "<i4").tolist() for b in WordEncoder(open(PATH, encoding="utf-8").read()).encode(texts, 1)]
+    got = [np.frombuffer(b, "<i4").tolist() for b in WordEncoder(open(PATH, encoding="utf-8").read()).encode([t.encode() for t in texts], 1)]
     assert got == [[*e.ids, 1] for e in library().encode_batch(texts, add_special_tokens=False)]
 
 

@@ -2,7 +2,7 @@
 
 The last token of a prefix's encoding is all that is needed to extend it: a token can end a prefix exactly if it is
 compatible with the last token of what stands before it, and for every prefix there is one such token. So each trie
-node stores one last-token state, which depends on its ancestors only. The distinct words of a block of texts are
+node stores one last-token state, which depends on its ancestors only. The distinct words of some texts are
 visited in byte order, which is the depth-first order of their trie: the stack of states holds the path, and
 a prefix shared with the word before is never computed again.
 """
@@ -23,7 +23,6 @@ from vectile.llm.common import with_text_results
 
 # The pattern that splits text into words before merging, as the vocabulary's publisher states it.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BLOCK_CHARS = 1 << 21
 KNOWN_WORDS = 300_000
 KNOWN_PAIRS = 1_000_000
 NEVER = 1 << 62
@@ -136,7 +135,7 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes texts block by block and keeps the words of earlier blocks, at most ``KNOWN_WORDS`` of them."""
+    """Encodes texts call by call. Words are remembered; beyond ``KNOWN_WORDS`` only those of the current call stay."""
 
     def __init__(self, definition: str):
         self.vocabulary = Vocabulary(definition)
@@ -153,26 +152,16 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         special = self.vocabulary.special
-        out: list[bytes] = []
-        block: list[list[str]] = []
-        size = 0
-        for i, text in enumerate(texts):
-            block.append(self.split(text))
-            size += len(text)
-            if size < BLOCK_CHARS and i + 1 < len(texts):
-                continue
-            known, new = self.known, set().union(*block)
-            new.difference_update(known)
-            if len(known) + len(new) > KNOWN_WORDS:
-                known = self.known = {}
-                new = set().union(*block)
-            plain = sorted([(w.encode(), w) for w in new.difference(special)])
-            for (_, w), ids in zip(plain, self.vocabulary.encode_sorted([b for b, _ in plain])):
-                known[w] = ids
-            known.update((w, special[w].to_bytes(4, "little")) for w in new.intersection(special))
-            out += [b"".join(map(known.__getitem__, words)) for words in block]
-            block, size = [], 0
-        return out
+        split = [self.split(text) for text in texts]
+        seen = set().union(*split)
+        new = seen.difference(self.known)
+        if len(self.known) + len(new) > KNOWN_WORDS:
+            self.known = {w: self.known[w] for w in seen.intersection(self.known)}
+        plain = sorted([(w.encode(), w) for w in new.difference(special)])
+        for (_, w), ids in zip(plain, self.vocabulary.encode_sorted([b for b, _ in plain])):
+            self.known[w] = ids
+        self.known.update((w, special[w].to_bytes(4, "little")) for w in new.intersection(special))
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
 _encoders: dict[str, Encoder] = {}

@@ -9,6 +9,7 @@ rule out files, stripes and row groups for a reader that asks for some documents
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 
 import numpy as np
@@ -24,7 +25,7 @@ from vectile.session import materialise
 
 END_ID = 1  # fixed by the contract: closes each document
 KNOWN_WORDS = 300_000
-BLOCK_CHARS = 1 << 21
+JOINED = 256
 SCHEMA = "doc_id long, place long, ids array<int>"
 
 
@@ -39,33 +40,37 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        plain = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         for probe in ("a\tb", "a  b", " a \n b\x0b\x0c\r"):
-            if self._ids([probe])[0] != b"".join(self._ids(probe.split())):
+            if plain(probe) != [i for word in probe.split() for i in plain(word)]:
                 raise ValueError("the tokenizer does not drop white space between words")
         self.known: dict[bytes, bytes] = {}
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-
-    def encode(self, texts: list[str], end: int) -> list[bytes]:
-        """Little-endian 32-bit ids of each text with the end id; no more than ``KNOWN_WORDS`` words are kept."""
-        close, out, block, size = end.to_bytes(4, "little"), [], [], 0
-        for i, text in enumerate(texts):
-            block.append(text.encode().split())  # bytes split at ASCII white space only
-            size += len(text)
-            if size < BLOCK_CHARS and i + 1 < len(texts):
-                continue
-            known, new = self.known, set().union(*block)
-            new.difference_update(known)
-            if len(known) + len(new) > KNOWN_WORDS:
-                known = self.known = {}
-                new = set().union(*block)
-            words = list(new)
-            known.update(zip(words, self._ids([w.decode() for w in words])))
-            out += [b"".join([*map(known.__getitem__, words), close]) for words in block]
-            block, size = [], 0
+        """The ids of each word. Some hundred words make one text for the library, whose offsets tell them apart."""
+        out: list[bytes] = []
+        joined = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        for own, coded in zip(joined, self.tokenizer.encode_batch([" ".join(own) for own in joined], add_special_tokens=False)):
+            starts = np.cumsum([0, *[len(w) + 1 for w in own]])
+            ids = np.array(coded.ids, "<i4")
+            cuts = np.searchsorted([a for a, _ in coded.offsets], starts).tolist()
+            out += [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
         return out
 
+    def encode(self, texts: list[bytes], end: int) -> list[bytes]:
+        """Little-endian 32-bit ids of each UTF-8 text with the end id.
+
+        Beyond ``KNOWN_WORDS`` remembered words only those of the current call stay.
+        """
+        split = [text.split() for text in texts]  # bytes split at ASCII white space only
+        seen = set().union(*split)
+        new = list(seen.difference(self.known))
+        if len(self.known) + len(new) > KNOWN_WORDS:
+            self.known = {w: self.known[w] for w in seen.intersection(self.known)}
+        self.known.update(zip(new, self._ids([w.decode() for w in new])))
+        close = end.to_bytes(4, "little")
+        return [b"".join([*map(self.known.__getitem__, words), close]) for words in split]
+
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -73,6 +78,7 @@ _encoders: dict[str, WordEncoder] = {}
 def _encoder(definition: str) -> WordEncoder:
     key = hashlib.sha256(definition.encode()).hexdigest()
     if key not in _encoders:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         _encoders.clear()
         _encoders[key] = WordEncoder(definition)
     return _encoders[key]
@@ -93,7 +99,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     ranged = keyed.repartitionByRange(files or int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
 
     def ids(texts: pa.Array) -> list[pa.Array]:
-        return [lists_of_ids(_encoder(definition.value).encode(texts.to_pylist(), end_id))]
+        return [lists_of_ids(_encoder(definition.value).encode(texts.cast(pa.binary()).to_pylist(), end_id))]
 
     rows = with_text_results(ranged, ids, [("ids", "array<int>")]).select("row.doc_id", F.monotonically_increasing_id().alias("place"), "ids")
     options = {
