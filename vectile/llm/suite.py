@@ -11,6 +11,7 @@ from vectile.llm.caps import near_vectors
 from vectile.llm.common import read_table
 from vectile.llm.langid import predict_languages
 from vectile.llm.machine import predict_quality
+from vectile.llm.mixing import mixed_sizes
 from vectile.llm.orcids import token_index, write_token_files
 from vectile.llm.simhash import simhash_groups
 from vectile.session import shared_dir
@@ -63,6 +64,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_sizes(read_table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read_table(spark, sf_dir, "documents"), width=3, radius=2)
 
@@ -72,6 +77,7 @@ QUERIES = {
     "op3_spherical_caps": (op3_spherical_caps, OP3_SQL),
     "op4_orc_tokens": (op4_orc_tokens, None),
     "op5_bpe": (op5_bpe, None),
+    "op6_flow_mix": (op6_flow_mix, None),
     "op9_simhash": (op9_simhash, None),
     "op10_factorisation_machine": (op10_factorisation_machine, None),
 }
