@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.orc as po
 from tokenizers import Tokenizer
 
@@ -32,10 +33,19 @@ def noise(n, seed):
 
 def test_words_encode_as_whole_texts():
     texts = [t or "" for t in ODD] + noise(3000, 5)
-    got = [np.frombuffer(b, "<i4").tolist() for b in WordEncoder(open(PATH, encoding="utf-8").read()).encode([t.encode() for t in texts], 1)]
+    encoder = WordEncoder(open(PATH, encoding="utf-8").read())
+    got = [ids for i in range(0, len(texts), 500) for ids in encoder.encode(pa.array(texts[i : i + 500], pa.string()), 1).to_pylist()]
     assert got == [[*e.ids, 1] for e in library().encode_batch(texts, add_special_tokens=False)]
 
 
+def test_forgetting_words_changes_nothing(monkeypatch):
+    texts = noise(300, 8)
+    whole = WordEncoder(open(PATH, encoding="utf-8").read()).encode(pa.array(texts), 1).to_pylist()
+    monkeypatch.setattr("vectile.llm.orcids.KNOWN_WORDS", 40)
+    small = WordEncoder(open(PATH, encoding="utf-8").read())
+    assert [ids for i in range(0, 300, 5) for ids in small.encode(pa.array(texts[i : i + 5]), 1).to_pylist()] == whole
+
+
 def test_files_read_back(spark, tmp_path):
     texts = ODD + noise(200, 6)
     rows = [(None if i == 3 else 7 if i in (14, 15) else 1000 - 3 * i, t, "clash") for i, t in enumerate(texts)]

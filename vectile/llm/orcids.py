@@ -14,17 +14,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from vectile.llm.bpe import lists_of_ids, share_definition
+from vectile.llm.bpe import share_definition
 from vectile.llm.common import with_text_results
 from vectile.session import materialise
 
 END_ID = 1  # fixed by the contract: closes each document
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 600_000
 JOINED = 256
 SCHEMA = "doc_id long, place long, ids array<int>"
 
@@ -45,6 +46,7 @@ class WordEncoder:
             if plain(probe) != [i for word in probe.split() for i in plain(word)]:
                 raise ValueError("the tokenizer does not drop white space between words")
         self.known: dict[bytes, bytes] = {}
+        self.again: set[bytes] = set()
 
     def _ids(self, words: list[str]) -> list[bytes]:
         """The ids of each word. Some hundred words make one text for the library, whose offsets tell them apart."""
@@ -52,24 +54,38 @@ class WordEncoder:
         joined = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
         for own, coded in zip(joined, self.tokenizer.encode_batch([" ".join(own) for own in joined], add_special_tokens=False)):
             starts = np.cumsum([0, *[len(w) + 1 for w in own]])
-            ids = np.array(coded.ids, "<i4")
-            cuts = np.searchsorted([a for a, _ in coded.offsets], starts).tolist()
-            out += [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+            ids = np.array(coded.ids, "<i4").tobytes()
+            cuts = (4 * np.searchsorted([a for a, _ in coded.offsets], starts)).tolist()
+            out += [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
         return out
 
-    def encode(self, texts: list[bytes], end: int) -> list[bytes]:
-        """Little-endian 32-bit ids of each UTF-8 text with the end id.
+    def encode(self, texts: pa.Array, end: int) -> pa.ListArray:
+        """The ids of each text with the end id.
 
-        Beyond ``KNOWN_WORDS`` remembered words only those of the current call stay.
+        Words that came up in a second call are the last to be forgotten when there are over ``KNOWN_WORDS``.
         """
-        split = [text.split() for text in texts]  # bytes split at ASCII white space only
-        seen = set().union(*split)
-        new = list(seen.difference(self.known))
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in words if w not in self.known]
+        again = set(words).difference(new)
+        self.again |= again
         if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known = {w: self.known[w] for w in seen.intersection(self.known)}
+            keep = self.again if len(self.again) + len(new) <= KNOWN_WORDS // 2 else again
+            self.known, self.again = {w: self.known[w] for w in keep}, set()
         self.known.update(zip(new, self._ids([w.decode() for w in new])))
-        close = end.to_bytes(4, "little")
-        return [b"".join([*map(self.known.__getitem__, words), close]) for words in split]
+        # Each word's ids are copied from those of the distinct words; the end id is a word of its own.
+        found = [*map(self.known.__getitem__, words), end.to_bytes(4, "little")]
+        ids = np.frombuffer(b"".join(found), "<i4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.insert(coded.indices.to_numpy(zero_copy_only=False), np.cumsum(counts), len(words))
+        length = sizes[order]
+        ends = np.cumsum(length)
+        flat = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[order] - (ends - length), length)]
+        closes = np.cumsum(counts + 1) - 1
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends[closes]]).astype(np.int32)), pa.array(flat))
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -99,7 +115,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     ranged = keyed.repartitionByRange(files or int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
 
     def ids(texts: pa.Array) -> list[pa.Array]:
-        return [lists_of_ids(_encoder(definition.value).encode(texts.cast(pa.binary()).to_pylist(), end_id))]
+        return [_encoder(definition.value).encode(texts, end_id)]
 
     rows = with_text_results(ranged, ids, [("ids", "array<int>")]).select("row.doc_id", F.monotonically_increasing_id().alias("place"), "ids")
     options = {
