@@ -20,6 +20,7 @@ from vectile.llm.common import WORD, packed, whole_text
 from vectile.session import materialise
 
 FLIPS = 3
+BROADCAST_ROWS = 20_000
 Pattern = tuple[str | None, ...]
 
 
@@ -125,6 +126,11 @@ def route(supply: dict[Pattern, int], quota: dict[str | None, int], most: int =
     return routed
 
 
+def small(table: DataFrame, rows: int) -> DataFrame:
+    """A table of one row per pattern, to be broadcast if its counted rows are few; else joins shuffle and AQE splits them."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
 def word_count(text: str = "text") -> Column:
     return F.size(F.regexp_extract_all(whole_text(text), F.lit(WORD), F.lit(0))).cast("long")
 
@@ -195,7 +201,8 @@ def planned_mix(sized: DataFrame, weights: Sequence[float], most: int) -> tuple[
     for (pattern, _), words in route(supply, {s: round(t) for s, t in goal.items()}, most).items():
         flows[pattern] += words
     rows = [(list(p), flows[p] // words if words else 0, flows[p] % words if words else 0) for p, words in supply.items()]
-    return dict(sizes), goal, select_documents(sized, spark.createDataFrame(rows, PLAN))
+    chosen = select_documents(sized, small(spark.createDataFrame(rows, PLAN), len(rows)))
+    return dict(sizes), goal, small(chosen, len(rows))
 
 
 def repeats() -> Column:
@@ -222,5 +229,5 @@ def mixed_sizes(docs: DataFrame, source: str = "source", weights: Sequence[float
     sized = materialise(measured(docs, membership(source), doc_id, text, seed, F.col(doc_id)))
     sizes, goal, chosen = planned_mix(sized, weights, most)
     facts = spark.createDataFrame([([s], sizes[s], float(goal[s])) for s in sizes], "pattern array<string>, source_size long, target double")
-    placed = sized.join(chosen.join(facts, "pattern"), "pattern")
+    placed = sized.join(small(chosen.join(facts, "pattern"), len(sizes)), "pattern")
     return placed.select(F.col("row").alias("doc_id"), "size", "source_size", "target", (repeats() * F.col("size")).alias("taken"))
