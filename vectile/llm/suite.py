@@ -13,6 +13,7 @@ from vectile.llm.langid import predict_languages
 from vectile.llm.machine import predict_quality
 from vectile.llm.mixing import mixed_sizes
 from vectile.llm.orcids import token_index, write_token_files
+from vectile.llm.rules import apply_rules
 from vectile.llm.simhash import simhash_groups
 from vectile.session import shared_dir
 
@@ -68,6 +69,11 @@ def op6_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sizes(read_table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3)
 
 
+def op8_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = read_table(spark, sf_dir, "labels").where("quality = 1")
+    return apply_rules(read_table(spark, sf_dir, "documents"), trusted)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read_table(spark, sf_dir, "documents"), width=3, radius=2)
 
@@ -78,6 +84,7 @@ QUERIES = {
     "op4_orc_tokens": (op4_orc_tokens, None),
     "op5_bpe": (op5_bpe, None),
     "op6_flow_mix": (op6_flow_mix, None),
+    "op8_likelihood_ratio": (op8_likelihood_ratio, None),
     "op9_simhash": (op9_simhash, None),
     "op10_factorisation_machine": (op10_factorisation_machine, None),
 }
