@@ -4,9 +4,10 @@ import random
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vectile.llm.bpe import Encoder, Vocabulary, round_trip
+from vectile.llm.bpe import Encoder, Vocabulary, decode_ids, encode_texts, round_trip
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [
@@ -43,10 +44,8 @@ def test_every_token_encodes_to_itself(definition):
 
 
 def test_encoding_equals_the_library(library, definition):
-    import numpy as np
-
     texts = [*ODD, *noise(3000, 1)]
-    got = [np.frombuffer(b, "<i4").tolist() for b in Encoder(definition).encode(texts)]
+    got = Encoder(definition).encode(texts).to_pylist()
     assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -54,17 +53,19 @@ def test_forgetting_words_changes_nothing(definition, monkeypatch):
     import vectile.llm.bpe as bpe
 
     texts = list(noise(400, 2))
-    whole = Encoder(definition).encode(texts)
+    whole = Encoder(definition).encode(texts).to_pylist()
     monkeypatch.setattr(bpe, "KNOWN_WORDS", 50)
     monkeypatch.setattr(bpe, "KNOWN_PAIRS", 50)
     small = Encoder(definition)
-    assert [ids for i in range(0, len(texts), 7) for ids in small.encode(texts[i : i + 7])] == whole
+    assert [ids for i in range(0, len(texts), 7) for ids in small.encode(texts[i : i + 7]).to_pylist()] == whole
 
 
 def test_round_trip(spark, library):
     texts = [None, *ODD, "same", "same"]
     df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
     rows = {r.doc_id: r for r in round_trip(df, PATH).collect()}
+    apart = encode_texts(df, PATH).select("row.doc_id", "ids", decode_ids(spark, PATH, F.col("ids")).alias("decoded"))
+    assert {r.doc_id: r for r in apart.collect()} == rows
     for i, t in enumerate(texts):
         ids = library.encode(t or "", add_special_tokens=False).ids
         assert rows[i].ids == ids and rows[i].decoded == library.decode(ids, skip_special_tokens=False) == (t or "")

@@ -10,8 +10,10 @@ a prefix shared with the word before is never computed again.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from vectile.llm.common import with_text_results
 # The pattern that splits text into words before merging, as the vocabulary's publisher states it.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 KNOWN_WORDS = 300_000
-KNOWN_PAIRS = 1_000_000
+KNOWN_PAIRS = 300_000
 NEVER = 1 << 62
 
 
@@ -134,13 +136,44 @@ class Vocabulary:
             yield found.tobytes()
 
 
+class WordMemory:
+    """The ids of words seen before, at most about ``most`` of them; words that never came again are forgotten first."""
+
+    def __init__(self, most: int):
+        self.most, self.known, self.again = most, {}, set()
+
+    def ids_of(self, words: list, encode: Callable[[list], list[bytes]]) -> list[bytes]:
+        """The ids of each of ``words``, which are distinct; ``encode`` makes those of new ones."""
+        known = self.known
+        new = [w for w in words if w not in known]
+        again = set(words).difference(new)
+        self.again |= again
+        if len(known) + len(new) > self.most:
+            keep = self.again if len(self.again) + len(new) <= self.most // 2 else again
+            known = self.known = {w: known[w] for w in keep}
+            self.again = set()
+        known.update(zip(new, encode(new)))
+        return list(map(known.__getitem__, words))
+
+
+def gather(found: list[bytes], order: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    """Lists of ids: ``order`` names the words of all lists in turn by their place in ``found``, ``counts`` of them each."""
+    ids = np.frombuffer(b"".join(found), "<i4")
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    starts = np.cumsum(sizes) - sizes
+    length = sizes[order]
+    ends = np.concatenate([[0], np.cumsum(length)])
+    flat = ids[np.arange(ends[-1]) + np.repeat(starts[order] - ends[:-1], length)]
+    return pa.ListArray.from_arrays(pa.array(ends[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)), pa.array(flat))
+
+
 class Encoder:
-    """Encodes texts call by call. Words are remembered; beyond ``KNOWN_WORDS`` only those of the current call stay."""
+    """Encodes texts call by call and remembers words."""
 
     def __init__(self, definition: str):
         self.vocabulary = Vocabulary(definition)
         self.words = regex.compile(WORDS)
-        self.known: dict[str, bytes] = {}
+        self.memory = WordMemory(KNOWN_WORDS)
 
     def split(self, text: str) -> list[str]:
         special = self.vocabulary.special
@@ -149,19 +182,19 @@ class Encoder:
         parts = self.vocabulary.special_pattern.split(text)
         return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else self.words.findall(part))]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        special = self.vocabulary.special
+    def encode(self, texts: list[str]) -> pa.ListArray:
+        """The ids of each text."""
         split = [self.split(text) for text in texts]
-        seen = set().union(*split)
-        new = seen.difference(self.known)
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known = {w: self.known[w] for w in seen.intersection(self.known)}
-        plain = sorted([(w.encode(), w) for w in new.difference(special)])
-        for (_, w), ids in zip(plain, self.vocabulary.encode_sorted([b for b, _ in plain])):
-            self.known[w] = ids
-        self.known.update((w, special[w].to_bytes(4, "little")) for w in new.intersection(special))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        coded = pa.array(itertools.chain.from_iterable(split), pa.string(), size=sum(map(len, split))).dictionary_encode()
+        found = self.memory.ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.encode_words)
+        return gather(found, coded.indices.to_numpy(zero_copy_only=False), np.fromiter(map(len, split), np.int64, len(split)))
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        special = self.vocabulary.special
+        spelled = [w.encode() for w in words]
+        order = sorted((i for i, w in enumerate(words) if w not in special), key=spelled.__getitem__)
+        ids = {i: own for i, own in zip(order, self.vocabulary.encode_sorted([spelled[i] for i in order]))}
+        return [ids[i] if i in ids else special[w].to_bytes(4, "little") for i, w in enumerate(words)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -176,11 +209,6 @@ def _encoder(definition: str) -> Encoder:
     return _encoders[key]
 
 
-def lists_of_ids(packed_ids: list[bytes]) -> pa.ListArray:
-    ends = np.concatenate([[0], np.cumsum([len(b) // 4 for b in packed_ids], dtype=np.int64)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed_ids), "<i4")))
-
-
 def share_definition(spark: SparkSession, path: str):
     """The definition of a tokenizer, read once by the driver and shared; its size is that of the file."""
     with open(path, encoding="utf-8") as file:
@@ -192,35 +220,45 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     definition = share_definition(docs.sparkSession, path)
 
     def ids(texts: pa.Array) -> list[pa.Array]:
-        return [lists_of_ids(_encoder(definition.value).encode(texts.to_pylist()))]
+        return [_encoder(definition.value).encode(texts.to_pylist())]
 
     return with_text_results(docs, ids, [("ids", "array<int>")], text)
 
 
+def decode_lists(vocabulary: Vocabulary, lists: pa.ListArray) -> pa.Array:
+    """The texts that lists of ids stand for, special tokens included; malformed UTF-8 becomes U+FFFD, null stays null."""
+    spelled = vocabulary.text.__getitem__
+    values, at, out = lists.flatten().to_numpy(zero_copy_only=False), 0, []
+    for n, there in zip(lists.value_lengths().fill_null(0).to_pylist(), lists.is_valid().to_pylist()):
+        out.append(b"".join(map(spelled, values[at : at + n].tolist())).decode("utf-8", "replace") if there else None)
+        at += n
+    return pa.array(out, pa.string())
+
+
 def decode_ids(spark: SparkSession, path: str, ids: Column) -> Column:
-    """The text that token ids stand for, special tokens included; malformed UTF-8 becomes U+FFFD; null stays null."""
+    """The text of a column of token ids; see ``decode_lists``."""
     definition = share_definition(spark, path)
 
     @F.arrow_udf("string")
     def decode(lists: pa.Array) -> pa.Array:
-        spelled = _encoder(definition.value).vocabulary.text
-        values = lists.flatten().to_numpy(zero_copy_only=False)
-        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        out, at = [], 0
-        for n, there in zip(sizes.tolist(), lists.is_valid().to_pylist()):
-            own = values[at : at + n].tolist()
-            at += n
-            out.append(b"".join([spelled[i] for i in own]).decode("utf-8", "replace") if there else None)
-        return pa.array(out, pa.string())
+        return decode_lists(_encoder(definition.value).vocabulary, lists)
 
     return decode(ids)
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: (doc_id, ids, decoded).
+    """One row per document: (doc_id, ids, decoded), where ``decoded`` is made from the ids alone.
 
-    A null text counts as empty; an empty text has no ids and decodes to an empty one. Ids, repeated rows and other
-    columns are of no influence, and an empty table gives no rows. Texts of any length are encoded whole.
+    A null text counts as empty; an empty text has no ids and decodes to an empty one. Repeated rows and other
+    columns are of no influence, and an empty table gives no rows. Texts of any length are encoded whole. Both directions
+    run in one worker, which holds one vocabulary.
     """
-    encoded = encode_texts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), path)
-    return encoded.select("row.doc_id", "ids", decode_ids(docs.sparkSession, path, F.col("ids")).alias("decoded"))
+    definition = share_definition(docs.sparkSession, path)
+
+    def both(texts: pa.Array) -> list[pa.Array]:
+        encoder = _encoder(definition.value)
+        ids = encoder.encode(texts.to_pylist())
+        return [ids, decode_lists(encoder.vocabulary, ids)]
+
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return with_text_results(slim, both, [("ids", "array<int>"), ("decoded", "string")]).select("row.doc_id", "ids", "decoded")

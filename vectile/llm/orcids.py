@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from vectile.llm.bpe import share_definition
+from vectile.llm.bpe import WordMemory, gather, share_definition
 from vectile.llm.common import with_text_results
 from vectile.session import materialise
 
@@ -45,13 +45,13 @@ class WordEncoder:
         for probe in ("a\tb", "a  b", " a \n b\x0b\x0c\r"):
             if plain(probe) != [i for word in probe.split() for i in plain(word)]:
                 raise ValueError("the tokenizer does not drop white space between words")
-        self.known: dict[bytes, bytes] = {}
-        self.again: set[bytes] = set()
+        self.memory = WordMemory(KNOWN_WORDS)
 
-    def _ids(self, words: list[str]) -> list[bytes]:
+    def _ids(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word. Some hundred words make one text for the library, whose offsets tell them apart."""
         out: list[bytes] = []
-        joined = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        spelled = [w.decode() for w in words]
+        joined = [spelled[i : i + JOINED] for i in range(0, len(words), JOINED)]
         for own, coded in zip(joined, self.tokenizer.encode_batch([" ".join(own) for own in joined], add_special_tokens=False)):
             starts = np.cumsum([0, *[len(w) + 1 for w in own]])
             ids = np.array(coded.ids, "<i4").tobytes()
@@ -60,32 +60,14 @@ class WordEncoder:
         return out
 
     def encode(self, texts: pa.Array, end: int) -> pa.ListArray:
-        """The ids of each text with the end id.
-
-        Words that came up in a second call are the last to be forgotten when there are over ``KNOWN_WORDS``.
-        """
+        """The ids of each text with the end id, which counts as a word of its own."""
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
-        new = [w for w in words if w not in self.known]
-        again = set(words).difference(new)
-        self.again |= again
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            keep = self.again if len(self.again) + len(new) <= KNOWN_WORDS // 2 else again
-            self.known, self.again = {w: self.known[w] for w in keep}, set()
-        self.known.update(zip(new, self._ids([w.decode() for w in new])))
-        # Each word's ids are copied from those of the distinct words; the end id is a word of its own.
-        found = [*map(self.known.__getitem__, words), end.to_bytes(4, "little")]
-        ids = np.frombuffer(b"".join(found), "<i4")
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        starts = np.cumsum(sizes) - sizes
+        found = self.memory.ids_of(words, self._ids)
         counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         order = np.insert(coded.indices.to_numpy(zero_copy_only=False), np.cumsum(counts), len(words))
-        length = sizes[order]
-        ends = np.cumsum(length)
-        flat = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[order] - (ends - length), length)]
-        closes = np.cumsum(counts + 1) - 1
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends[closes]]).astype(np.int32)), pa.array(flat))
+        return gather([*found, end.to_bytes(4, "little")], order, counts + 1)
 
 
 _encoders: dict[str, WordEncoder] = {}
