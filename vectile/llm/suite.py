@@ -13,11 +13,23 @@ from vectile.llm.langid import predict_languages
 from vectile.llm.machine import predict_quality
 from vectile.llm.mixing import mixed_sizes
 from vectile.llm.orcids import token_index, write_token_files
+from vectile.llm.pii import KINDS, find_personal_data, span_text
 from vectile.llm.rules import apply_rules
 from vectile.llm.simhash import simhash_groups
 from vectile.session import shared_dir
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(read_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(i).alias(f"n_{kind}") for i, kind in enumerate(KINDS)],
+        F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op2_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(read_table(spark, sf_dir, "documents"))
 
@@ -79,6 +91,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_personal_data": (op1_personal_data, None),
     "op2_output_codes": (op2_output_codes, None),
     "op3_spherical_caps": (op3_spherical_caps, OP3_SQL),
     "op4_orc_tokens": (op4_orc_tokens, None),
