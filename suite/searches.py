@@ -137,7 +137,8 @@ def recall_per_query(spark, sf):
 def confusion_lists(spark, sf):
     """The list form: stored neighbours against the exact filtered result, both on one row."""
     found = truth_exact_filtered(spark, sf).select("qid", F.col("rank").alias("pos"), "id")
-    lists = _stored_truth(spark, sf).join(as_lists(found).withColumnRenamed("neighbours", "found"), "qid")
+    lists = _stored_truth(spark, sf).join(as_lists(found).withColumnRenamed("neighbours", "found"), "qid", "left")
+    lists = lists.withColumn("found", F.coalesce("found", F.array().cast("array<bigint>")))
     counted = confusion_of_lists(lists, "neighbours", "found")
     return counted.select("qid", "tp", "fp", "fn", F.round(recall(F.col("tp"), F.col("fn")), 9).alias("recall"))
 
@@ -213,7 +214,8 @@ SELECT s.qid, CAST(s.rank - 1 AS INTEGER) AS pos, s.id FROM stored s JOIN base b
     "confusion_lists": (
         confusion_lists,
         f"""WITH {BASE}, {OWN}, {ranked_sql("stored", "true", STORED)}, {ranked_sql("found", HOLDS, STORED, OWN_JOIN)},
-both_sides AS (SELECT f.qid, count(*) AS nf, count(s.id) AS tp FROM found f LEFT JOIN stored s ON s.qid = f.qid AND s.id = f.id GROUP BY f.qid)
+both_sides AS (SELECT k.qid, count(f.id) AS nf, count(s.id) AS tp FROM (SELECT DISTINCT qid FROM stored) k LEFT JOIN found f ON f.qid = k.qid
+  LEFT JOIN stored s ON s.qid = f.qid AND s.id = f.id GROUP BY k.qid)
 SELECT qid, tp, nf - tp AS fp, {STORED} - tp AS fn, round(tp / {STORED}, 9) AS recall FROM both_sides""",
     ),
 }

@@ -95,37 +95,36 @@ def test_routes_equal_pruning_and_lose_nothing(spark):
 # -- tree ----------------------------------------------------------------------------------------
 
 
-def model(data, candidates, params):
-    """Independent recursive form on plain rows."""
-    leaves, counters = [], {"leaves": 1}
-
-    def grow(rows, rest, conditions):
-        if counters["leaves"] < params.max_num_partitions:
-            for i, (attr, value, freq) in enumerate(rest):
-                if freq < params.min_predicate_frequency:
-                    continue
-                yes = [r for r in rows if r[attr] >= value]
-                no = [r for r in rows if r[attr] < value]
-                share = len(yes) / len(rows)
-                if share < params.selectivity_threshold or share > 1 - params.selectivity_threshold:
-                    continue
-                if min(len(yes), len(no)) < params.min_partition_size:
-                    continue
-                counters["leaves"] += 1
-                grow(yes, rest[i + 1 :], conditions + [(attr, value, True)])
-                grow(no, rest[i + 1 :], conditions + [(attr, value, False)])
-                return
-        leaves.append(conditions)
-
-    grow(data, sorted(candidates, key=lambda c: -c[2]), [])
-    return leaves
-
-
-def paths(tree):
-    out = []
-    for leaf in tree.leaf_paths():
-        out.append([(tree.attrs[tree.splits[leaf[:i]].attr], tree.splits[leaf[:i]].value, side == "0") for i, side in enumerate(leaf)])
-    return out
+def assert_grown(tree, data, atoms, params):
+    """What holds for a finished tree: which candidates were passed over, which one was taken, and why growth ended."""
+    order = [(a, v) for a, v, f in sorted(atoms, key=lambda c: -c[2]) if f >= params.min_predicate_frequency]
+    taken = {path: order.index((tree.attrs[s.attr], s.value)) for path, s in tree.splits.items()}
+    leaves = tree.leaf_paths()
+    assert leaves == sorted(leaves) and len(leaves) == len(tree.splits) + 1 <= max(params.max_num_partitions, 1)
+    assert all(path[:i] in taken for path in taken for i in range(len(path)))  # every split hangs on a split
+
+    def held(path):
+        sides = [(*order[taken[path[:i]]], side == "0") for i, side in enumerate(path)]
+        return [r for r in data if all((r[a] >= v) == above for a, v, above in sides)]
+
+    def divides(rows, at):
+        attr, value = order[at]
+        above = sum(r[attr] >= value for r in rows)
+        share = above / len(rows)
+        return params.selectivity_threshold <= share <= 1 - params.selectivity_threshold and params.min_partition_size <= min(above, len(rows) - above)
+
+    def first_open(path):
+        return taken[path[:-1]] + 1 if path else 0
+
+    for path, at in taken.items():
+        rows = held(path)
+        assert divides(rows, at) and not any(divides(rows, i) for i in range(first_open(path), at))
+    # The budget goes to nodes in path order, so only leaves behind the last split can have ended for lack of it.
+    spent = len(leaves) == params.max_num_partitions
+    for path in leaves:
+        if not spent or (taken and path < max(taken)):
+            rows = held(path)
+            assert not any(divides(rows, i) for i in range(first_open(path), len(order)))
 
 
 def test_golden_tree(spark):
@@ -149,7 +148,7 @@ def test_characterized_example(spark):
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_tree_equals_model_in_both_strategies(spark, seed):
+def test_tree_properties_in_both_strategies(spark, seed):
     rng = random.Random(seed)
     attrs = ("a", "b", "c")
     skewed = lambda: 7 if rng.random() < 0.3 else rng.randrange(0, 20)  # a third of the rows share one value
@@ -157,13 +156,12 @@ def test_tree_equals_model_in_both_strategies(spark, seed):
     atoms = list({(rng.choice(attrs), rng.randrange(1, 20)): rng.randrange(1, 6) for _ in range(25)}.items())
     atoms = [(a, v, f) for (a, v), f in atoms]
     params = TreeParams(rng.choice([1, 2]), rng.choice([0.05, 0.11, 0.2]), rng.choice([1, 5, 20]), rng.choice([1, 2, 3, 7, 50]))
-    want = model(data, atoms, params)
     df = spark.createDataFrame([tuple(r[a] for a in attrs) for r in data], "a int, b int, c int")
     tree = build_tree(df, attrs, atoms, params)
-    assert paths(tree) == want
+    assert_grown(tree, data, atoms, params)
     if seed < 3:
         by_level = build_tree(df, attrs, atoms, params, max_driver_cells=0)
-        assert paths(by_level) == want
+        assert by_level.splits == tree.splits
     checked = validate(df, tree.catalog()).collect()
     assert sum(r.n_rows for r in checked) == 300 and all(r.n_rows == r.n_inside for r in checked)
     routed = df.select((tree.case_route() == tree.catalog().route()).alias("same"))

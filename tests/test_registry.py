@@ -1,4 +1,5 @@
 import os
+import re
 import sys
 
 import pytest
@@ -17,7 +18,9 @@ def test_entry(spark):
 
 
 def test_every_query_has_a_twin():
-    assert entry.queries().keys() - entry.oracle_sql().keys() == RANDOM
+    without = entry.queries().keys() - entry.oracle_sql().keys()
+    optional = {name for name in without if re.match(r"op\d+_|pipeline$", name)}  # tested with their own package
+    assert without - optional == RANDOM
 
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))

@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from conftest import plan_of
@@ -186,8 +187,19 @@ def test_cell_search_with_small_blocks(spark, sf):
     one = cells.search_cells(stored, asked, 5).select("qid", "id", "rank")
     two = cells.search_cells(stored, asked, 5, limits=TINY).select("qid", "id", "rank")
     assert one.exceptAll(two).count() == 0 and two.exceptAll(one).count() == 0
-    with pytest.raises(ValueError):
-        cells.check_model(np.zeros((1 << 20, 64), np.float32))
+    assert len(cells.train_cells(rows, None, max_iter=2)) == round(rows.count() ** 0.5)
+
+
+def test_odd_vectors_and_unknown_attributes(spark):
+    rows = spark.createDataFrame([(1, [0.0, 1.0], 5), (2, None, 6), (3, [2.0, 0.0], 7)], "id bigint, vector array<float>, a int")
+    asked = spark.createDataFrame([(1, [0.0, 0.0])], "qid bigint, vector array<float>")
+    assert [r.id for r in search(rows, asked, 5, ["a"]).orderBy("rank").collect()] == [1, 3]
+    assert [r.id for r in nearest(rows, [0.0, 0.0], 5).collect()] == [1, 3]
+    uneven = spark.createDataFrame([(1, [0.0], 5), (2, [1.0, 2.0, 3.0], 6)], rows.schema).coalesce(1)
+    for attribute, base_rows in ((0, uneven), (-1, rows), (1, rows)):
+        dnf = F.array(F.array(F.struct(F.lit(attribute).alias("attr"), F.lit(False).alias("neg"), F.lit(6).alias("value")))).cast(DNF_TYPE)
+        with pytest.raises((PythonException, IndexError)):
+            search(base_rows, asked.withColumn("dnf", dnf), 5, ["a"]).collect()
 
 
 def test_folder_names_that_look_like_numbers(spark, copies, tmp_path):

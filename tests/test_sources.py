@@ -162,6 +162,11 @@ def test_stream_ingest(spark, sf, tmp_path):
     stored = read_collection(spark, path)
     assert stored.count() == rows_.count() and stored.filter(F.col("part") != CATALOG.route()).count() == 0
     assert read_catalog(spark, path).boxes == CATALOG.boxes
+    write_collection(rows_.limit(10), path, ATTRS, CATALOG, mode="append")  # batch rows land beside streamed ones
+    assert read_collection(spark, path).count() == rows_.count() + 10
+    for other in (None, Catalog.from_ranges(ATTRS, {"all": {ATTRS[0]: (0, 1)}})):
+        with pytest.raises(ValueError):
+            write_collection(rows_.limit(10), path, ATTRS, other, mode="append")
 
 
 def test_shared_folder(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,9 +26,12 @@ def normal_attribute(u: Column, v: Column, mean: float, std: float) -> Column:
     return (F.lit(float(mean)) + F.lit(float(std)) * z).cast("int")
 
 
-def with_uniform_attributes(df: DataFrame, attrs: Sequence[str], maximum: int, key: str = "id", seed: int = 584) -> DataFrame:
-    """One independent uniform attribute in [0, maximum) per name."""
-    columns = {a: uniform_attribute(hash_uniform(F.col(key), i, seed), 0, maximum) for i, a in enumerate(attrs)}
+def with_uniform_attributes(
+    df: DataFrame, attrs: Sequence[str], maximum: int, key: str = "id", seed: int = 584, uniform: Callable[[Column, int], Column] | None = None
+) -> DataFrame:
+    """One independent uniform attribute in [0, maximum) per name; ``uniform`` maps (key, stream) to numbers in (0, 1)."""
+    draw = uniform or (lambda k, stream: hash_uniform(k, stream, seed))
+    columns = {a: uniform_attribute(draw(F.col(key), i), 0, maximum) for i, a in enumerate(attrs)}
     return df.withColumns(columns)
 
 

@@ -198,6 +198,8 @@ class Catalog:
                     forms = batch.column(dnf)
                     literals = forms.flatten().flatten()
                     attr, neg, value = (literals.field(n).to_numpy(zero_copy_only=False) for n in ("attr", "neg", "value"))
+                    if len(attr) and not 0 <= attr.min() <= attr.max() < len(lo):
+                        raise ValueError(f"a filter names an attribute outside the {len(lo)} of the catalog")
                     may = np.where(neg[:, None], lo[attr] < value[:, None], hi[attr] >= value[:, None])
                     clause = _per_list(~may, forms.flatten()) == 0
                     kept = _per_list(clause, forms) > 0

@@ -17,29 +17,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vectile.functions.vectors import hash_uniform
 from vectile.operators.search import SearchLimits, matrix, search
 from vectile.session import ship_by_value
 
 # Cell count and cells read per query to start from.
 N_CELLS, N_PROBE = 128, 16
-#: Centroids and hyperplanes travel with every task.
-MAX_MODEL_BYTES = 64 << 20
 
 
-def train_cells(base: DataFrame, n_cells: int = N_CELLS, seed: int = 584, train_rows: int = 256 * N_CELLS, max_iter: int = 10) -> np.ndarray:
-    """Cell centres by k-means on a sample of about ``train_rows`` rows; every row is assigned later."""
-    n = base.count()
-    share = min(1.0, train_rows / max(n, 1))
-    sample = base if share == 1.0 else base.filter(F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    features = sample.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
-    model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, initSteps=2).fit(features)
-    return check_model(np.asarray(model.clusterCenters(), dtype=np.float32))
-
+def train_cells(base: DataFrame, n_cells: int | None = N_CELLS, seed: int = 584, fraction: float = 1.0, max_iter: int = 10) -> np.ndarray:
+    """Cell centres by k-means on all rows, or on an explicit ``fraction`` of them chosen by a hash of the id.
 
-def check_model(model: np.ndarray) -> np.ndarray:
-    if model.nbytes > MAX_MODEL_BYTES:
-        raise ValueError(f"cell model of {model.nbytes} bytes; at most {MAX_MODEL_BYTES} may be sent to tasks")
-    return model
+    Without ``n_cells`` there are about as many cells as the square root of the number of rows.
+    """
+    base = base.filter(F.col("vector").isNotNull())
+    if n_cells is None:
+        n_cells = max(1, round(base.count() ** 0.5))
+    if fraction < 1.0:
+        base = base.filter(hash_uniform(F.col("id"), 0, seed) < fraction)
+    features = base.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
+    model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, initSteps=2).fit(features)
+    return np.asarray(model.clusterCenters(), dtype=np.float32)
 
 
 def with_nearest_cells(df: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
@@ -53,7 +51,7 @@ def with_nearest_cells(df: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
 
 
 def hyperplanes(dim: int, bits: int, seed: int = 584) -> np.ndarray:
-    return check_model(np.random.default_rng(seed).standard_normal((bits, dim)).astype(np.float32))
+    return np.random.default_rng(seed).standard_normal((bits, dim)).astype(np.float32)
 
 
 def with_codes(df: DataFrame, planes: np.ndarray, probes: int = 1) -> DataFrame:

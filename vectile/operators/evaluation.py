@@ -7,6 +7,8 @@ columns; every function takes the grouping columns as a parameter and combines b
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,8 +61,10 @@ def time_stats(runs: DataFrame, keys: Sequence[str], time: str = "search_time")
 
 
 def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    if keys:
-        return left.join(right, list(keys))
+    if keys:  # null is a group like any other
+        other = right.select(*[F.col(k).alias(f"same_{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"same_{i}")) for i, k in enumerate(keys)])
+        return left.join(other, same).drop(*[f"same_{i}" for i in range(len(keys))])
     return left.withColumns({c: right.select(c).scalar() for c in right.columns})  # a single row
 
 
@@ -80,7 +84,7 @@ def mean_over_trials(runs: DataFrame, keys: Sequence[str], trial: str = "trial",
     )
     tails = quantiles(runs, per_trial, "search_time", [percent / 100]).select(*per_trial, F.get("q", F.lit(0)).alias("p"))
     return (
-        means.join(tails, per_trial)
+        _attach(means, tails, per_trial)
         .groupBy(*keys)
         .agg(F.avg("t").alias("mean_time"), F.avg("r").alias("mean_recall"), F.avg("p").alias("tail_time"))
     )

@@ -40,6 +40,7 @@ def nearest(
         base = base.filter(F.col("part").isin(list(parts))) if parts else base.filter(F.lit(False))
     if predicate is not None:
         base = base.filter(as_column(predicate))
+    base = base.filter(F.col("vector").isNotNull())
     target = query if isinstance(query, Column) else F.array(*[F.lit(float(x)) for x in query])
     return base.select("id", squared_l2(F.col("vector"), target).alias("dist")).orderBy("dist", "id").limit(k)
 
@@ -72,7 +73,11 @@ def search(
     ``seed`` is a small sample of the base rows, searched first. A query's k-th distance within it bounds
     the result, so tasks pass on only rows within the bound instead of k rows each: on thousands of
     tasks that, not the distances, decides how much is shuffled.
+
+    Rows and queries without a vector are left out; vectors of different lengths and filters on attributes outside
+    ``attrs`` are errors.
     """
+    base, queries = base.filter(F.col("vector").isNotNull()), queries.filter(F.col("vector").isNotNull())
     routed = "parts" in queries.columns
     if "dnf" not in queries.columns:
         queries = queries.withColumn("dnf", F.lit(None).cast(DNF_TYPE))
@@ -120,8 +125,6 @@ def _prefiltered(base: DataFrame, table: pa.Table, attrs: Sequence[str], most: i
 def _broadcast_search(base: DataFrame, table: pa.Table, k: int) -> DataFrame:
     spark = base.sparkSession
     held = spark.sparkContext.broadcast(table)
-    # A task emits k rows per query, so the task count, not the file count, sets the shuffle size.
-    scan = base.coalesce(3 * spark.sparkContext.defaultParallelism)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = QueryBlock(held.value, k)
@@ -129,7 +132,7 @@ def _broadcast_search(base: DataFrame, table: pa.Table, k: int) -> DataFrame:
             block.add(batch)
         yield from block.results()
 
-    return scan.mapInArrow(kernel, RESULT_TYPE)
+    return base.mapInArrow(kernel, RESULT_TYPE)
 
 
 # -- any number of queries: groups of one base block and one query block -------------------------
@@ -191,6 +194,9 @@ def matrix(column) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if not len(column):
         return np.empty((0, 0), np.float32)
+    sizes = pc.list_value_length(column)
+    if column.null_count or pc.min_max(sizes).as_py()["min"] != pc.min_max(sizes).as_py()["max"]:
+        raise ValueError("vectors have to be present and of one length")
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1).astype(np.float32, copy=False)
 
@@ -297,6 +303,9 @@ class QueryBlock:
 
     def _masks(self, used, values) -> np.ndarray:
         """Which rows pass each of the filters; every distinct literal is tested once per tile."""
+        named = {l[0] for f in used for clause in self.filters[f] or () for l in clause}
+        if named and not 0 <= min(named) <= max(named) < values.shape[1]:
+            raise ValueError(f"a filter names an attribute outside the {values.shape[1]} of the search")
         tested = {l: (values[:, l[0]] >= l[2]) != l[1] for f in used for clause in self.filters[f] or () for l in clause}
         masks = np.empty((len(used), len(values)), bool)
         for i, f in enumerate(used):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,9 +39,13 @@ def write_collection(
 
     Without a catalog rows are written where they are. With one they are routed and rebalanced:
     AQE merges small partitions into shared tasks and splits a large one over several, so a
-    partition that holds a third of the rows is no single task.
+    partition that holds a third of the rows is no single task. Appending to a collection that has a catalog routes
+    with the stored one; another one, or none, is an error, as older folders keep their boxes.
     """
     rows = collection_rows(df, attrs)
+    if mode == "append" and (stored := stored_catalog(df.sparkSession, path)) is not None:
+        if catalog is None or catalog.boxes != stored.boxes or list(catalog.attrs) != list(stored.attrs):
+            raise ValueError(f"{path} has another catalog; append with the stored one")
     if catalog is None:
         rows.write.mode(mode).option("maxRecordsPerFile", rows_per_file).parquet(path)
         return
@@ -54,6 +59,16 @@ def read_collection(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def stored_catalog(spark: SparkSession, path: str) -> Catalog | None:
+    """The catalog beside a collection, if there is one."""
+    try:
+        return read_catalog(spark, path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def read_catalog(spark: SparkSession, path: str) -> Catalog:
     return Catalog.from_df(spark.read.parquet(f"{path}/{CATALOG_DIR}"))
 
@@ -72,7 +87,7 @@ def compact(spark: SparkSession, source: str, target: str, attrs: Sequence[str],
     """Rewrite the layout: rows ranged by partition and attribute and sorted inside each task, so that
     the minimum and maximum of a Parquet row group skip data inside a partition as well."""
     rows = read_collection(spark, source)
-    keys = [F.col(c) for c in ("part", *attrs) if c in rows.columns]
+    keys = [F.col(c) for c in ("part", *attrs, "id") if c in rows.columns]
     ranged = rows.repartitionByRange(n, *keys) if n else rows.repartitionByRange(*keys)
     out = ranged.sortWithinPartitions(*keys).write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE)
     if "part" not in rows.columns:

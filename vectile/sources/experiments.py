@@ -23,7 +23,8 @@ def read_workload(spark: SparkSession, path: str, attrs: Sequence[str], n: int |
     """Range conditions of a JSON-lines workload, one row per condition of a line's first conjunct.
 
     ``{"gt": g, "lt": l}`` means ``x >= g + 1 and not x >= l``. Lines that do not parse and conditions
-    of another kind or without both bounds are skipped; ``n`` bounds the lines read, skipped ones included.
+    of another kind, without both bounds or on an attribute outside ``attrs`` are skipped; ``n`` bounds the lines
+    read, skipped ones included.
     """
     lines = spark.read.text(path)
     if n is not None:
@@ -35,7 +36,7 @@ def read_workload(spark: SparkSession, path: str, attrs: Sequence[str], n: int |
     first = F.get(F.map_keys("ops"), F.lit(0))
     ranged = conditions.filter(first == "range").withColumn("r", F.col("ops")["range"])
     kept = ranged.filter(
-        F.col("r.gt").isNotNull() & F.col("r.lt").isNotNull() & F.col("query").isNotNull()
+        F.col("attr").isin(list(attrs)) & F.col("r.gt").isNotNull() & F.col("r.lt").isNotNull() & F.col("query").isNotNull()
         & F.col("closest_ids").isNotNull() & F.col("closest_scores").isNotNull()
     )
     place = F.array_position(literal_array(attrs, "array<string>"), F.col("attr")) - 1

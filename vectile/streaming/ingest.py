@@ -1,8 +1,4 @@
-"""Chunked ingest as a stream: each micro-batch of new rows is appended to the partitions it routes to.
-
-Routing is a stateless expression, so nothing is kept between batches and the file sink's own log
-makes every row land once.
-"""
+"""Chunked ingest as a stream: each micro-batch of new rows is appended to the partitions it routes to."""
 
 from __future__ import annotations
 
@@ -12,17 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
 from vectile.operators.catalog import Catalog
-from vectile.sources.collection import CATALOG_DIR, collection_rows
+from vectile.sources.collection import stored_catalog, write_collection
 
 
 def routed_ingest(stream: DataFrame, path: str, checkpoint: str, attrs: Sequence[str], catalog: Catalog) -> DataStreamWriter:
-    """Writer for a streaming frame of (id, vector, attributes); call ``start`` on it."""
-    catalog.to_df(stream.sparkSession).coalesce(1).write.mode("overwrite").parquet(f"{path}/{CATALOG_DIR}")
-    routed = collection_rows(stream, attrs).withColumn("part", catalog.route())
-    return (
-        routed.writeStream.format("parquet")
-        .outputMode("append")
-        .partitionBy("part")
-        .option("checkpointLocation", checkpoint)
-        .option("path", path)
-    )
+    """Writer for a streaming frame of (id, vector, attributes); call ``start`` on it.
+
+    Micro-batches go through ``write_collection``, so streamed and batch rows share one folder layout and read
+    together. A batch that is run again after a failure is appended again: read by distinct id after one.
+    """
+
+    def append(batch: DataFrame, _: int) -> None:
+        fresh = stored_catalog(batch.sparkSession, path) is None
+        write_collection(batch, path, attrs, catalog, mode="overwrite" if fresh else "append")
+
+    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
