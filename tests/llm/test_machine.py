@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import types as T
 
-from vectile.llm.machine import BINS, STATISTICS, WORD_BUCKETS, Machine, fit_quality, predict_quality, train, words_and_statistics
+from vectile.llm.machine import Rows, BINS, STATISTICS, WORD_BUCKETS, Machine, fit_quality, predict_quality, train, words_and_statistics
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("score", T.StringType()), T.StructField("label", T.StringType())])
 LABELS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("quality", T.IntegerType())])
@@ -26,7 +26,7 @@ def test_pairs_are_learned():
         a, b = draw.integers(0, 2, 2)
         rows.append((np.array([10 + a, 20 + b]), np.array([1.0, 1.0]), np.zeros(len(STATISTICS))))
         labels.append(float(a == b))
-    machine = train(rows, np.array(labels), epochs=60)
+    machine = train(Rows.of(rows), np.array(labels), epochs=60)
     got = [machine.score(*machine.features(*r)) > 0.5 for r in rows]
     assert np.mean(np.array(got) == np.array(labels)) > 0.95
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,12 +76,31 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weight[index] @ value + pairs, -30, 30))))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarray, rank: int = 8, epochs: int = 8, batch: int = 128, rate: float = 0.1, decay: float = 1e-4, seed: int = 42) -> Machine:
+@dataclass
+class Rows:
+    """Hashed words of many texts in flat arrays, row i from ``ends[i - 1]`` to ``ends[i]``, and their statistics."""
+
+    buckets: np.ndarray
+    values: np.ndarray
+    ends: np.ndarray
+    numbers: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Rows:
+        buckets, values, numbers = zip(*rows)
+        return cls(np.concatenate(buckets), np.concatenate(values), np.cumsum([len(b) for b in buckets]), np.array(numbers))
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = slice(self.ends[i - 1] if i else 0, self.ends[i])
+        return self.buckets[own].astype(np.int64), self.values[own].astype(float), self.numbers[i]
+
+
+def train(rows: Rows, labels: np.ndarray, rank: int = 8, epochs: int = 8, batch: int = 128, rate: float = 0.1, decay: float = 1e-4, seed: int = 42) -> Machine:
     """A machine fitted to labelled rows by mini-batches with adaptive steps; classes weigh alike.
 
     The order is a function of the seed. One class alone gives its share as score for every text.
     """
-    numbers = np.array([n for _, _, n in rows])
+    numbers = rows.numbers
     width = numbers.shape[1]
     cuts = np.quantile(numbers, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
     size = WORD_BUCKETS + width * BINS
@@ -89,15 +109,14 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndar
     weight_of = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
     if labels.min() == labels.max():
         return Machine(cuts, 4.0 if labels[0] else -4.0, machine.weight, np.zeros((size, rank)))
-    coded = [machine.features(*row) for row in rows]
     sums = [np.full(size, 1e-2), np.full((size, rank), 1e-2), 1e-2]
     for _ in range(epochs):
-        order = draw.permutation(len(rows))
+        order = draw.permutation(len(labels))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
-            index = np.concatenate([coded[i][0] for i in own])
-            value = np.concatenate([coded[i][1] for i in own])
-            lengths = np.array([len(coded[i][0]) for i in own])
+            coded = [machine.features(*rows.row(i)) for i in own]
+            index, value = (np.concatenate(part) for part in zip(*coded))
+            lengths = np.array([len(i) for i, _ in coded])
             ends = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             scaled = machine.factor[index] * value[:, None]
             total = np.add.reduceat(scaled, ends)
@@ -122,7 +141,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = 5000, text: str
     """Learn from documents outside the held-out fold: at most about ``most`` labelled rows of either class.
 
     That bound is what makes the list of chosen ids, which goes to the documents, and the features of their texts, which
-    come to the driver, of fixed size. Ids whose labels contradict each other or are null teach nothing. Without
+    come to the driver in flat arrays of narrow types, of fixed size. Ids whose labels contradict each other or are null teach nothing. Without
     any labelled document every text scores 0.5.
     """
     marks = labels.where(~is_held_out(F.col(doc_id)) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("label_id"))
@@ -134,18 +153,23 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = 5000, text: str
 
     def features(own: pa.Array) -> list[pa.Array]:
         found = [words_and_statistics(t.as_py()) for t in own]
-        lists = lambda k, kind: pa.array([f[k] for f in found], pa.list_(kind))
-        return [lists(0, pa.int32()), lists(1, pa.float64()), lists(2, pa.float64())]
+        lists = lambda k, kind: pa.array([f[k].astype(kind) for f in found], pa.list_(pa.from_numpy_dtype(kind)))
+        return [lists(0, np.int16), lists(1, np.float32), lists(2, np.float64)]
 
-    fields = [("buckets", "array<int>"), ("vals", "array<double>"), ("numbers", "array<double>")]
+    fields = [("buckets", "array<smallint>"), ("vals", "array<float>"), ("numbers", "array<double>")]
     rows = with_text_results(sample, features, fields).select("row.doc_id", "row.label", "buckets", "vals", "numbers").toArrow()
     if not rows.num_rows:
         width = len(STATISTICS)
         return Machine(np.zeros((width, BINS - 1)), 0.0, np.zeros(WORD_BUCKETS + width * BINS), np.zeros((WORD_BUCKETS + width * BINS, 1)))
-    table = rows.sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    unpack = lambda name: [np.asarray(x.values) for x in table[name]]
-    parts = list(zip(unpack("buckets"), unpack("vals"), unpack("numbers")))
-    return train([(b.astype(np.int64), v, n) for b, v, n in parts], table["label"].to_numpy().astype(float), seed=seed)
+    table = rows.sort_by([("doc_id", "ascending"), ("label", "ascending")]).combine_chunks()
+    del rows
+    flat = lambda name: np.concatenate([c.flatten().to_numpy() for c in table[name].chunks])
+    lengths = pc.list_value_length(table["buckets"]).to_numpy()
+    own = Rows(flat("buckets"), flat("vals"), np.cumsum(lengths), flat("numbers").reshape(len(lengths), -1))
+    labelled = table["label"].to_numpy().astype(float)
+    del table
+    pa.default_memory_pool().release_unused()
+    return train(own, labelled, seed=seed)
 
 
 def with_quality(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
