@@ -90,3 +90,35 @@ def test_no_python_and_empty_table(spark):
     plan = redact(df, fit_spans(df))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
     assert find_personal_data(df.limit(0)).collect() == [] and redact(df.limit(0)).collect() == []
+
+
+def luhn_number(draw, prefix, length):
+    body = prefix + "".join(str(draw.randint(0, 9)) for _ in range(length - len(prefix) - 1))
+    return next(body + c for c in "0123456789" if sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(body + c))) % 10 == 0)
+
+
+def unmatched_by_base(n):
+    """(kind or None, text): what the base patterns miss, by kind, among texts that only look like it."""
+    draw = random.Random(3)
+    part = lambda: f"{draw.randint(0, 65535):x}"
+    number = lambda: f"({draw.randint(200, 999)}) 555-{draw.randint(0, 9999):04}"
+    for i in range(n):
+        yield 0, f"please write to user{i} (at) mail{i % 9} (dot) example (dot) com for more"
+        yield None, f"they look at noon{i} dot the end and then"
+        yield 1, f"the route of {':'.join(part() for _ in range(8))} is up"
+        yield None, f"it ran from 12:{i % 60:02}:45:{draw.randint(0, 99):02} and on"
+        yield 2, f"paid by {luhn_number(draw, '37', 15)} again"
+        yield None, f"the order has number {draw.randint(7 * 10**14, 8 * 10**14)} today"
+        yield 3, f"ring 1 {number()} after nine"
+        yield None, f"ring +1 {number()} after nine"
+
+
+def test_every_generator_adds_spans_with_the_production_parameters(spark):
+    cases = list(unmatched_by_base(200))
+    df = spark.createDataFrame([(i, t, "", "") for i, (_, t) in enumerate(cases)], DOCS).repartition(4)
+    added = {r.doc_id: {s.kind for s in set(r.spans) - set(r.base)} for r in find_personal_data(df).collect()}
+    for kind in range(len(KINDS)):
+        hit = [kind in added[i] for i, (k, _) in enumerate(cases) if k == kind]
+        assert sum(hit) >= 0.9 * len(hit), KINDS[kind]
+    wrong = sum(bool(added[i]) for i, (k, _) in enumerate(cases) if k is None)
+    assert wrong <= 0.05 * sum(map(len, added.values()))

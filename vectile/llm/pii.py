@@ -2,13 +2,13 @@
 
 Fixed patterns give the base spans. Wider generators propose further spans, which may overlap them: obfuscated mail addresses,
 IPv6-like groups, long digit runs, telephone numbers without a plus. Boosted trees over format and context score the
-candidates, and a threshold calibrated for each kind selects those to redact as well.
+candidates, and a threshold calibrated for each kind selects those to redact as well. They learn from checks of format and
+context, not from the base spans, so that what the base patterns miss can be right.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -37,8 +37,12 @@ GENERATORS = (
 )
 CONTEXT = ("mail|contact|write to", r"\bip\b|host|server|addr", "card|visa|credit|debit", "phone|tel|call|fax|mobile|dial")
 OCTETS = "^" + r"\.".join(["0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"] * 4) + "$"
+# Syntax of an address whose marks are written out, known issuers of cards with their lengths, layouts of telephone numbers.
+ADDRESS = r"^[a-z0-9](?:[a-z0-9_%+-]|\.(?=[a-z0-9_%+-]))*@(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,24}$"
+ISSUERS = r"^(?:4[0-9]{12}|4[0-9]{15}|4[0-9]{18}|3[47][0-9]{13}|3(?:0[0-5]|[68][0-9])[0-9]{11}|5[1-5][0-9]{14}|2[2-7][0-9]{14}|35[0-9]{14}|6[0-9]{15,18})$"
+LAYOUTS = (r"^(?:[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\) ?[0-9]{3,4}[ .-]?[0-9]{3,4}$", r"^(?:[0-9]{1,3}[ .-])?[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}$")
 NEAR = 24
-FEATURES = ("kind", "digits", "breaks", "letters", "context", "before", "after")
+FEATURES = ("kind", "digits", "breaks", "letters", "context", "before", "after", "form")
 
 
 def _digits(match: Column) -> Column:
@@ -93,8 +97,35 @@ def base_spans(text: Column) -> list[Column]:
     return [F.when(n, F.filter(matches(text, p), k)).otherwise(none) for p, k, n in zip(BASE, keep, need)]
 
 
+def written_form(kind: int, match: Column) -> Column:
+    """How a candidate is written: marks of a mail address, issuer of a card, layout of a telephone number."""
+    if kind == 0:
+        return F.when(F.contains(match, F.lit("@")), 2).when(match.rlike(r"[(\[](?:at|dot)[)\]]"), 1).otherwise(0)
+    if kind == 2:
+        return _digits(match).rlike(ISSUERS).cast("int")
+    return F.when(match.rlike(LAYOUTS[0]), 2).when(match.rlike(LAYOUTS[1]), 1).otherwise(0) if kind == 3 else F.lit(0)
+
+
+def is_sound(kind: int, m: Column, named: Column) -> Column:
+    """The label of a candidate, whatever the base patterns say: valid syntax, check sum or layout, or a word that names the kind.
+
+    The check sum and the plus of a telephone number are no features.
+    """
+    match, digits = m["match"], _digits(m["match"])
+    alone = ~F.right(m["before"], F.lit(1)).rlike("[a-z0-9]") & ~F.lower(m["after"]).rlike("[a-z0-9]")
+    if kind == 0:
+        plain = F.regexp_replace(F.regexp_replace(match, r" ?[(\[]at[)\]] ?| at | ?@ ?", "@"), r" ?[(\[]dot[)\]] ?| dot | ?\. ?", ".")
+        return F.lower(plain).rlike(ADDRESS) & ((written_form(0, match) > 0) | named)
+    if kind == 1:
+        return F.length(match) - F.length(F.translate(match, ":", "")) == 7
+    if kind == 2:
+        return alone & luhn(digits)
+    quad = match.rlike(r"^[0-9]+(?:\.[0-9]+){3}$")
+    return alone & ~quad & F.length(digits).between(8, 15) & (F.endswith(m["before"], F.lit("+")) | named | (written_form(3, match) > 0))
+
+
 def candidates(text: Column) -> Column:
-    """All spans of the generators as (kind, start, end) with the features of format and context."""
+    """All spans of the generators as (kind, start, end) with the features of format and context and their label ``sound``."""
 
     def described(kind: int):
         def one(m: Column) -> Column:
@@ -106,12 +137,14 @@ def candidates(text: Column) -> Column:
                 F.lit(kind).alias("kind"),
                 m["start"].alias("start"),
                 m["end"].alias("end"),
-                F.length(_digits(m["match"])).alias("digits"),
+                F.least(F.length(_digits(m["match"])), F.lit(20)).alias("digits"),
                 F.least(F.length(F.regexp_replace(m["match"], "[A-Za-z0-9]", "")), F.lit(8)).alias("breaks"),
                 m["match"].rlike("[A-Za-z]").cast("int").alias("letters"),
                 F.when(hits[kind], 2).when(others, 1).otherwise(0).alias("context"),
                 edge(last).alias("before"),
                 edge(F.lower(m["after"])).alias("after"),
+                written_form(kind, m["match"]).alias("form"),
+                is_sound(kind, m, hits[kind]).alias("sound"),
             )
 
         return one
@@ -119,7 +152,7 @@ def candidates(text: Column) -> Column:
     digits = text.rlike("[0-9][ ().-]{0,2}[0-9][ ().-]{0,2}[0-9]")
     spelled = F.contains(text, F.lit("@")) | text.rlike(r"\((?:at|dot)\)|\[(?:at|dot)\]| dot ")
     need = (spelled, F.contains(text, F.lit(":")), digits, digits)
-    shape = "array<struct<kind:int,start:int,end:int,digits:int,breaks:int,letters:int,context:int,before:int,after:int>>"
+    shape = "array<struct<kind:int,start:int,end:int,digits:int,breaks:int,letters:int,context:int,before:int,after:int,form:int,sound:boolean>>"
     none = F.array().cast(shape)
     return F.concat(*[F.when(n, F.transform(matches(text, p), described(k))).otherwise(none) for k, (p, n) in enumerate(zip(GENERATORS, need))])
 
@@ -178,22 +211,29 @@ class SpanModel:
     thresholds: tuple[float, ...] = (math.inf,) * len(KINDS)
 
     def accepts(self, c: Column) -> Column:
-        """Whether a candidate's margin reaches the threshold of its kind."""
+        """Whether a candidate's margin reaches the threshold of its kind.
+
+        A number as long as a card of the base pattern is settled there, by its check sum, and not taken up again.
+        """
         possible = [k for k, t in enumerate(self.thresholds) if t < math.inf]
         if not possible:
             return F.lit(False)
         margin = reduce(lambda a, b: a + b, [t.column(c) for t in self.trees])
         bar = reduce(lambda other, k: F.when(c["kind"] == k, F.lit(self.thresholds[k])).otherwise(other), possible, F.lit(math.inf))
-        return margin >= bar
+        return (margin >= bar) & ~settled(c)
+
+
+def settled(c: Column) -> Column:
+    return (c["kind"] == 2) & (c["digits"] >= 16)
 
 
 def fit_spans(docs: DataFrame, most: int = 20_000, precision: float = 0.95, support: int = 20, text: str = "text", doc_id: str = "doc_id", seed: int = 42) -> SpanModel:
     """Boosted trees on the candidates of at most about ``most`` documents, the documented bound, chosen by a hash.
 
-    A candidate is positive if it overlaps a base span of its kind, whose checks (the sum of a card, the plus of a number)
-    are no features. One half of the documents, by hash, trains the trees; on the other the lowest threshold of each kind
-    is taken from which at least ``precision`` of the candidates, at least ``support`` of them, are positive. A
-    kind without one adds no span. The driver gets counts per combination of features, of which there are few.
+    A candidate is positive if ``is_sound`` says so. One half of the documents, by hash, trains the trees; on the other the
+    lowest threshold of each kind is taken from which at least ``precision`` of the candidates, at least ``support`` of
+    them, are positive, and likewise of those that no base span overlaps, which are what is added. A kind without one
+    adds no span. The driver gets counts per combination of features, of which there are few.
     """
     total = docs.count()
     if not total:
@@ -202,21 +242,23 @@ def fit_spans(docs: DataFrame, most: int = 20_000, precision: float = 0.95, supp
     share = F.shiftrightunsigned(draw, 11).cast("double") / F.lit(float(2**53)) < min(1.0, most / total)
     sample = docs.where(share).select(F.pmod(draw, F.lit(2)).alias("fold"), whole_text(text).alias("own_text"))
     found = sample.select("fold", F.array(*base_spans(F.col("own_text"))).alias("base"), candidates(F.col("own_text")).alias("spans")).where(F.size("spans") > 0)
-    known = lambda s: F.exists(F.get(F.col("base"), s["kind"]), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    rows = found.select("fold", F.explode(F.transform("spans", lambda s: F.struct(*[s[f].alias(f) for f in FEATURES], known(s).alias("known")))).alias("s")).select("fold", "s.*")
-    counts = rows.groupBy("fold", *FEATURES).agg(F.sum(F.col("known").cast("int")).alias("yes"), F.count("*").alias("n")).collect()
-    halves: list[dict] = [defaultdict(lambda: (0, 0)), defaultdict(lambda: (0, 0))]
+    new = lambda s: ~settled(s) & ~F.exists(F.flatten("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    rows = found.select("fold", F.explode(F.transform("spans", lambda s: F.struct(*[s[f].alias(f) for f in FEATURES], s["sound"].alias("sound"), new(s).alias("new")))).alias("s")).select("fold", "s.*")
+    sure = F.col("sound").cast("int")
+    counts = rows.groupBy("fold", *FEATURES).agg(F.sum(sure).alias("yes"), F.count("*").alias("n"), F.sum(F.when(F.col("new"), sure).otherwise(0)).alias("new_yes"), F.sum(F.col("new").cast("int")).alias("new_n")).collect()
+    halves: list[dict] = [{}, {}]
     for r in counts:
-        halves[r.fold][tuple(r[f] for f in FEATURES)] = (r.yes, r.n - r.yes)
-    trees = boost(dict(halves[0]))
+        halves[r.fold][tuple(r[f] for f in FEATURES)] = (r.yes, r.n, r.new_yes, r.new_n)
+    trees = boost({x: (c[0], c[1] - c[0]) for x, c in halves[0].items()})
     thresholds = []
     for kind in range(len(KINDS)):
-        scored = sorted(((sum(t.score(x) for t in trees), yes, no) for x, (yes, no) in halves[1].items() if x[0] == kind), reverse=True)
-        bar, yes, no = math.inf, 0, 0
-        for i, (score, a, b) in enumerate(scored):
-            yes, no = yes + a, no + b
+        scored = sorted(((sum(t.score(x) for t in trees), *c) for x, c in halves[1].items() if x[0] == kind), reverse=True)
+        bar, seen = math.inf, (0, 0, 0, 0)
+        for i, (score, *c) in enumerate(scored):
+            seen = tuple(a + b for a, b in zip(seen, c))
+            yes, n, new_yes, new_n = seen
             last_of_score = i + 1 == len(scored) or scored[i + 1][0] < score
-            if last_of_score and yes + no >= support and yes >= precision * (yes + no):
+            if last_of_score and n >= support and yes >= precision * n and new_yes >= precision * new_n:
                 bar = score
         thresholds.append(round(bar, 6) - 1e-6 if bar < math.inf else bar)
     return SpanModel(trees, tuple(thresholds))
