@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import types as T
 
-from vectile.llm.pii import FEATURES, KINDS, SpanModel, boost, find_personal_data, fit_spans, redact
+from vectile.llm.pii import FEATURES, KINDS, SpanModel, Tree, boost, find_personal_data, fit_spans, redact
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("base", T.StringType()), T.StructField("row", T.StringType())])
 PLAIN = {
@@ -122,3 +122,14 @@ def test_every_generator_adds_spans_with_the_production_parameters(spark):
         assert sum(hit) >= 0.9 * len(hit), KINDS[kind]
     wrong = sum(bool(added[i]) for i, (k, _) in enumerate(cases) if k is None)
     assert wrong <= 0.05 * sum(map(len, added.values()))
+
+
+def test_the_best_of_overlapping_candidates_stays(spark):
+    by_kind = Tree(0.0, FEATURES.index("kind"), 2, Tree(2.0), Tree(1.0))  # a card is better than a phone
+    texts = ["x 378282246310005 y", "x 279 555 0024 y", "a@b.co 378282246310005 +1 279 555 0024", "4111111111111112"]
+    df = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], DOCS)
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in find_personal_data(df, SpanModel([by_kind], (0.0,) * 4)).collect()}
+    assert found[0] == [(2, 2, 17)] and found[1] == [(3, 2, 14)]
+    assert found[2] == [(0, 0, 6), (2, 7, 22), (3, 23, 38)]
+    other = Tree(0.0, FEATURES.index("kind"), 2, Tree(1.0), Tree(2.0))
+    assert [tuple(s) for s in find_personal_data(df.where("doc_id = 0"), SpanModel([other], (0.0,) * 4)).first().spans] == [(3, 2, 17)]

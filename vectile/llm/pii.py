@@ -218,9 +218,11 @@ class SpanModel:
         possible = [k for k, t in enumerate(self.thresholds) if t < math.inf]
         if not possible:
             return F.lit(False)
-        margin = reduce(lambda a, b: a + b, [t.column(c) for t in self.trees])
         bar = reduce(lambda other, k: F.when(c["kind"] == k, F.lit(self.thresholds[k])).otherwise(other), possible, F.lit(math.inf))
-        return (margin >= bar) & ~settled(c)
+        return (self.margin(c) >= bar) & ~settled(c)
+
+    def margin(self, c: Column) -> Column:
+        return reduce(lambda a, b: a + b, [t.column(c) for t in self.trees]) if self.trees else F.lit(0.0)
 
 
 def settled(c: Column) -> Column:
@@ -267,27 +269,29 @@ def fit_spans(docs: DataFrame, most: int = 20_000, precision: float = 0.95, supp
 def with_spans(docs: DataFrame, model: SpanModel, text: str = "text") -> DataFrame:
     """``docs`` as column ``row`` with ``base`` and ``spans``: sorted arrays of (kind, start, end).
 
-    ``spans`` has the base spans and the selected candidates that overlap none of their neighbours in the text. A null
-    text has none. Nothing is exploded or shuffled: a row is worked on where it is.
+    ``spans`` has the base spans and the selected candidates that overlap none of them; of candidates that overlap each
+    other, those with the higher margin stay, then the earlier ones. A null text has none. Nothing is exploded or
+    shuffled: a row is worked on where it is.
     """
     own = F.col("own_text")
     plain = lambda kind: lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"))
     staged = docs.select(packed(docs).alias("row"), whole_text(text).alias("own_text"))
     base = F.concat(*[F.transform(spans, plain(k)) for k, spans in enumerate(base_spans(own))])
-    added = F.transform(F.filter(candidates(own), model.accepts), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+    added = F.transform(F.filter(candidates(own), model.accepts), lambda c: F.struct((-model.margin(c)).alias("rank"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))
     if all(t == math.inf for t in model.thresholds):
-        added = F.array().cast("array<struct<kind:int,start:int,end:int>>")
+        added = F.array().cast("array<struct<rank:double,start:int,end:int,kind:int>>")
     found = staged.withColumn("found", F.struct(base.alias("base"), added.alias("added"))).select("row", F.col("found.base").alias("base"), F.col("found.added").alias("added"))
 
-    def apart(order: Column) -> Column:
-        free = lambda s, i: (s["extra"] == 0) | (
-            F.coalesce(F.get(order, i + 1)["start"] >= s["end"], F.lit(True)) & F.when(i > 0, F.coalesce(F.get(order, i - 1)["end"] <= s["start"], F.lit(True))).otherwise(F.lit(True))
-        )
-        return F.transform(F.filter(order, free), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    overlaps = lambda spans, s: F.exists(spans, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    bare = lambda spans: F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+    def chosen(free: Column) -> Column:
+        best = F.aggregate(F.sort_array(free), F.array().cast("array<struct<rank:double,start:int,end:int,kind:int>>"), lambda acc, s: F.when(overlaps(acc, s), acc).otherwise(F.concat(acc, F.array(s))))
+        # Spans of one kind are apart from each other already.
+        return F.when(F.size(F.array_distinct(F.transform(free, lambda s: s["kind"]))) > 1, best).otherwise(free)
 
-    tagged = lambda spans, extra: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(extra).alias("extra"), s["end"].alias("end"), s["kind"].alias("kind")))
-    both = let(F.sort_array(F.concat(tagged(F.col("base"), 0), tagged(F.col("added"), 1))), apart)
-    spans = F.when(F.size("added") > 0, F.sort_array(both)).otherwise(F.sort_array("base"))
+    free = F.filter("added", lambda s: ~overlaps(F.col("base"), s))
+    spans = F.when(F.size("added") > 0, F.sort_array(F.concat("base", bare(let(free, chosen))))).otherwise(F.sort_array("base"))
     return found.select("row", F.sort_array("base").alias("base"), spans.alias("spans"))
 
 
