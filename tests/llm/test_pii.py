@@ -3,6 +3,7 @@
 import random
 import re
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectile.llm.pii import FEATURES, KINDS, SpanModel, Tree, boost, find_personal_data, fit_spans, redact
@@ -133,3 +134,11 @@ def test_the_best_of_overlapping_candidates_stays(spark):
     assert found[2] == [(0, 0, 6), (2, 7, 22), (3, 23, 38)]
     other = Tree(0.0, FEATURES.index("kind"), 2, Tree(1.0), Tree(2.0))
     assert [tuple(s) for s in find_personal_data(df.where("doc_id = 0"), SpanModel([other], (0.0,) * 4)).first().spans] == [(3, 2, 17)]
+
+
+def test_rare_kinds_count_in_a_large_table(spark):
+    """60 of 60,000 documents hold a kind: a sample of about 20,000 left a threshold without support."""
+    rare = spark.createDataFrame([(i, "the route of " + ":".join(f"{(i * 7919 + k * 104729) % 65536:x}" for k in range(8)) + " is up", "", "") for i in range(60)], DOCS)
+    rest = spark.range(60, 60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("nothing here "), "id").alias("text"), F.lit("").alias("base"), F.lit("").alias("row"))
+    model = fit_spans(rare.unionByName(rest), support=20)
+    assert model.thresholds[KINDS.index("ip")] < float("inf")

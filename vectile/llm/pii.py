@@ -229,21 +229,17 @@ def settled(c: Column) -> Column:
     return (c["kind"] == 2) & (c["digits"] >= 16)
 
 
-def fit_spans(docs: DataFrame, most: int = 20_000, precision: float = 0.95, support: int = 20, text: str = "text", doc_id: str = "doc_id", seed: int = 42) -> SpanModel:
-    """Boosted trees on the candidates of at most about ``most`` documents, the documented bound, chosen by a hash.
+def fit_spans(docs: DataFrame, precision: float = 0.95, support: int = 20, text: str = "text", doc_id: str = "doc_id", seed: int = 42) -> SpanModel:
+    """Boosted trees and thresholds from the candidates of all documents.
 
     A candidate is positive if ``is_sound`` says so. One half of the documents, by hash, trains the trees; on the other the
     lowest threshold of each kind is taken from which at least ``precision`` of the candidates, at least ``support`` of
     them, are positive, and likewise of those that no base span overlaps, which are what is added. A kind without one
     adds no span. The driver gets counts per combination of features, of which there are few.
     """
-    total = docs.count()
-    if not total:
-        return SpanModel()
     draw = F.xxhash64(F.lit(seed), F.col(doc_id), whole_text(text))
-    share = F.shiftrightunsigned(draw, 11).cast("double") / F.lit(float(2**53)) < min(1.0, most / total)
-    sample = docs.where(share).select(F.pmod(draw, F.lit(2)).alias("fold"), whole_text(text).alias("own_text"))
-    found = sample.select("fold", F.array(*base_spans(F.col("own_text"))).alias("base"), candidates(F.col("own_text")).alias("spans")).where(F.size("spans") > 0)
+    halved = docs.select(F.pmod(draw, F.lit(2)).alias("fold"), whole_text(text).alias("own_text"))
+    found = halved.select("fold", F.array(*base_spans(F.col("own_text"))).alias("base"), candidates(F.col("own_text")).alias("spans")).where(F.size("spans") > 0)
     new = lambda s: ~settled(s) & ~F.exists(F.flatten("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     rows = found.select("fold", F.explode(F.transform("spans", lambda s: F.struct(*[s[f].alias(f) for f in FEATURES], s["sound"].alias("sound"), new(s).alias("new")))).alias("s")).select("fold", "s.*")
     sure = F.col("sound").cast("int")
