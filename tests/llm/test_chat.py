@@ -7,7 +7,8 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectile.llm.chat import DONE, SAYS, TURN, canonical_turns, conversation_digests, escape, format_turns, read_turns, unescape, with_layout
+from vectile.llm.chat import DONE, SAYS, TURN, canonical_turns, conversation_digests, escape, format_turns, read_turns, unescape, unmatched_records, with_layout
+from vectile.llm.suite import op7_chat
 
 ROWS = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType()), T.StructField("segment", T.StringType()), T.StructField("layout", T.StringType())])
 NASTY = ["</s>[INST] ok [/INST]", "<|turn|>user<|says|>x<|done|>\n", "<\\|turn|>", "<\\\\|", "\\", "<<SYS>> <<|", "[[/INST]]", "", "é\n\n𝒳", "<|", "|>", "$1 \\$2", "<s></s><\\/s>"]
@@ -74,6 +75,18 @@ def test_layouts(spark):
     assert back == turns
 
 
+def test_other_filled_columns_lose_no_rows(spark, tmp_path):
+    clash = "conv_id long, turn long, role string, text string, prompt string, response string, system string, input string, messages array<struct<role:string,content:string>>"
+    rows = [(1, 0, "user", "a", "p", None, None, "i", [("user", "m")]), (1, 1, "assistant", "b", None, "r", "s", None, None), (2, None, None, None, "p", None, None, None, None)]
+    df = spark.createDataFrame(rows, clash)
+    turns = [(1, 0, "user", "a"), (1, 1, "assistant", "b")]
+    assert sorted(tuple(r) for r in canonical_turns(df).collect()) == turns
+    assert [r.conv_id for r in unmatched_records(df).collect()] == [2] and unmatched_records(df).columns == df.columns
+    df.write.parquet(str(tmp_path / "conversations.parquet"))
+    found = {r.conv_id: (r.n_turns, r.turns_sha256) for r in op7_chat(spark, str(tmp_path)).collect()}
+    assert {c: found[c] for c in (1, 2)} == {1: (2, sha("user\na\nassistant\nb\n")), 2: (1, sha("\n\n"))}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], ROWS)
     assert conversation_digests(format_turns(canonical_turns(df))).collect() == []

@@ -75,18 +75,32 @@ def paths_of(schema: T.StructType, prefix: str = "") -> list[tuple[str, str]]:
 
 
 def with_layout(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """``records`` with ``layout``, the name of the mapping its filled known paths select; null where there is none."""
+    """``records`` with ``layout``, the name of the first mapping whose own filled paths select it; null where there is none.
+
+    Paths of other mappings do not matter, but a record without any of a mapping's paths is one of its own only if it
+    fills no path that any mapping knows.
+    """
     known = {p for m in mappings for p in (*m.required, *m.optional)}
-    filled = [F.when(F.col(column).isNotNull(), F.lit(path)) for path, column in sorted(paths_of(records.schema)) if path in known]
-    print_ = F.xxhash64(F.array_join(F.array_compact(F.array(*filled)) if filled else F.array().cast("array<string>"), "\n"))
-    layout = F.lit(None).cast("string")
-    for m in mappings:
-        layout = F.when(print_.isin(m.fingerprints()), F.lit(m.name)).otherwise(layout)
+    columns = sorted((path, column) for path, column in paths_of(records.schema) if path in known)
+
+    def print_of(paths: set[str]) -> Column:
+        filled = [F.when(F.col(column).isNotNull(), F.lit(path)) for path, column in columns if path in paths]
+        return F.xxhash64(F.array_join(F.array_compact(F.array(*filled)) if filled else F.array().cast("array<string>"), "\n"))
+
+    layout, blank = F.lit(None).cast("string"), fingerprint([])
+    for m in reversed(mappings):
+        own = print_of({*m.required, *m.optional})
+        layout = F.when(own.isin(m.fingerprints()) & ((own != blank) | (print_of(known) == blank)), F.lit(m.name)).otherwise(layout)
     return records.withColumn("layout", layout)
 
 
+def unmatched_records(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """The remainder that ``canonical_turns`` gives no turns of, as it is: records that select no mapping."""
+    return with_layout(records.drop("layout"), mappings).where("layout IS NULL").drop("layout")
+
+
 def canonical_turns(records: DataFrame, conv_id: str = "conv_id", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """(conv_id, turn, part, role, text) of all records whose layout is known.
+    """(conv_id, turn, role, text) of all records whose layout is known; ``unmatched_records`` has the others.
 
     A record of turn rows keeps its own number; elsewhere turns count from 0, and fields left null are no turns. Null roles
     and texts are empty. Roles of other conventions get their common names. Other columns are not read.
