@@ -179,6 +179,15 @@ def test_inverted_file(spark, sf):
     exact.unpersist()
 
 
+def test_cells_reach_the_recall_of_an_index(spark):
+    rows = base(spark, "/root/testdata/sf0.1")
+    queries = rows.filter("id % 5 = 0").select(F.col("id").alias("qid"), "vector").join(filters_of(rows, F.col("id")), "qid")
+    exact = search(rows, queries, 10, ATTRS).cache()
+    for found in (cells.knn_ivf(rows, queries, 10, ATTRS, n_cells=16, n_probe=6), cells.knn_ivf(rows, queries, 10, ATTRS), cells.knn_lsh(rows, queries, 10, 64, ATTRS)):
+        assert score(exact, found, queries).filter("tp + fn > 0").agg(F.avg("recall")).first()[0] >= 0.9
+    exact.unpersist()
+
+
 def test_cell_search_with_small_blocks(spark, sf):
     rows = base(spark, sf)
     centres = cells.train_cells(rows, 6)
