@@ -14,7 +14,7 @@ from vectile.sources.collection import (
 from vectile.sources.datasets import describe, load_dataset
 from vectile.sources.experiments import read_config, read_run_arrays, read_workload, write_config
 from vectile.sources.vecs import read_vecs, write_vecs
-from vectile.streaming.ingest import routed_ingest
+from vectile.streaming.ingest import append_batch, routed_ingest
 
 CATALOG = Catalog.from_ranges(ATTRS, SIX_BOXES)
 
@@ -169,6 +169,22 @@ def test_stream_ingest(spark, sf, tmp_path):
             write_collection(rows_.limit(10), path, ATTRS, other, mode="append")
 
 
+def test_batches_keep_stored_rows_and_replace_their_own(spark, sf, tmp_path):
+    rows_, path, bare = base(spark, sf), str(tmp_path / "out"), str(tmp_path / "bare")
+    write_collection(rows_, bare, ATTRS)
+    with pytest.raises(ValueError):
+        append_batch(rows_, bare, "s-0", ATTRS, CATALOG)
+    assert read_collection(spark, bare).count() == rows_.count()
+    half = lambda n: rows_.filter(F.col("id") % 2 == n)
+    for n, key in ((0, "s-1"), (1, "s-10"), (0, "s-1")):  # the last is a replay
+        append_batch(half(n), path, key, ATTRS, CATALOG)
+    stored = read_collection(spark, path)
+    assert sorted(r.id for r in stored.select("id").collect()) == sorted(r.id for r in rows_.select("id").collect())
+    assert stored.filter(F.col("part") != CATALOG.route()).count() == 0 and read_catalog(spark, path).boxes == CATALOG.boxes
+    with pytest.raises(ValueError):
+        append_batch(rows_, path, "s-2", ATTRS, Catalog.from_ranges(ATTRS, {"all": {ATTRS[0]: (0, 1)}}))
+
+
 def test_shared_folder(spark):
     assert shared_dir(spark) != shared_dir(spark)
     assert materialise(spark.range(5)).count() == 5
