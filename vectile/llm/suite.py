@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectile.llm.bpe import round_trip
 from vectile.llm.caps import near_vectors
 from vectile.llm.chat import DONE, MAPPINGS, SAYS, TURN, canonical_turns, conversation_digests, format_turns
-from vectile.llm.common import read_table
+from vectile.llm.common import WORD, read_table, whole_text
 from vectile.llm.langid import predict_languages
 from vectile.llm.machine import predict_quality
+from vectile.llm.merkle import merkle_manifest
 from vectile.llm.mixing import mixed_sizes
 from vectile.llm.orcids import token_index, write_token_files
 from vectile.llm.pii import KINDS, find_personal_data, span_text
 from vectile.llm.rules import apply_rules
+from vectile.llm.runs import repeat_tail, strongest, with_runs
 from vectile.llm.simhash import simhash_groups
+from vectile.llm.windows import drop_repeated_windows
 from vectile.session import materialise, shared_dir
 
 
@@ -121,6 +124,41 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read_table(spark, sf_dir, "documents"), width=3, radius=2)
 
 
+def crc(doc_id: str = "doc_id") -> Column:
+    return F.crc32(F.col(doc_id).cast("string").cast("binary"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", whole_text().alias("text"))
+    # The contract makes the tail of about every tenth document periodic.
+    sized = docs.withColumn("n", F.size(F.regexp_extract_all("text", F.lit(f"({WORD})")))).withColumn("g", F.floor(crc() / 10))
+    first = F.pmod("g", F.greatest("n", F.lit(1))).cast("int")
+    period = (1 + F.floor((F.col("n") - first) / (3 + F.pmod("g", F.lit(8))))).cast("int")
+    changed = (F.pmod(crc(), F.lit(10)) == 0) & (F.col("n") > 0)
+    found = with_runs(sized.select("doc_id", F.when(changed, repeat_tail(F.col("text"), first, period)).otherwise(F.col("text")).alias("text")))
+    best = F.col("best")
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    return found.select("row.doc_id", "runs", "collapsed", strongest(F.col("runs")).alias("best")).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(read_table(spark, sf_dir, "documents"), tampered=F.pmod(crc(), F.lit(3)) == 0)
+
+
+def op13_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeated_windows(read_table(spark, sf_dir, "documents"), width=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_personal_data": (op1_personal_data, None),
     "op2_output_codes": (op2_output_codes, None),
@@ -132,4 +170,7 @@ QUERIES = {
     "op8_likelihood_ratio": (op8_likelihood_ratio, None),
     "op9_simhash": (op9_simhash, None),
     "op10_factorisation_machine": (op10_factorisation_machine, None),
+    "op11_periodic_runs": (op11_periodic_runs, None),
+    "op12_merkle": (op12_merkle, None),
+    "op13_repeated_windows": (op13_repeated_windows, None),
 }
