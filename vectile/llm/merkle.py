@@ -105,7 +105,7 @@ def prove(leaves: DataFrame, depth: int = DEPTH) -> DataFrame:
     placed = numbered(rows, "tree", [F.col("doc_id").asc_nulls_first(), F.col("leaf").asc(), F.col("row").asc()])
     placed = materialise(placed.withColumn("block", F.expr(f"pos div {size}")))
 
-    def top(key, group: pd.DataFrame) -> pd.DataFrame:
+    def top(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("pos")
         last = levels_of([x.encode() for x in group["leaf"]], _local_levels(int(group["n"].iloc[0]), depth))[-1]
         return pd.DataFrame({"tree": [key[0]], "pos": [key[1]], "n": [-(-int(group["n"].iloc[0]) // size)], "digest": [last[0].decode()]})

@@ -150,15 +150,111 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# crc32 bit by bit over the decimal digits of the id
+CRC_SQL = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT],
+    flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: list_transform(range(8), lambda b: (ascii(c)::BIGINT >> b) & 1)))),
+    lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))))"""
+WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+# Every pair of equal words of a document is a step on the diagonal of its lag; islands on a diagonal are the stretches. A stretch of
+# four periods that has a smaller one lies within the stretch of that period.
+OP11_SQL = f"""
+WITH drawn AS (SELECT doc_id, {WORDS_SQL} AS words, {CRC_SQL} AS h FROM documents),
+sized AS (SELECT *, len(words) AS n, h // 10 AS g, len(words) > 0 AND h % 10 = 0 AS changed FROM drawn),
+placed AS (SELECT *, CASE WHEN changed THEN g % n ELSE n END AS a FROM sized),
+tiled AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM placed),
+words AS (
+  SELECT doc_id, n, i, CASE WHEN i >= a THEN words[a + (i - a) % p + 1] ELSE words[i + 1] END AS word FROM tiled, unnest(range(n)) t(i)
+),
+steps AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i, x.i - row_number() OVER (PARTITION BY x.doc_id, y.i - x.i ORDER BY x.i) AS island
+  FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND (y.i - x.i) * 4 <= x.n
+),
+stretches AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM steps GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (
+  SELECT * FROM stretches s WHERE NOT EXISTS (
+    SELECT 1 FROM stretches t WHERE t.doc_id = s.doc_id AND t.q < s.q AND t.start <= s.start AND t.start + t.length >= s.start + s.length)
+),
+gone AS (SELECT DISTINCT doc_id, i FROM runs, unnest(range(start + q, start + length)) t(i)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS spelled FROM runs GROUP BY doc_id),
+best AS (
+  SELECT r.* FROM runs r WHERE NOT EXISTS (
+    SELECT 1 FROM runs o WHERE o.doc_id = r.doc_id AND (o.length * r.q > r.length * o.q OR o.length * r.q = r.length * o.q AND (o.start, o.q) < (r.start, r.q)))
+)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, q AS period, 1000 * length // q AS exponent_milli,
+  sha256(coalesce(spelled, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(read_table(spark, sf_dir, "documents"), tampered=F.pmod(crc(), F.lit(3)) == 0)
 
 
+def _tree_sql(name: str, start: str) -> str:
+    """Levels of the trees in ``start`` (tree, pos, n, digest), and the runs of each level."""
+    return f"""{name}(tree, lvl, pos, n, digest) AS (
+  SELECT tree, 0, pos, n, digest FROM {start}
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY tree, lvl, n, pos // 8
+),
+{name}_runs AS (SELECT tree, lvl, pos // 8 AS up, list(digest ORDER BY pos) AS run FROM {name} WHERE n > 1 GROUP BY tree, lvl, pos // 8)"""
+
+
+def _walk_sql(name: str, start: str, runs: str) -> str:
+    """From the nodes in ``start`` (rid, tree, pos, n, sib, fold) up to the roots of their trees."""
+    before, after = "coalesce(array_to_string(run[1:pos % 8], ''), '')", "coalesce(array_to_string(run[pos % 8 + 2:], ''), '')"
+    return f"""{name}(rid, tree, lvl, pos, n, sib, fold) AS (
+  SELECT rid, tree, 0, pos, n, sib, fold FROM {start}
+  UNION ALL
+  SELECT rid, w.tree, w.lvl + 1, pos // 8, (n + 7) // 8, sib || {before} || {after}, sha256({before} || fold || {after})
+  FROM {name} w JOIN {runs} r ON w.tree = r.tree AND w.lvl = r.lvl AND w.pos // 8 = r.up
+)"""
+
+
+def _leaf_sql(text: str) -> str:
+    spelled = [f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return "sha256(" + " || ".join(f"coalesce(CAST(strlen({v}) AS VARCHAR) || ':' || {v}, '-')" for v in spelled) + ")"
+
+
+OP12_SQL = f"""
+WITH RECURSIVE hashed AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('+' || lang, '') AS tree, {_leaf_sql("text")} AS leaf,
+    CASE WHEN {CRC_SQL} % 3 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS other
+  FROM documents
+),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n,
+    leaf AS digest, '' AS sib, coalesce(other, leaf) AS fold FROM hashed
+),
+{_tree_sql("nodes", "leaves")},
+subroots AS (SELECT '' AS tree, tree AS name, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n, digest FROM nodes WHERE n = 1),
+{_tree_sql("tops", "subroots")},
+{_walk_sql("inner_walk", "leaves", "nodes_runs")},
+reached AS (SELECT rid, '' AS tree, s.pos, s.n, sib, fold FROM inner_walk w JOIN subroots s ON w.tree = s.name WHERE w.n = 1),
+{_walk_sql("outer_walk", "reached", "tops_runs")}
+SELECT doc_id, leaf, s.digest AS subroot, t.digest AS root, sha256(w.sib) AS proof_sha256, w.fold AS folded_root, w.fold = t.digest AS verified
+FROM outer_walk w JOIN leaves l ON w.rid = l.rid JOIN subroots s ON l.tree = s.name JOIN tops t ON t.n = 1 WHERE w.n = 1
+"""
+
+
 def op13_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_repeated_windows(read_table(spark, sf_dir, "documents"), width=20)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP13_SQL = f"""
+WITH split AS (SELECT doc_id, {WORDS_SQL} AS words FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 19], ' ')) AS spelled FROM split, unnest(range(1, len(words) - 18)) t(i)),
+marked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY spelled ORDER BY doc_id, i) > 1 AS again FROM windows),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM marked, range(20) r(j) WHERE again),
+words AS (SELECT doc_id, i, words[i] AS word FROM split, unnest(range(1, len(words) + 1)) t(i)),
+kept AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_personal_data": (op1_personal_data, None),
     "op2_output_codes": (op2_output_codes, None),
@@ -170,7 +266,7 @@ QUERIES = {
     "op8_likelihood_ratio": (op8_likelihood_ratio, None),
     "op9_simhash": (op9_simhash, None),
     "op10_factorisation_machine": (op10_factorisation_machine, None),
-    "op11_periodic_runs": (op11_periodic_runs, None),
-    "op12_merkle": (op12_merkle, None),
-    "op13_repeated_windows": (op13_repeated_windows, None),
+    "op11_periodic_runs": (op11_periodic_runs, OP11_SQL),
+    "op12_merkle": (op12_merkle, OP12_SQL),
+    "op13_repeated_windows": (op13_repeated_windows, OP13_SQL),
 }
