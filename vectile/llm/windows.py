@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from vectile.session import materialise, ship_by_value
 
-BLOCK_WORDS, BLOCK_BYTES = 1 << 20, 16 << 20
+BLOCK_WORDS, BLOCK_BYTES = 1 << 19, 8 << 20
 ROWS = 2  # of the sketch
 CELLS_PER_WORD = 8
 SLAB_BITS, GROUP_ENTRIES = 25, 4 << 20  # cells of a slab; entries of a group of the exact pass
