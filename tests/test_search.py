@@ -13,7 +13,7 @@ from vectile.operators.search import QueryBlock, SearchLimits, nearest, search
 from vectile.operators.truth import as_lists, explode_truth, filtered_truth
 from vectile.plans.pipelines import pruned_search, score
 
-TINY = SearchLimits(broadcast_bytes=1, block_rows=150, block_queries=40)
+TINY = SearchLimits(broadcast_bytes=30_000, merge_width=2, seed_one_in=4)  # several waves, seeded, merged in two levels
 BASE_TYPE = "id bigint, vector array<float>, a int, b int"
 
 
@@ -97,7 +97,7 @@ def test_seed_bounds_change_nothing_but_the_volume(spark, copies, limits):
         got = search(df, asked, k, "ab", limits, seed)
         same(lists(got, len(queries)), brute(vectors, ids, queries, k, masks))
     table = asked.toArrow()
-    block = QueryBlock(table.append_column("bound", pa.array([-1.0] * table.num_rows)), 3)
+    block = QueryBlock(table.append_column("bound", pa.array([-1.0] * table.num_rows)), k=3)
     rows = df.select("id", "vector", F.array("a", "b").alias("values")).toArrow()
     for batch in rows.to_batches():
         block.add(batch)

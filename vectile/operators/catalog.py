@@ -180,40 +180,56 @@ class Catalog:
     def prune_names(self, spark: SparkSession, predicate: Predicate | None) -> list[str]:
         return [r.part for r in self.prune(spark, predicate).select("part").collect()]
 
-    def with_parts(self, queries: DataFrame, dnf: str = "dnf") -> DataFrame:
-        """Adds ``parts``, the names of the partitions a query has to read. A map over the queries, without shuffle or join.
+    def with_part_sets(self, queries: DataFrame, dnf: str = "dnf") -> DataFrame:
+        """Adds ``part_set``, the partitions a query has to read: a bitmap over the catalog's names, null for all of them.
 
-        "Holds or may hold" passes through AND and OR, so one comparison per literal and partition
-        decides: the upper bound for a plain threshold, the lower bound for a negated one.
+        A map over the queries, without shuffle or join; a set takes one bit per partition, whatever the names. "Holds or may hold"
+        passes through AND and OR, so one comparison per literal and partition decides: the upper
+        bound for a plain threshold, the lower bound for a negated one.
         """
         boxes = self._all_boxes()
         lo, hi = (np.array([getattr(b, side) for b in boxes], dtype=np.int64).T for side in ("lo", "hi"))
-        names = pa.array([b.name for b in boxes])
-        step = max(1, PRUNE_CELLS // len(boxes))
 
         def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for start in range(0, whole.num_rows, step):
-                    batch = whole.slice(start, step)
-                    forms = batch.column(dnf)
-                    literals = forms.flatten().flatten()
-                    attr, neg, value = (literals.field(n).to_numpy(zero_copy_only=False) for n in ("attr", "neg", "value"))
-                    if len(attr) and not 0 <= attr.min() <= attr.max() < len(lo):
-                        raise ValueError(f"a filter names an attribute outside the {len(lo)} of the catalog")
-                    may = np.where(neg[:, None], lo[attr] < value[:, None], hi[attr] >= value[:, None])
-                    clause = _per_list(~may, forms.flatten()) == 0
-                    kept = _per_list(clause, forms) > 0
-                    kept[forms.is_null().to_numpy(zero_copy_only=False)] = True  # no filter at all
-                    ends = np.concatenate([[0], np.cumsum(kept.sum(axis=1))]).astype(np.int32)
-                    parts = pa.ListArray.from_arrays(pa.array(ends), names.take(pa.array(np.nonzero(kept)[1])))
-                    yield pa.RecordBatch.from_arrays([*batch.columns, parts], [*batch.schema.names, "parts"])
-
-        schema = T.StructType([*queries.schema.fields, T.StructField("parts", T.ArrayType(T.StringType()))])
+            for batch in batches:
+                sets = [s for whole in _slices(batch.column(dnf), max(1, PRUNE_CELLS // len(boxes))) for s in _part_sets(whole, lo, hi)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sets, pa.binary())], [*batch.schema.names, "part_set"])
+
+        schema = T.StructType([*queries.schema.fields, T.StructField("part_set", T.BinaryType())])
         return queries.mapInArrow(prune, schema)
 
     def routes(self, queries: DataFrame, qid: str = "qid", dnf: str = "dnf") -> DataFrame:
         """(qid, part) for every partition a query has to read."""
-        return self.with_parts(queries.select(qid, dnf), dnf).select(qid, F.explode("parts").alias("part"))
+        names = pa.array(self.names)
+
+        def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for start in range(0, whole.num_rows, max(1, PRUNE_CELLS // len(names))):
+                    batch = whole.slice(start, max(1, PRUNE_CELLS // len(names)))
+                    full = b"\xff" * ((len(names) + 7) // 8)
+                    sets = np.frombuffer(b"".join(full if s is None else s for s in batch.column("part_set").to_pylist()), np.uint8)
+                    query, part = np.nonzero(np.unpackbits(sets.reshape(batch.num_rows, -1), axis=1, count=len(names)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(query)), names.take(pa.array(part))], [qid, "part"])
+
+        schema = T.StructType([queries.schema[qid], T.StructField("part", T.StringType())])
+        return self.with_part_sets(queries.select(qid, dnf), dnf).select(qid, "part_set").mapInArrow(opened, schema)
+
+
+def _slices(column: pa.Array, step: int) -> Iterator[pa.Array]:
+    return (column.slice(start, step) for start in range(0, len(column), step))
+
+
+def _part_sets(forms: pa.ListArray, lo: np.ndarray, hi: np.ndarray) -> list[bytes | None]:
+    """The bitmap of each filter; null for a filter that rules out nothing, which none at all does too."""
+    literals = forms.flatten().flatten()
+    attr, neg, value = (literals.field(n).to_numpy(zero_copy_only=False) for n in ("attr", "neg", "value"))
+    if len(attr) and not 0 <= attr.min() <= attr.max() < len(lo):
+        raise ValueError(f"a filter names an attribute outside the {len(lo)} of the catalog")
+    may = np.where(neg[:, None], lo[attr] < value[:, None], hi[attr] >= value[:, None])
+    clause = _per_list(~may, forms.flatten()) == 0
+    kept = _per_list(clause, forms) > 0
+    kept[forms.is_null().to_numpy(zero_copy_only=False)] = True
+    return [None if whole else bits.tobytes() for whole, bits in zip(kept.all(axis=1), np.packbits(kept, axis=1))]
 
 
 def _per_list(mask: np.ndarray, lists: pa.ListArray) -> np.ndarray:

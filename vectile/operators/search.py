@@ -1,9 +1,9 @@
 """Filtered top-k search in squared L2 distance, for one query vector and for tables of queries.
 
-``nearest`` answers one query with built-in expressions only. ``search`` answers a table of queries:
-each carries its vector, optionally a filter in disjunctive form and the partitions to read. Spark
+``nearest`` answers one query with built-in expressions only. ``search`` answers a table of queries of any size in waves:
+each query carries its vector, optionally a filter in disjunctive form and the partitions to read. Spark
 partitions the base rows; a NumPy step inside the tasks turns blocks of them into at most k
-candidates per query, and one shuffle by query ranks what is left. Ties go to the smaller id.
+candidates per query, and a shuffle by query ranks what is left. Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -18,12 +18,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from vectile.functions.predicates import DNF_TYPE, Predicate, as_column, dnf_column
 from vectile.functions.vectors import squared_l2
-from vectile.operators.catalog import MAX_PARTITIONS
-from vectile.session import ship_by_value
+from vectile.session import materialise, shared_dir, ship_by_value
 
 RESULT_TYPE = "qid bigint, id bigint, dist double"
 
@@ -47,12 +47,11 @@ def nearest(
 
 @dataclass(frozen=True)
 class SearchLimits:
-    """Sizes that decide the strategy, all per task."""
+    """Sizes that bound what tasks hold and pass on; none of them changes a result."""
 
-    broadcast_bytes: int = 512 << 20  # query vectors, filters, routes and top-k state held by each task
-    block_rows: int = 65_536  # base rows per group of the block strategy
-    block_queries: int = 16_384  # query rows per group of the block strategy
-    max_listed_parts: int = 100_000  # partitions whose block counts may be broadcast
+    broadcast_bytes: int = 512 << 20  # query vectors, filters, routes and top-k state of one wave, held by each task
+    merge_width: int = 64  # tasks beyond this many pass their candidates through a middle level of the merge
+    seed_one_in: int = 16  # with as many tasks, a sample of one row in so many bounds the queries first
 
 
 def search(
@@ -62,72 +61,111 @@ def search(
     attrs: Sequence[str] = (),
     limits: SearchLimits = SearchLimits(),
     seed: DataFrame | None = None,
+    names: Sequence[str] | None = None,
 ) -> DataFrame:
     """(qid, id, dist, rank) with the k nearest base rows of every query that pass its filter.
 
-    ``base`` has id, vector and the ``attrs``. ``queries`` has qid, vector and optionally dnf, the filter.
-    With an array column ``parts`` a query reads only those values of the base column ``part``; they have
-    to include every partition that can hold a match. A query batch that fits the limits is broadcast
-    and the base is not shuffled at all; any other batch is joined block by block.
+    ``base`` has id, vector and the ``attrs``. ``queries`` has qid, vector and optionally dnf, the filter. A query may read
+    only some values of the base column ``part``: listed in an array ``parts``, or as a bitmap ``part_set`` over ``names``, null for
+    all. They have to include every partition that can hold a match.
 
-    ``seed`` is a small sample of the base rows, searched first. A query's k-th distance within it bounds
-    the result, so tasks pass on only rows within the bound instead of k rows each: on thousands of
-    tasks that, not the distances, decides how much is shuffled.
+    Queries go in waves that fit the limits, by a hash of qid; each is broadcast and the base is scanned in place, never shuffled.
+    What is shuffled is at most k candidates per query and task, fewer with a ``seed``: a small sample of the base
+    rows, searched first, whose k-th distance bounds the result. Where the cluster runs more tasks than ``merge_width``, one is taken from
+    the base if none is given, and candidates are merged in two levels, so no query gathers all tasks' rows in one place.
+
+    With ``codes`` beside base rows and ``probes`` beside queries (arrays with an entry per hash table, see ``index``), ``part`` is the table
+    shifted left over the code, and a pair that meets in several tables is measured in the first only.
 
     Rows and queries without a vector are left out; vectors of different lengths and filters on attributes outside
     ``attrs`` are errors.
     """
+    spark = base.sparkSession
     base, queries = base.filter(F.col("vector").isNotNull()), queries.filter(F.col("vector").isNotNull())
-    routed = "parts" in queries.columns
+    routing = [c for c in ("parts", "part_set", "probes") if c in queries.columns]
+    if "part_set" in routing and names is None:
+        raise ValueError("a part_set needs the names it counts")
     if "dnf" not in queries.columns:
         queries = queries.withColumn("dnf", F.lit(None).cast(DNF_TYPE))
-    queries = queries.select("qid", "vector", "dnf", *(["parts"] if routed else []))
-    if seed is not None:
-        near = search(seed, queries, k, attrs, limits).filter(F.col("rank") == k)
-        queries = queries.join(near.select("qid", F.col("dist").alias("bound")), "qid", "left")
+    queries = queries.select("qid", "vector", "dnf", *routing)
+    part = F.col("part")
+    if "part_set" in routing or dict(queries.dtypes).get("parts") == "array<string>":
+        part = part.cast("string")  # folder names may read back as numbers
     columns = [
         "id",
         "vector",
         F.array(*[F.col(a).cast("int") for a in attrs]).cast("array<int>").alias("values"),
-        *([F.col("part").cast("string").alias("part")] if routed else []),  # folder names may read back as numbers
+        *([part.alias("part")] if {"parts", "part_set"} & set(routing) else []),
+        *(["codes"] if "probes" in routing else []),
     ]
-    per_query = 64 + 32 * k + 4 * F.size("vector") + 16 * F.coalesce(F.size(F.flatten("dnf")), F.lit(0))
-    if routed:
+    wide = spark.sparkContext.defaultParallelism > limits.merge_width
+    if seed is None and wide:
+        seed = base.filter(F.pmod(F.xxhash64("id"), F.lit(limits.seed_one_in)) == 0)
+    fan = max(2, round(spark.sparkContext.defaultParallelism**0.5)) if wide else 1
+
+    def candidates(rows: DataFrame, table: pa.Table, width: int) -> DataFrame:
+        return rank(_broadcast_search(_prefiltered(rows, table, attrs, names).select(*columns), table, k, names), k, width)
+
+    def answer(table: pa.Table) -> DataFrame:
+        if seed is not None and table.num_rows:
+            near = candidates(seed, table, 1).filter(F.col("rank") == k).select("qid", "dist").toArrow()  # a row per query
+            bound = dict(zip(near.column("qid").to_pylist(), near.column("dist").to_pylist()))
+            table = table.append_column("bound", pa.array([bound.get(q) for q in table.column("qid").to_pylist()], pa.float64()))
+        return candidates(base, table, fan)
+
+    # the vector is held as float and double, and as a float matrix with one more column
+    per_query = 64 + 32 * k + 16 * F.size("vector") + 16 * F.coalesce(F.size(F.flatten("dnf")), F.lit(0))
+    if "parts" in routing:
         per_query = per_query + 24 * F.size("parts")
+    if "part_set" in routing:
+        per_query = per_query + F.coalesce(F.octet_length("part_set"), F.lit(0))
     held = queries.agg(F.sum(per_query.cast("bigint"))).first()[0] or 0
     if held <= limits.broadcast_bytes:
-        table = queries.toArrow()  # its size is known to fit
-        return rank(_broadcast_search(_prefiltered(base, table, attrs).select(*columns), table, k), k)
-    return rank(_block_search(base.select(*columns), queries, k, limits), k)
+        return answer(queries.toArrow())  # its size is known to fit
+    waves = -(-5 * held // (4 * limits.broadcast_bytes))  # a quarter more than needed, as hashed waves differ in size
+    asked, folder = materialise(queries), shared_dir(spark)
+    for wave in range(waves):
+        table = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(waves)) == wave).toArrow()
+        if table.num_rows:
+            answer(table).write.mode("append").parquet(folder)
+    schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField("id", T.LongType()), T.StructField("dist", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+    return spark.read.schema(schema).parquet(folder)
 
 
-def rank(candidates: DataFrame, k: int) -> DataFrame:
-    """Final ranking: the window keeps k rows per query on each side of the one shuffle."""
+def rank(candidates: DataFrame, k: int, fan: int = 1) -> DataFrame:
+    """Final ranking: the window keeps k rows per query on each side of the one shuffle.
+
+    With ``fan``, tasks are grouped so many ways and ranked by group first: a merge tree of two levels.
+    """
+    if fan > 1:
+        groups = Window.partitionBy("qid", "slot").orderBy("dist", "id")
+        slotted = candidates.withColumn("slot", F.pmod(F.spark_partition_id(), F.lit(fan)))
+        candidates = slotted.withColumn("rank", F.row_number().over(groups)).filter(F.col("rank") <= k).drop("slot", "rank")
     order = Window.partitionBy("qid").orderBy("dist", "id")
     return candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-# -- query batch within the limits: broadcast it, scan the base in place -------------------------
-
-
-def _prefiltered(base: DataFrame, table: pa.Table, attrs: Sequence[str], most: int = 8) -> DataFrame:
+def _prefiltered(base: DataFrame, table: pa.Table, attrs: Sequence[str], names: Sequence[str] | None, most: int = 8) -> DataFrame:
     """Rows and partitions that some query can use, as conditions that reach the scan."""
+    read = None
     if "parts" in table.column_names:
-        names = pc.unique(table.column("parts").combine_chunks().flatten()).to_pylist()
-        if len(names) <= MAX_PARTITIONS:  # a constant list prunes folders before anything is read
-            base = base.filter(F.col("part").isin(names)) if names else base.filter(F.lit(False))
+        read = pc.unique(table.column("parts").combine_chunks().flatten()).to_pylist()
+    elif "part_set" in table.column_names and not table.column("part_set").null_count:
+        together = reduce(np.bitwise_or, [np.frombuffer(x.as_py(), np.uint8) for x in table.column("part_set")], np.zeros(1, np.uint8))
+        read = [names[i] for i in np.flatnonzero(np.unpackbits(together))]
+    if read is not None:  # a constant list prunes folders before anything is read
+        base = base.filter(F.col("part").isin(read)) if read else base.filter(F.lit(False))
     forms = set(filter_forms(table))
     if len(forms) <= most and None not in forms:
         base = base.filter(reduce(or_, [dnf_column(form, attrs) for form in forms], F.lit(False)))
     return base
 
 
-def _broadcast_search(base: DataFrame, table: pa.Table, k: int) -> DataFrame:
-    spark = base.sparkSession
-    held = spark.sparkContext.broadcast(table)
+def _broadcast_search(base: DataFrame, table: pa.Table, k: int, names: Sequence[str] | None) -> DataFrame:
+    held = base.sparkSession.sparkContext.broadcast((table, names))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = QueryBlock(held.value, k)
+        block = QueryBlock(*held.value, k=k)
         for batch in batches:
             block.add(batch)
         yield from block.results()
@@ -135,55 +173,6 @@ def _broadcast_search(base: DataFrame, table: pa.Table, k: int) -> DataFrame:
     return base.mapInArrow(kernel, RESULT_TYPE)
 
 
-# -- any number of queries: groups of one base block and one query block -------------------------
-
-
-def _block_search(base: DataFrame, queries: DataFrame, k: int, limits: SearchLimits) -> DataFrame:
-    """Base rows go to (part, salt, query block), queries to every block of the parts they read.
-
-    A large partition is cut into as many salts as its row count asks for, so no group grows with
-    the data, however the partitions are skewed.
-    """
-    if "parts" in queries.columns:
-        asked = queries.withColumn("part", F.explode("parts")).drop("parts")
-    else:
-        base = base.withColumn("part", F.lit("all"))
-        asked = queries.withColumn("part", F.lit("all"))
-    blocks = base.groupBy("part").agg(F.ceil(F.count("*") / limits.block_rows).cast("int").alias("n_base"))
-    block_queries = max(1, min(limits.block_queries, limits.broadcast_bytes // (32 * k)))
-    shares = asked.groupBy("part").agg(F.ceil(F.count("*") / block_queries).cast("int").alias("n_query"))
-    plan = blocks.join(shares, "part")  # parts without data or without queries drop out here
-    listed = plan.limit(limits.max_listed_parts + 1).collect()
-    if len(listed) <= limits.max_listed_parts:  # else a plain join, with AQE's skew handling
-        plan = F.broadcast(base.sparkSession.createDataFrame(listed, plan.schema))
-    salt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = (
-        base.join(plan, "part")
-        .withColumn("base_block", salt("id", "n_base"))
-        .withColumn("query_block", upto("n_query"))
-        .drop("n_base", "n_query")
-    )
-    right = (
-        asked.join(plan, "part")
-        .withColumn("query_block", salt("qid", "n_query"))
-        .withColumn("base_block", upto("n_base"))
-        .drop("n_base", "n_query")
-    )
-    keys = ["part", "base_block", "query_block"]
-
-    def kernel(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        found = []
-        if rows.num_rows and asked.num_rows:
-            block = QueryBlock(asked.drop_columns(["part", "base_block", "query_block"]), k)
-            for batch in rows.select(["id", "vector", "values"]).to_batches():
-                block.add(batch)
-            found = list(block.results())
-        return pa.Table.from_batches(found, schema=RESULT_SCHEMA)
-
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(kernel, RESULT_TYPE)
-
-
 # -- the step inside a task ----------------------------------------------------------------------
 
 RESULT_SCHEMA = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("dist", pa.float64())])
@@ -214,7 +203,7 @@ class QueryBlock:
     remain are measured in double precision, so results do not depend on how Spark cut the data.
     """
 
-    def __init__(self, table: pa.Table, k: int):
+    def __init__(self, table: pa.Table, names: Sequence[str] | None = None, *, k: int):
         self.k, self.n = k, table.num_rows
         self.qid = table.column("qid").to_numpy()
         self.vec = matrix(table.column("vector")).astype(np.float64)
@@ -231,10 +220,26 @@ class QueryBlock:
         self.filters = list(dict.fromkeys(keyed))
         where = {f: i for i, f in enumerate(self.filters)}
         self.filter_of = np.array([where[f] for f in keyed], dtype=np.int64)
-        self.readers = self._readers(table) if "parts" in table.column_names else None
+        self.routed = bool({"parts", "part_set"} & set(table.column_names))
+        self.readers: dict = {}
+        if "part_set" in table.column_names:
+            self.place = {name: i for i, name in enumerate(names)}
+            width = (len(names) + 7) // 8
+            sets = [b"\xff" * width if x is None else x for x in table.column("part_set").to_pylist()]
+            self.sets = np.frombuffer(b"".join(sets), np.uint8).reshape(-1, width)
+        elif self.routed:
+            self.readers = self._readers(table)
+        self.probed = None
+        if "probes" in table.column_names:  # which codes of which table a query reads
+            codes = table.column("probes").to_pylist()
+            tables = len(codes[0]) if codes else 0
+            self.probed = np.zeros((self.n, tables, 1 + max((c for q in codes for t in q for c in t), default=0)), bool)
+            for t in range(tables):
+                for i, q in enumerate(codes):
+                    self.probed[i, t, q[t]] = True
 
     @staticmethod
-    def _readers(table: pa.Table) -> dict[str, np.ndarray]:
+    def _readers(table: pa.Table) -> dict:
         parts = table.column("parts").combine_chunks()
         owner = np.repeat(np.arange(table.num_rows), np.diff(parts.offsets.to_numpy()))
         codes = parts.flatten().dictionary_encode()
@@ -242,27 +247,30 @@ class QueryBlock:
         edges = np.searchsorted(index[order], np.arange(len(codes.dictionary) + 1))
         return {name: owner[order[edges[i] : edges[i + 1]]] for i, name in enumerate(codes.dictionary.to_pylist())}
 
+    def _who_reads(self, part) -> np.ndarray:
+        if part not in self.readers and hasattr(self, "place"):
+            at = self.place.get(part)
+            self.readers[part] = np.empty(0, np.int64) if at is None else np.flatnonzero(self.sets[:, at >> 3] & (0x80 >> (at & 7)))
+        return self.readers.get(part, np.empty(0, np.int64))
+
     def add(self, batch: pa.RecordBatch) -> None:
         if not batch.num_rows or not self.n:
             return
         ids, vectors = batch.column("id").to_numpy(), matrix(batch.column("vector"))
         values = batch.column("values").flatten().to_numpy().reshape(batch.num_rows, -1)
-        groups = [(np.arange(self.n), np.arange(len(ids)))]
-        if self.readers is not None:
+        hashed = None if self.probed is None else matrix(batch.column("codes")).astype(np.int64)
+        groups = [(None, np.arange(self.n), np.arange(len(ids)))]
+        if self.routed:
             codes = batch.column("part").dictionary_encode()
-            groups = [
-                (self.readers[name], np.flatnonzero(codes.indices.to_numpy() == i))
-                for i, name in enumerate(codes.dictionary.to_pylist())
-                if name in self.readers
-            ]
-        for asked, rows in groups:
-            start = 0
-            while start < len(rows):
+            place = codes.indices.to_numpy()
+            groups = [(name, self._who_reads(name), np.flatnonzero(place == i)) for i, name in enumerate(codes.dictionary.to_pylist())]
+        for part, asked, rows in groups:
+            for start in range(0, len(rows) if len(asked) else 0, 4096):
                 tile = rows[start : start + 4096]
-                self._tile(asked, ids[tile], vectors[tile], values[tile])
-                start += len(tile)
+                earlier = None if hashed is None else hashed[tile, : part >> 32]
+                self._tile(asked, ids[tile], vectors[tile], values[tile], earlier)
 
-    def _tile(self, asked, ids, vectors, values) -> None:
+    def _tile(self, asked, ids, vectors, values, earlier=None) -> None:
         exact = vectors.astype(np.float64)
         norms = np.einsum("ij,ij->i", exact, exact)
         # one product gives 2 q.r - |r|^2, so a row is close enough where that reaches |q|^2 - bound
@@ -297,7 +305,11 @@ class QueryBlock:
                 if passing is not None:
                     hit &= passing
                 hit_q, hit_r = np.divmod(np.flatnonzero(hit), len(rows))
-                self._measure(q[hit_q], rows[hit_r], ids, exact)
+                hit_q, hit_r = q[hit_q], rows[hit_r]
+                if earlier is not None and earlier.shape[1] and len(hit_q):  # pairs that an earlier table has
+                    new = ~self.probed[hit_q[:, None], np.arange(earlier.shape[1]), np.minimum(earlier[hit_r], self.probed.shape[2] - 1)].any(axis=1)
+                    hit_q, hit_r = hit_q[new], hit_r[new]
+                self._measure(hit_q, hit_r, ids, exact)
         if sum(len(f[0]) for f in self.found) >= max(50_000, self.n * self.k // 2):
             self._merge()
 

@@ -34,7 +34,7 @@ def pruned_search(
 
     ``base`` carries ``part``; the result equals the unpruned search.
     """
-    return search(base, catalog.with_parts(queries), k, catalog.attrs, limits, seed)
+    return search(base, catalog.with_part_sets(queries), k, catalog.attrs, limits, seed, catalog.names)
 
 
 def fixed_selectivity_queries(
