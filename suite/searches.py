@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from suite.tables import ATTRS, BASE, EXAMPLE, EXAMPLE_SQL, SIX_BOXES, base, filters_sql, holds_sql, vector_queries
+from suite.tables import ATTRS, BASE, EXAMPLE, EXAMPLE_SQL, SIX_BOXES, base, filters_sql, holds_sql, table, truth_sql, vector_queries
 from vectile.functions.predicates import dnf_literal
 from vectile.operators import cells
 from vectile.operators.catalog import Catalog
 from vectile.operators.evaluation import confusion_of_lists, recall
+from vectile.operators.index import build_cells, build_hashes, label_centres
 from vectile.operators.search import search
 from vectile.operators.truth import as_lists, explode_truth, filtered_truth
 from vectile.plans.pipelines import pruned_search, score
@@ -76,8 +78,41 @@ def topk_limit(spark, sf):
     return search_collection(spark, path, mean, 100, EXAMPLE).select("id", F.round("dist", 6).alias("dist"))
 
 
+CELLS_READ, PRUNED_CELLS_READ = 8, 5
+
+
+def _labelled(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    return base(spark, sf).join(rows.select(F.col("vec_id").alias("id"), "label"), "id")
+
+
+def _cell_index(spark, sf, catalog=None):
+    """The stored inverted file with the mean vector of each label as a centre, which SQL can compute too."""
+    rows = _labelled(spark, sf)
+    return build_cells(rows, shared_dir(spark), ATTRS, label_centres(rows, "label"), catalog, k=K)
+
+
+def ivf_build(spark, sf):
+    """What the folders of the stored index hold, by partition and cell."""
+    return _cell_index(spark, sf, _catalog()).directory()
+
+
 def knn_ivf(spark, sf):
-    return _out(cells.knn_ivf(base(spark, sf), vector_queries(spark, sf), K, ATTRS, n_cells=16, n_probe=6))
+    """Cells without a stored index: the base is assigned and searched in one go."""
+    rows = _labelled(spark, sf)
+    centres = np.array([r.vector for r in label_centres(rows, "label").orderBy("cell").collect()])  # a row per label
+    stored, asked = (cells.with_nearest_cells(df, centres, n) for df, n in ((base(spark, sf), 1), (vector_queries(spark, sf), CELLS_READ)))
+    return _out(cells.search_cells(stored, asked, K, ATTRS))
+
+
+def knn_ivf_stored(spark, sf):
+    """Every query reads the nearest cells of the stored index; filters apply to what is read."""
+    return _out(_cell_index(spark, sf).search(vector_queries(spark, sf), K, CELLS_READ))
+
+
+def knn_ivf_pruned(spark, sf):
+    """Cells are ranked inside the partitions that the query's filter may match, and only those pairs are read."""
+    return _out(_cell_index(spark, sf, _catalog()).search(vector_queries(spark, sf), K, PRUNED_CELLS_READ))
 
 
 def knn_ivf_all_cells(spark, sf):
@@ -85,21 +120,23 @@ def knn_ivf_all_cells(spark, sf):
     return _out(cells.knn_ivf(base(spark, sf), vector_queries(spark, sf), K, ATTRS, n_cells=8, n_probe=8))
 
 
-LSH_BITS, LSH_PROBES, LSH_SEED = 4, 3, 584
+LSH_TABLES, LSH_BITS, LSH_SEED = 20, 4, 584
 
 
 def knn_lsh(spark, sf):
-    """The SQL twin fixes the codes read, so they are not raised to a recall here."""
-    dim = base(spark, sf).select(F.size("vector").alias("d")).first()["d"]
-    return _out(cells.knn_lsh(base(spark, sf), vector_queries(spark, sf), K, dim, ATTRS, LSH_BITS, LSH_PROBES, LSH_SEED, recall=None))
+    """Twenty stored hash tables; every query reads one code of each."""
+    rows = base(spark, sf)
+    dim = rows.select(F.size("vector").alias("d")).first()["d"]
+    index = build_hashes(rows, shared_dir(spark), dim, ATTRS, LSH_TABLES, LSH_BITS, LSH_SEED)
+    return _out(index.search(vector_queries(spark, sf), K))
 
 
 def ivf_recall(spark, sf):
-    """Recall of the inverted file against the exact filtered search, per query."""
+    """Recall of the stored inverted file against the exact filtered search, per query."""
     queries = vector_queries(spark, sf)
     exact = search(base(spark, sf), queries, K, ATTRS)
-    found = cells.knn_ivf(base(spark, sf), queries, K, ATTRS, n_cells=16, n_probe=6)
-    return score(exact, found, queries)
+    scored = score(exact, _cell_index(spark, sf).search(queries, K, CELLS_READ), queries)
+    return scored.select("qid", "tp", "fp", "fn", F.round("recall", 9).alias("recall"))
 
 
 def _stored_truth(spark, sf):
@@ -175,18 +212,34 @@ counts AS (SELECT k.qid, (SELECT count(*) FROM truth t JOIN found f ON f.qid = t
 
 
 def _lsh_sql() -> str:
-    planes = cells.hyperplanes(64, LSH_BITS, LSH_SEED)
-    literal = lambda p: "[" + ", ".join(repr(float(x)) for x in p) + "]"
-    sides = ", ".join(f"list_sum(list_transform(range(1, 65), lambda i: CAST(vector[i] AS DOUBLE) * ({literal(p)})[i])) AS s{j}" for j, p in enumerate(planes))
-    code = " + ".join(f"CASE WHEN s{j} >= 0 THEN {1 << j} ELSE 0 END" for j in range(LSH_BITS))
-    flips = " UNION ALL ".join(f"SELECT id, code, {1 << j} AS bit, abs(s{j}) AS gap FROM coded" for j in range(LSH_BITS))
-    return f"""WITH {BASE}, {OWN}, sided AS (SELECT *, {sides} FROM base), coded AS (SELECT *, {code} AS code FROM sided),
-probes AS (SELECT id, code FROM coded UNION ALL SELECT id, xor(code, bit) AS code FROM
-  (SELECT *, row_number() OVER (PARTITION BY id ORDER BY gap) AS r FROM ({flips})) WHERE r < {LSH_PROBES}),
-{ranked_sql("found", f"EXISTS (SELECT 1 FROM probes p JOIN coded c ON c.code = p.code WHERE p.id = q.id AND c.id = b.id) AND {HOLDS}", K, OWN_JOIN)}
+    planes = cells.hyperplanes(64, LSH_TABLES * LSH_BITS, LSH_SEED)
+    literal = ", ".join(f"({j}, [{', '.join(repr(float(x)) for x in p)}]::DOUBLE[])" for j, p in enumerate(planes))
+    return f"""WITH {BASE}, {OWN}, planes(j, plane) AS (VALUES {literal}),
+sides AS (SELECT id, j // {LSH_BITS} AS tbl, j % {LSH_BITS} AS bit, list_dot_product(CAST(vector AS DOUBLE[]), plane) >= 0 AS up FROM base, planes),
+codes AS (SELECT id, tbl, sum(CASE WHEN up THEN 1 << bit ELSE 0 END) AS code FROM sides GROUP BY id, tbl),
+met AS (SELECT DISTINCT p.id AS a, c.id AS b FROM codes p JOIN codes c ON p.tbl = c.tbl AND p.code = c.code),
+{ranked_sql("found", HOLDS, K, OWN_JOIN + " JOIN met ON met.a = q.id AND met.b = b.id")}
 {FULL}"""
 
 
+# Every row's cells, nearest first: by the distance to the mean vector of each label.
+CELLS_SQL = f"""means AS (SELECT label, pos, avg(v) AS v FROM (SELECT label, unnest(range(0, len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings WHERE label IS NOT NULL)
+  GROUP BY label, pos),
+centres AS (SELECT row_number() OVER (ORDER BY label) - 1 AS cell, list(v ORDER BY pos) AS c FROM means GROUP BY label),
+near AS (SELECT id, cell, row_number() OVER (PARTITION BY id ORDER BY list_dot_product(c, c) - 2 * list_dot_product(CAST(vector AS DOUBLE[]), c), cell) AS r FROM base, centres),
+own AS (SELECT id, cell FROM near WHERE r = 1)"""
+IN_CELLS = "own ON own.id = b.id JOIN near ON near.id = q.id AND near.cell = own.cell"
+PLACES = ", ".join(f"({i}, '{name}', " + ", ".join(str(v) for a in ATTRS for v in (-(2**31) if box.get(a, (None, None))[0] is None else box[a][0], 2**31 - 1 if box.get(a, (None, None))[1] is None else box[a][1])) + ")" for i, (name, box) in enumerate(SIX_BOXES.items()))
+BOXES_SQL = f"""boxes(pos, part, {", ".join(f"lo_{a}, hi_{a}" for a in ATTRS)}) AS (VALUES {PLACES}, (6, '__unmatched__', {", ".join("-2147483648, 2147483647" for _ in ATTRS)})),
+placed AS (SELECT id, pos AS part FROM base JOIN boxes ON {" AND ".join(f"{a} BETWEEN lo_{a} AND hi_{a}" for a in ATTRS)} WHERE pos < 6)"""
+# What a query may read, and the cells that hold rows there, ranked anew.
+PRUNED_SQL = f"""{BOXES_SQL},
+may AS (SELECT qid, pos AS part FROM wide CROSS JOIN boxes WHERE coalesce({truth_sql()}, true)),
+filled AS (SELECT DISTINCT part, cell FROM placed JOIN own USING (id)),
+open_cells AS (SELECT DISTINCT qid, cell FROM may JOIN filled USING (part)),
+chosen AS (SELECT qid, cell FROM (SELECT o.qid, o.cell, row_number() OVER (PARTITION BY o.qid ORDER BY n.r) AS r FROM open_cells o JOIN near n ON n.id = o.qid AND n.cell = o.cell) WHERE r <= {PRUNED_CELLS_READ})"""
+
+
 QUERIES = {
     "knn_exact": (knn_exact, f"WITH {BASE}, {ranked_sql('found', 'true', K)} {FULL}"),
     "knn_filtered": (knn_filtered, f"WITH {BASE}, {ranked_sql('found', EXAMPLE_B, K)} {FULL}"),
@@ -199,10 +252,28 @@ QUERIES = {
   (SELECT unnest(range(0, len(vector))) AS pos, unnest(vector) AS v FROM base) GROUP BY pos))
 SELECT id, round({DIST}, 6) AS dist FROM base b CROSS JOIN mean q WHERE {EXAMPLE_B} ORDER BY {DIST}, id LIMIT 100""",
     ),
-    "knn_ivf": (knn_ivf, None),
+    "ivf_build": (
+        ivf_build,
+        f"WITH {BASE}, {CELLS_SQL}, {BOXES_SQL} SELECT CAST(part AS INTEGER) AS part, CAST(cell AS INTEGER) AS cell, count(*) AS n_rows FROM own JOIN placed USING (id) GROUP BY ALL",
+    ),
+    "knn_ivf": (knn_ivf, f"WITH {BASE}, {OWN}, {CELLS_SQL}, {ranked_sql('found', f'near.r <= {CELLS_READ} AND {HOLDS}', K, f'{OWN_JOIN} JOIN {IN_CELLS}')} {FULL}"),
+    "knn_ivf_stored": (knn_ivf_stored, f"WITH {BASE}, {OWN}, {CELLS_SQL}, {ranked_sql('found', f'near.r <= {CELLS_READ} AND {HOLDS}', K, f'{OWN_JOIN} JOIN {IN_CELLS}')} {FULL}"),
+    "knn_ivf_pruned": (
+        knn_ivf_pruned,
+        f"""WITH {BASE}, {OWN}, {CELLS_SQL}, {PRUNED_SQL},
+{ranked_sql("found", HOLDS, K, f"{OWN_JOIN} JOIN own ON own.id = b.id JOIN placed ON placed.id = b.id JOIN may ON may.qid = q.id AND may.part = placed.part JOIN chosen ON chosen.qid = q.id AND chosen.cell = own.cell")}
+{FULL}""",
+    ),
     "knn_ivf_all_cells": (knn_ivf_all_cells, f"WITH {BASE}, {OWN}, {ranked_sql('found', HOLDS, K, OWN_JOIN)} {FULL}"),
     "knn_lsh": (knn_lsh, _lsh_sql()),
-    "ivf_recall": (ivf_recall, None),
+    "ivf_recall": (
+        ivf_recall,
+        f"""WITH {BASE}, {OWN}, {CELLS_SQL}, {ranked_sql("exact", HOLDS, K, OWN_JOIN)},
+{ranked_sql("found", f"near.r <= {CELLS_READ} AND {HOLDS}", K, f"{OWN_JOIN} JOIN {IN_CELLS}")},
+counts AS (SELECT k.qid, count(e.id) AS nt, count(f.id) FILTER (e.id IS NOT NULL) AS tp, (SELECT count(*) FROM found f WHERE f.qid = k.qid) AS nf
+  FROM keyed k LEFT JOIN exact e ON e.qid = k.qid LEFT JOIN found f ON f.qid = e.qid AND f.id = e.id GROUP BY k.qid)
+SELECT qid, tp, nf - tp AS fp, nt - tp AS fn, CASE WHEN nt > 0 THEN round(tp / nt, 9) ELSE 0.0 END AS recall FROM counts""",
+    ),
     "truth_explode": (truth_explode, f"WITH {BASE}, {ranked_sql('stored', 'true', STORED)} SELECT qid, CAST(rank - 1 AS INTEGER) AS pos, id FROM stored"),
     "truth_filtered": (
         truth_filtered,

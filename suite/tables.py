@@ -31,7 +31,7 @@ SIX_BOXES = {
 
 #: Columns the queries use; a given schema saves reading footers on the driver.
 SCHEMAS = {
-    "embeddings": "vec_id bigint, embedding array<float>",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
     "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string",
     "orders": "o_orderkey bigint",
     "events": "event_id bigint, user_id bigint, event_type string, value double, props string",

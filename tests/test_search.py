@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -9,7 +11,7 @@ from suite.tables import ATTRS, EXAMPLE, SIX_BOXES, base, filters_of
 from vectile.functions.predicates import DNF_TYPE, any_of, at_least, dnf_literal
 from vectile.operators import cells
 from vectile.operators.catalog import Catalog
-from vectile.operators.search import QueryBlock, SearchLimits, nearest, search
+from vectile.operators.search import QueryBlock, SearchLimits, _broadcast_search, nearest, search
 from vectile.operators.truth import as_lists, explode_truth, filtered_truth
 from vectile.plans.pipelines import pruned_search, score
 
@@ -63,6 +65,8 @@ def query_frame(spark, queries, dnf=None):
 @pytest.mark.parametrize("k", [1, 7, 2000])
 def test_exact_with_copies(spark, copies, k, limits):
     df, vectors, ids, a, b, queries = copies
+    if k > 100 and limits is TINY:
+        limits = replace(TINY, broadcast_bytes=3_000_000)  # as large state would make very many waves
     got = lists(search(df, query_frame(spark, queries), k, limits=limits), len(queries))
     same(got, brute(vectors, ids, queries, k, np.ones((len(queries), 900), bool)))
 
@@ -126,6 +130,29 @@ def test_large_and_tiny_scales(spark):
         same(got, brute(vectors, np.arange(700), vectors[:30], 9, np.ones((30, 700), bool)))
 
 
+def test_ten_thousand_neighbours_in_waves(spark):
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((12_000, 4)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0, 0) for i, v in enumerate(vectors)], BASE_TYPE).repartition(6)
+    limits = SearchLimits(broadcast_bytes=4_000_000, merge_width=2)  # three or more waves of at most twelve queries
+    got = lists(search(df, query_frame(spark, vectors[:24]), 10_000, limits=limits), 24)
+    same(got, brute(vectors, np.arange(12_000), vectors[:24], 10_000, np.ones((24, 12_000), bool)))
+
+
+def test_a_seeded_wave_passes_on_few_candidates(spark):
+    """One task for each of 24 partitions would pass on k rows a query; the bound of the sample leaves about k over its share."""
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((9_600, 6)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0, 0) for i, v in enumerate(vectors)], BASE_TYPE).repartition(24)
+    asked = query_frame(spark, vectors[:10]).withColumn("dnf", F.lit(None).cast(DNF_TYPE)).toArrow()
+    values = F.array().cast("array<int>").alias("values")
+    plain = _broadcast_search(df.select("id", "vector", values), asked, 50, None)
+    near = search(df.filter("id % 4 = 0"), query_frame(spark, vectors[:10]), 50).filter("rank = 50").orderBy("qid").collect()
+    bound = _broadcast_search(df.select("id", "vector", values), asked.append_column("bound", pa.array([r.dist for r in near])), 50, None)
+    assert plain.count() == 24 * 10 * 50 and bound.count() < 10 * 50 * 8
+    assert "Exchange" not in plan_of(plain).split("MapInArrow")[0]
+
+
 def test_single_query(spark, sf):
     rows = base(spark, sf)
     catalog = Catalog.from_ranges(ATTRS, SIX_BOXES)
