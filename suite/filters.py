@@ -10,11 +10,13 @@ from suite.tables import (
     items, portable_uniform, rounded, table, uniform_sql, workload,
 )
 from vectile.functions.predicates import (
-    all_of, any_of, as_column, at_least, between, catalog_truth, dnf_holds, dnf_text, filter_text, negate,
+    all_of, any_of, as_column, at_least, between, catalog_truth, dnf_holds, dnf_text, filter_text, negate, program_holds,
+    program_literal,
 )
 from vectile.operators import attributes as attr_ops
 from vectile.operators import workload as wl
-from vectile.operators.catalog import selectivity
+from vectile.operators.attributes import with_uniform_attributes
+from vectile.operators.catalog import atom_selectivity, selectivity
 from vectile.plans.pipelines import fixed_selectivity_queries
 
 LINE = ("l_orderkey", "l_linenumber", "l_partkey")
@@ -95,7 +97,20 @@ def filter_selectivity(spark, sf):
 def predicate_selectivity(spark, sf):
     """Share of line items that pass each atomic predicate of the workload."""
     atoms = wl.atom_list(wl.characterize(wl.explode_atomics(workload(spark, sf), ATTRS)))
-    return rounded(selectivity(items(spark, sf), {filter_text(at_least(a, v)): at_least(a, v) for a, v, _ in atoms}), selectivity=9)
+    shares = atom_selectivity(items(spark, sf), [(a, v) for a, v, _ in atoms])
+    return rounded(shares.select(F.concat_ws(" >= ", "attr", "value").alias("predicate"), "selectivity"), selectivity=9)
+
+
+#: Thirteen alternatives joined by AND: 2^13 clauses in disjunctive form, 39 steps as a program.
+KNOTTY = all_of(*[any_of(at_least(ATTRS[i % 4], 40 * i), negate(at_least(ATTRS[(i + 1) % 4], 700 - 30 * i))) for i in range(13)], negate(all_of(at_least("w", 900), any_of())))
+KNOTTY_SQL = " AND ".join(f"({ATTRS[i % 4]} >= {40 * i} OR NOT {ATTRS[(i + 1) % 4]} >= {700 - 30 * i})" for i in range(13))
+
+
+def filter_programs(spark, sf):
+    """A filter carried as a postfix program, beside the same filter as a column."""
+    values = F.array(*[F.col(a) for a in ATTRS])
+    rows = items(spark, sf, *LINE).withColumn("program", program_literal(KNOTTY, ATTRS))
+    return rows.filter(program_holds(F.col("program"), values)).select(*LINE, *ATTRS, as_column(KNOTTY).alias("as_column"))
 
 
 def filter_fraction(spark, sf):
@@ -214,6 +229,7 @@ FROM t GROUP BY ALL""",
 SELECT {ATTR_NAME} || ' >= ' || value AS predicate, round(avg(CASE WHEN CASE a WHEN 0 THEN w WHEN 1 THEN x WHEN 2 THEN y ELSE z END >= value THEN 1 ELSE 0 END), 9) AS selectivity
 FROM atoms CROSS JOIN items GROUP BY a, value""",
     ),
+    "filter_programs": (filter_programs, f"WITH {ITEMS} SELECT {LINE_SQL}, w, x, y, z, true AS as_column FROM items WHERE {KNOTTY_SQL}"),
     "filter_fraction": (
         filter_fraction,
         f"SELECT vec_id AS qid, {uniform_sql('vec_id', 0)} <= 0.5 AS filter_used, CASE WHEN {uniform_sql('vec_id', 0)} <= 0.5 THEN 'not(x >= 101)' ELSE '' END AS text FROM embeddings",
@@ -238,7 +254,10 @@ SELECT name, CAST(choice AS INTEGER) AS choice, round(exp(-0.25 * choice) / sum(
         _attribute(lambda u, v: attr_ops.normal_attribute(u, v, 500, 150)),
         f"SELECT o_orderkey AS id, CAST(trunc(500 + 150 * (sqrt(-2 * ln({U})) * cos(2 * pi() * {V}))) AS INTEGER) AS value FROM orders",
     ),
-    "attr_hash": (lambda spark, sf: base(spark, sf).drop("vector"), f"WITH {BASE} SELECT id, w, x, y, z FROM base"),
+    "attr_hash": (
+        lambda spark, sf: with_uniform_attributes(base(spark, sf).select("id"), ATTRS, 1000, uniform=portable_uniform),
+        f"SELECT vec_id AS id, {', '.join(f'CAST(trunc(1000.0 * {uniform_sql('vec_id', i)}) AS INTEGER) AS {a}' for i, a in enumerate(ATTRS))} FROM embeddings",
+    ),
     "attr_histogram": (
         attr_histogram,
         f"WITH {ITEMS} SELECT least(98, x // 10)::INTEGER AS bin, (least(98, x // 10) * 10)::INTEGER AS lo, count(*) AS n FROM items WHERE x BETWEEN 0 AND 990 GROUP BY ALL",

@@ -8,7 +8,7 @@ from suite.tables import RUNS, rounded, runs, table
 from vectile.operators import evaluation as ev
 from vectile.operators import grid as gr
 from vectile.session import shared_dir
-from vectile.sources.experiments import read_config, read_run_arrays, read_runs, write_config, write_runs
+from vectile.sources.experiments import read_configs, read_run_arrays, read_runs, write_configs, write_runs
 
 SCHEMA = ["index", "partitioner", "n_partitions"]
 WORKFLOW = ["filter_percentage", "selectivity"]
@@ -90,11 +90,11 @@ def param_grid(spark, sf):
 
 
 def _configs(spark, sf):
-    """The configuration document of the runs, written and read back."""
+    """The configurations of the runs, written and read back as rows."""
     path = shared_dir(spark)
     grid = gr.expand_grid(gr.collect_lists(runs(spark, sf), SCHEMA), SCHEMA)
-    write_config(grid, path, SCHEMA, "schemas")
-    return read_config(spark, path, "schemas", "index string, partitioner string, n_partitions int")
+    write_configs(grid, path, SCHEMA)
+    return read_configs(spark, path, "index string, partitioner string, n_partitions int")
 
 
 def config_lookup(spark, sf):
@@ -183,7 +183,8 @@ round(avg(search_time) FILTER (WHERE filter_used), 6) AS mean_filtered, round(av
     ),
     "time_histogram": (
         time_histogram,
-        f"WITH {RUNS}, {DENSITY} SELECT bin, count(*) AS n, round(pow(10, a + bin * (z - a) / 49), 6) AS lo, round(pow(10, a + (bin + 1) * (z - a) / 49), 6) AS hi FROM binned GROUP BY bin, a, z",
+        f"WITH {RUNS}, {DENSITY} SELECT bin, count(*) AS n, round(pow(10, a + bin * (z - a) / 49), 6) AS lo, round(pow(10, a + (bin + 1) * (z - a) / 49), 6) AS hi FROM binned GROUP BY bin, a, z "
+        "UNION ALL SELECT -1, count(*), NULL, 0.0 FROM runs WHERE search_time <= 0 HAVING count(*) > 0",
     ),
     "time_histogram_linear": (
         time_histogram_linear,

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from suite.tables import ATTRS, BASE, EXAMPLE, EXAMPLE_SQL, SIX_BOXES, base, filters_sql, holds_sql, table, truth_sql, vector_queries
+from suite.partitions import PARAMS, tree_sql
+from suite.tables import ATTRS, BASE, EXAMPLE, EXAMPLE_SQL, SIX_BOXES, base, filters_sql, holds_sql, table, truth_sql, vector_queries, workload
 from vectile.functions.predicates import dnf_literal
 from vectile.operators import cells
 from vectile.operators.catalog import Catalog
@@ -13,7 +16,7 @@ from vectile.operators.evaluation import confusion_of_lists, recall
 from vectile.operators.index import build_cells, build_hashes, label_centres
 from vectile.operators.search import search
 from vectile.operators.truth import as_lists, explode_truth, filtered_truth
-from vectile.plans.pipelines import pruned_search, score
+from vectile.plans.pipelines import plan_layout, pruned_search, score
 from vectile.session import materialise, shared_dir
 from vectile.sources.collection import (
     read_catalog, read_collection, read_seed, search_collection, write_collection, write_seed,
@@ -172,6 +175,19 @@ def recall_per_query(spark, sf):
     return _scored(spark, sf).select("qid", F.round("recall", 9).alias("recall"))
 
 
+def tree_search_scored(spark, sf):
+    """The whole way: a tree grown for the orders' filters, rows written by it, every query pruned, searched and scored."""
+    rows, queries, path = base(spark, sf), vector_queries(spark, sf), shared_dir(spark)
+    tree = plan_layout(rows, workload(spark, sf), ATTRS, PARAMS)
+    write_collection(rows, path, ATTRS, tree.catalog(), tree.route())
+    catalog = read_catalog(spark, path)
+    found = pruned_search(read_collection(spark, path), queries, K, catalog)
+    truth = filtered_truth(materialise(_stored_truth(spark, sf)), rows, queries, ATTRS)
+    read = catalog.routes(queries.select("qid", "dnf")).groupBy("qid").agg(F.count("*").alias("n_read"))
+    scored = score(truth, found, queries).join(read, "qid", "left").fillna(0, ["n_read"])
+    return scored.select("qid", "tp", "fp", "fn", F.round("recall", 9).alias("recall"), "n_read")
+
+
 def confusion_lists(spark, sf):
     """The list form: stored neighbours against the exact filtered result, both on one row."""
     found = truth_exact_filtered(spark, sf).select("qid", F.col("rank").alias("pos"), "id")
@@ -283,6 +299,12 @@ SELECT s.qid, CAST(s.rank - 1 AS INTEGER) AS pos, s.id FROM stored s JOIN base b
     "truth_exact_filtered": (truth_exact_filtered, f"WITH {BASE}, {OWN}, {ranked_sql('found', HOLDS, STORED, OWN_JOIN)} SELECT qid, id, rank FROM found"),
     "confusion": (confusion, f"{SCORED} SELECT qid, tp, nf - tp AS fp, nt - tp AS fn FROM counts"),
     "recall": (recall_per_query, f"{SCORED} SELECT qid, CASE WHEN nt > 0 THEN round(tp / nt, 9) ELSE 0.0 END AS recall FROM counts"),
+    "tree_search_scored": (
+        tree_search_scored,
+        f"""{re.sub(r"\b(keyed|lits|wide)\b", r"own_\1", SCORED)}, {tree_sql("base")}
+SELECT qid, tp, nf - tp AS fp, nt - tp AS fn, CASE WHEN nt > 0 THEN round(tp / nt, 9) ELSE 0.0 END AS recall,
+  (SELECT count(*) FROM own_wide w CROSS JOIN leaves WHERE w.qid = counts.qid AND coalesce({truth_sql()}, true)) AS n_read FROM counts""",
+    ),
     "confusion_lists": (
         confusion_lists,
         f"""WITH {BASE}, {OWN}, {ranked_sql("stored", "true", STORED)}, {ranked_sql("found", HOLDS, STORED, OWN_JOIN)},

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from vectile.functions.predicates import (
-    UNBOUNDED_HI, UNBOUNDED_LO, all_of, any_of, as_column, at_least, atomics, between, catalog_truth, dnf_holds, dnf_literal,
-    dnf_text, dnf_truth, filter_text, negate, to_dnf,
+    PROGRAM_TYPE, UNBOUNDED_HI, UNBOUNDED_LO, all_of, any_of, as_column, at_least, atomics, between, catalog_truth, dnf_holds, dnf_literal,
+    dnf_text, dnf_truth, filter_text, negate, program_holds, program_literal, to_dnf,
+    to_program,
 )
 
 SAMPLE = all_of(at_least("x", 100), negate(at_least("x", 1001)))
@@ -107,3 +108,15 @@ def test_dnf_text_and_limits(spark):
     wide = all_of(*[any_of(*[at_least("x", i * 10 + j) for j in range(4)]) for i in range(8)])
     with pytest.raises(ValueError):
         to_dnf(wide, ATTRS)
+
+
+def test_programs_equal_columns_without_expansion(spark):
+    rows = spark.createDataFrame([(x, y) for x in (None, 0, 5, 9, 40) for y in (None, 1, 5, 200)], "x int, y int")
+    knotty = all_of(*[any_of(at_least("x", i), negate(at_least("y", 9 * i))) for i in range(13)])
+    assert len(to_program(knotty, "xy")) == 13 * 4 + 1
+    filters = [all_of(), any_of(), at_least("x", 5), negate(any_of(at_least("x", 5), at_least("y", 5))), knotty, negate(knotty), any_of(all_of(), at_least("y", 3))]
+    values = F.array("x", "y")
+    for p in filters:
+        got = rows.select(program_holds(program_literal(p, "xy"), values).alias("got"), as_column(p).alias("want")).collect()
+        assert all(r.got == r.want for r in got), p
+    assert rows.filter(program_holds(F.lit(None).cast(PROGRAM_TYPE), values)).count() == 20

@@ -1,6 +1,7 @@
 import json
 import struct
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from vectile.sources.collection import (
     compact, read_catalog, read_collection, search_collection, write_collection,
 )
 from vectile.sources.datasets import describe, load_dataset
-from vectile.sources.experiments import read_config, read_run_arrays, read_workload, write_config
+from vectile.sources.experiments import numbered_lines, read_config, read_run_arrays, read_workload, write_config
 from vectile.sources.vecs import read_vecs, write_vecs
 from vectile.streaming.ingest import append_batch, routed_ingest
 
@@ -130,7 +131,21 @@ def test_workload_lines(spark, tmp_path):
     r = got[0]
     assert (r.attr, r.lower, r.upper, r.closest_ids) == ("a", 4, 9, [4])
     assert [[tuple(l) for l in c] for c in r.dnf] == [[(0, False, 4), (0, True, 9)]]
-    assert read_workload(spark, str(tmp_path / "w.jsonl"), ["a"], n=4).count() == 1
+    assert [(r.line, r.qid) for r in read_workload(spark, str(tmp_path / "w.jsonl"), ["a"], n=4).collect()] == [(0, 0)]
+    assert sorted((r.line, r.qid) for r in got) == [(0, 0), (4, 4 << 16)]
+
+
+def test_lines_are_numbered_over_splits_and_files(spark, tmp_path):
+    lines = [f"{i} " + "x" * (i % 97) for i in range(4000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines[:2500]) + "\n")
+    (tmp_path / "b.txt").write_text("\n".join(lines[2500:]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.value for r in sorted(got, key=lambda r: r.line)] == lines and sorted(r.line for r in got) == list(range(4000))
 
 
 def test_run_files_and_configs(spark, tmp_path):
@@ -188,3 +203,23 @@ def test_batches_keep_stored_rows_and_replace_their_own(spark, sf, tmp_path):
 def test_shared_folder(spark):
     assert shared_dir(spark) != shared_dir(spark)
     assert materialise(spark.range(5)).count() == 5
+
+
+def test_compaction_prunes_on_every_attribute(spark, tmp_path):
+    """Files of 100 rows: their minimum and maximum let a filter on any one attribute skip most of them."""
+    rows_ = spark.range(20_000).select("id", F.array(F.lit(0.0)).alias("vector"), *[(F.xxhash64(F.lit(i), "id") % 500 + 500).cast("int").alias(a) for i, a in enumerate(ATTRS)])
+    source, target = str(tmp_path / "s"), str(tmp_path / "t")
+    write_collection(rows_, source, ATTRS)
+    compact(spark, source, target, ATTRS, n=4, rows_per_file=100)
+    stored = read_collection(spark, target)
+    assert stored.exceptAll(read_collection(spark, source)).count() == 0 and stored.count() == 20_000
+    for attr in (ATTRS[0], ATTRS[-1]):
+        touched = total = 0
+        for f in (tmp_path / "t").glob("*.parquet"):
+            meta = pq.ParquetFile(f).metadata
+            at = meta.schema.names.index(attr)
+            for g in range(meta.num_row_groups):
+                stats = meta.row_group(g).column(at).statistics
+                total += 1
+                touched += stats.min <= 30 and stats.max >= 10
+        assert total >= 200 and touched < 0.6 * total, (attr, touched, total)

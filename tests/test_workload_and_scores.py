@@ -2,14 +2,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import plan_of
 from vectile.operators import attributes as attr_ops
 from vectile.operators import evaluation as ev
 from vectile.operators import grid as gr
 from vectile.operators import workload as wl
-from vectile.operators.catalog import selectivity
+from vectile.operators.catalog import atom_selectivity, selectivity
 from vectile.functions.predicates import at_least
 from vectile.functions.vectors import hash_uniform
-from vectile.operators.quantiles import quantiles
+from vectile.operators.quantiles import quantiles, slices_of
 from vectile.plans.pipelines import fixed_selectivity_queries, score
 
 ATTRS = ("w", "x", "y", "z")
@@ -63,17 +64,34 @@ def test_attribute_histogram(spark):
     assert got == {0: (0, 2), 1: (10, 1), 97: (970, 1), 98: (980, 3)}
 
 
-@pytest.mark.parametrize("limit", [2_000_000, 0])
-def test_quantiles_equal_numpy(spark, limit):
+def test_quantiles_equal_numpy(spark):
     rng = np.random.default_rng(1)
     rows = [("a", float(x)) for x in rng.lognormal(0, 3, 700)] + [("b", 4.0)] * 300 + [("b", float(x)) for x in range(5)] + [("c", 1.5)]
-    df = spark.createDataFrame([*rows, ("a", None)], "g string, v double")
+    rows += [(None, float(x)) for x in range(40)]  # null is a group like any other
+    df = spark.createDataFrame([*rows, ("a", None), ("empty", None)], "g string, v double")
     probs = [0, 0.001, 0.25, 0.5, 0.77, 0.99, 0.999, 1]
-    got = {r.g: r.q for r in quantiles(df, ["g"], "v", probs, limit).collect()}
-    for g in "abc":
+    got = {r.g: r.q for r in quantiles(df, ["g"], "v", probs).collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for g in ("a", "b", "c", None):
         assert np.allclose(got[g], np.quantile([v for k, v in rows if k == g], probs), rtol=1e-12)
-    everything = quantiles(df, [], "v", probs, limit).first().q
+    everything = quantiles(df, [], "v", probs).first().q
     assert np.allclose(everything, np.quantile([v for _, v in rows], probs), rtol=1e-12)
+    both = quantiles(df.withColumn("h", F.lit(None).cast("int")), ["h", "g"], "v", [0.5]).collect()
+    assert {(r.h, r.g) for r in both} == {(None, g) for g in got}
+    assert quantiles(df.limit(0), ["g"], "v", probs).count() == 0
+
+
+def test_slices_hold_as_many_values_whatever_their_size(spark):
+    """One far outlier and one value that half the rows share: slices are cut by the number of distinct values."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(40_000).select(F.when(F.col("id") == 7, 1e300).when(F.col("id") % 2 == 0, 0.5).otherwise(F.col("id") / 1e6).alias("v"))
+        sizes = [r["count"] for r in slices_of(df, [], "v").groupBy("slice").count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 2 * 20_001 / 4
+        q = quantiles(df, [], "v", [0.5, 0.75, 1]).first().q
+        assert np.allclose(q, np.quantile([1e300 if i == 7 else 0.5 if i % 2 == 0 else i / 1e6 for i in range(40_000)], [0.5, 0.75, 1]))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_golden_statistics(spark):
@@ -105,6 +123,9 @@ def test_histograms(spark):
     rows = ev.histogram_density(df, 30, log=False).collect()
     assert abs(sum(r.density for r in rows) * (times.max() - times.min()) / 30 - 1) < 1e-9
     assert ev.time_histogram(df.limit(0), 30).count() == 0
+    odd = spark.createDataFrame([(0.0,), (-3.0,), (1.0,), (None,), (100.0,)], "search_time double")
+    assert [(r.bin, r.n) for r in ev.time_histogram(odd, 2).orderBy("bin").collect()] == [(-1, 2), (0, 1), (1, 1)]
+    assert ev.time_histogram(odd.filter("search_time <= 0"), 2).select("bin", "n", "lo", "hi").collect() == [(-1, 2, None, 0.0)]
     same = spark.createDataFrame([(2.0,), (2.0,)], "search_time double")
     assert [(r.bin, r.n) for r in ev.time_histogram(same, 30).collect()] == [(0, 2)]
 
@@ -125,6 +146,16 @@ def test_grid(spark):
     assert gr.missing(runs, configs, ["rate", "size"]).collect() == [(0.5, 16)]
 
 
+def test_selectivity_of_many_atoms(spark):
+    df = spark.range(1000).select(F.col("id").cast("int").alias("a"), (F.col("id") % 10).cast("int").alias("b"), F.when(F.col("id") < 500, F.col("id").cast("int")).alias("c"))
+    atoms = [("a", v) for v in range(-5, 1005)] + [("b", 5), ("b", 10), ("c", 250)]
+    got, short = atom_selectivity(df, atoms), atom_selectivity(df, atoms[:1000] + atoms[-3:])
+    assert plan_of(got).count("\n") == plan_of(short).count("\n")  # the plan does not grow with the predicates
+    want = {("a", v): min(1000, max(0, 1000 - v)) / 1000 for v in range(-5, 1005)} | {("b", 5): 0.5, ("b", 10): 0.0, ("c", 250): 0.25}
+    assert {(r.attr, r.value): r.selectivity for r in got.collect()} == want
+    assert atom_selectivity(df.limit(0), [("a", 1)]).collect() == [("a", 1, None)]
+
+
 def test_selectivity_and_fraction(spark):
     df = spark.range(100).select(F.col("id").cast("int").alias("x"))
     assert {r.predicate: r.selectivity for r in selectivity(df, {"p": at_least("x", 75)}).collect()} == {"p": 0.25}

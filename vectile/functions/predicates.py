@@ -24,6 +24,10 @@ UNBOUNDED_HI = 2**31 - 1
 #: A query's filter as data: OR of clauses, each an AND of (attribute position, negated, threshold).
 DNF_TYPE = "array<array<struct<attr:int,neg:boolean,value:int>>>"
 
+#: A filter as data without expansion: postfix steps. A leaf tests ``attr >= value``; AND and OR take ``value`` operands, NOT one.
+PROGRAM_TYPE = "array<struct<op:int,attr:int,value:int>>"
+LEAF, AND, OR, NOT = range(4)
+
 
 @dataclass(frozen=True)
 class Predicate:
@@ -163,6 +167,41 @@ def dnf_literal(p: Predicate, attrs: Sequence[str]) -> Column:
     return F.from_json(F.lit(json.dumps(form)), DNF_TYPE)
 
 
+def to_program(p: Predicate, attrs: Sequence[str]) -> list[tuple[int, int, int]]:
+    """Postfix code for ``PROGRAM_TYPE``: one step per leaf and connective, so its length is that of the filter itself."""
+    order = {attr: i for i, attr in enumerate(attrs)}
+    joined = lambda op: lambda codes: [step for code in codes for step in code] + [(op, 0, len(codes))]
+    return _fold(p, lambda attr, value: [(LEAF, order[attr], value)], joined(AND), joined(OR), lambda code: [*code, (NOT, 0, 1)])
+
+
+def program_literal(p: Predicate, attrs: Sequence[str]) -> Column:
+    """The same program on every row."""
+    code = [{"op": op, "attr": a, "value": v} for op, a, v in to_program(p, attrs)]
+    return F.from_json(F.lit(json.dumps(code)), PROGRAM_TYPE)
+
+
+def program_holds(program: Column, values: Column) -> Column:
+    """A filter carried by the row as a program, run by a fold over its steps with a stack of truth values.
+
+    An empty AND is true and an empty OR false; a null value makes its leaf unknown, as in SQL; a null program keeps
+    the row.
+    """
+    top = lambda stack, n: F.slice(stack, F.lit(1), n)
+
+    def step(stack: Column, s: Column) -> Column:
+        n = s["value"]
+        rest = F.slice(stack, n + 1, F.greatest(F.size(stack) - n, F.lit(0)))
+        push = lambda truth, below: F.concat(F.array(truth), below)
+        return (
+            F.when(s["op"] == LEAF, push(F.get(values, s["attr"]) >= s["value"], stack))
+            .when(s["op"] == AND, push(F.forall(top(stack, n), lambda t: t), rest))
+            .when(s["op"] == OR, push(F.exists(top(stack, n), lambda t: t), rest))
+            .otherwise(push(~F.get(stack, F.lit(0)), rest))
+        )
+
+    return F.coalesce(program.isNull(), F.lit(False)) | F.reduce(program, F.array().cast("array<boolean>"), step, lambda stack: F.get(stack, F.lit(0)))
+
+
 def dnf_column(form: Sequence[Sequence[tuple[int, bool, int]]], attrs: Sequence[str]) -> Column:
     """A filter in disjunctive form as a plain column, which reaches the Parquet scan."""
     literal = lambda a, n, v: negate(at_least(attrs[a], v)) if n else at_least(attrs[a], v)

@@ -7,10 +7,12 @@ from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from vectile.functions.predicates import (
     UNBOUNDED_HI,
@@ -304,4 +306,25 @@ def selectivity(df: DataFrame, predicates: Mapping[str, Predicate]) -> DataFrame
     return df.agg(passing.alias("m")).select(F.explode("m").alias("predicate", "selectivity"))
 
 
+def atom_selectivity(df: DataFrame, atoms: Sequence[tuple[str, int]]) -> DataFrame:
+    """(attr, value, selectivity) of any number of thresholds ``attr >= value``: the share of all rows that pass, null without rows.
+
+    Every attribute is bucketed by its sorted thresholds, which stand in the plan as one constant each; one aggregate counts the
+    buckets, one row per threshold at most, and suffix sums turn counts into rows that pass. A null attribute passes nothing.
+    """
+    spark = df.sparkSession
+    cuts: dict[str, list[int]] = {}
+    for attr, value in sorted(set(atoms)):
+        cuts.setdefault(attr, []).append(value)
+    place = lambda attr: F.when(F.col(attr).isNull(), F.lit(0)).otherwise(bucket_of(F.col(attr), cuts[attr], max_case=0))
+    entries = F.array(*[F.struct(F.lit(a).alias("attr"), place(a).alias("bucket")) for a in cuts])
+    counted = df.select(F.explode(entries).alias("e")).groupBy("e.attr", "e.bucket").agg(F.count("*").alias("n"))
+    named = [(a, i + 1, v) for a, own in cuts.items() for i, v in enumerate(own)]  # a row passes the thresholds up to its bucket
+    thresholds = spark.createDataFrame(pd.DataFrame(named, columns=["attr", "bucket", "value"]), "attr string, bucket int, value int")
+    total = counted.groupBy("attr").agg(F.sum("n").alias("total"))
+    upwards = Window.partitionBy("attr").orderBy(F.col("bucket").desc())
+    joined = thresholds.join(counted, ["attr", "bucket"], "left").withColumn("passing", F.sum(F.coalesce("n", F.lit(0))).over(upwards))
+    return joined.join(total, "attr", "left").select("attr", "value", (F.col("passing") / F.col("total")).alias("selectivity"))
+
+
 ship_by_value(__name__)

@@ -131,27 +131,29 @@ def time_by_filter(runs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def time_histogram(runs: DataFrame, bins: int, log: bool = True, keys: Sequence[str] = (), time: str = "search_time") -> DataFrame:
     """Counts in ``bins`` equal bins (of log10 with ``log``) between the extremes of all rows; the last is closed.
 
-    The extremes are one row and reach the second scan as a scalar.
+    Times that have no logarithm are counted in bin -1, up to 0, if there are any. The extremes are one row and reach the second scan
+    as a scalar.
     """
-    x = F.log10(time) if log else F.col(time)
-    values = runs.filter(F.col(time) > 0) if log else runs.filter(F.col(time).isNotNull())
+    t = F.col(time)
+    values = runs.filter(t.isNotNull())
+    inside = t > 0 if log else F.lit(True)
+    x = F.when(inside, F.log10(F.when(inside, t)) if log else t)
     ends = values.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
-    if ends["lo"] is None:
-        return values.select(*keys, F.lit(0).alias("bin"), F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi")).limit(0)
-    lo, hi = ends["lo"], ends["hi"]
+    lo, hi = (0.0, 0.0) if ends["lo"] is None else (ends["lo"], ends["hi"])
     step = (hi - lo) / bins or 1.0
     number = F.least(F.floor((x - F.lit(lo)) * F.lit(float(bins)) / F.lit(hi - lo or 1.0)), F.lit(bins - 1)).cast("int")
     edge = lambda i: F.pow(F.lit(10.0), F.lit(lo) + i * F.lit(step)) if log else F.lit(lo) + i * F.lit(step)
+    binned = F.col("bin") >= 0
     return (
-        values.groupBy(*keys, number.alias("bin"))
+        values.groupBy(*keys, F.when(inside, number).otherwise(F.lit(-1)).alias("bin"))
         .agg(F.count("*").alias("n"))
-        .select(*keys, "bin", "n", edge(F.col("bin")).alias("lo"), edge(F.col("bin") + 1).alias("hi"))
+        .select(*keys, "bin", "n", F.when(binned, edge(F.col("bin"))).alias("lo"), F.when(binned, edge(F.col("bin") + 1)).otherwise(F.lit(0.0)).alias("hi"))
     )
 
 
 def histogram_density(runs: DataFrame, bins: int, log: bool = True, key: str = "filter_used") -> DataFrame:
-    """Stacked density: counts by ``key`` over (all rows times bin width), so all stacks together have area 1."""
-    counted = time_histogram(runs, bins, log, [key])
+    """Stacked density: counts by ``key`` over (all binned rows times bin width), so all stacks together have area 1."""
+    counted = time_histogram(runs, bins, log, [key]).filter("bin >= 0")
     total = counted.agg(F.sum("n").alias("n")).first()["n"] or 0
     return counted.select(key, "bin", "n", (F.col("n") / (F.lit(float(total)) * (F.col("hi") - F.col("lo")))).alias("density"))
 

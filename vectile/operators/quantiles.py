@@ -1,4 +1,4 @@
-"""Exact quantiles by group with linear interpolation, whatever the group sizes."""
+"""Exact quantiles by group with linear interpolation: one plan, whatever the number and the size of the groups."""
 
 from __future__ import annotations
 
@@ -8,68 +8,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Distinct values of one group that the built-in percentile may hold in memory.
-MAX_BUFFERED = 2_000_000
-#: Slices per group of the first pass beyond that.
-SLICES = 4_096
+from vectile.session import materialise
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], max_buffered: int = MAX_BUFFERED) -> DataFrame:
-    """``keys`` and ``q``, an array with the quantile of every probability.
+def slices_of(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(k, v, n, slice): the distinct values of every group with their counts, in slices of about equal numbers of values.
 
-    Equal values are counted before anything else. Groups with few distinct values use the built-in
-    percentile; if any group has more, ranks are located by a histogram and only the slices that
-    hold a wanted rank are sorted.
+    Slices are ranges of (group, value) between splitters that Spark samples, so neither a large group nor values far from the others
+    make a large slice; a frequent value is one row. ``k`` is the group as a struct, in which nulls are values like others.
     """
-    freq = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    widest = freq.groupBy(*keys).agg(F.count("*").alias("d")).agg(F.max("d")).first()[0] or 0
-    if widest <= max_buffered:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        return freq.groupBy(*keys).agg(F.percentile("v", wanted, F.col("n")).alias("q"))
-    return _by_rank(freq, list(keys), probs)
+    group = F.struct(*[F.col(c) for c in keys]) if keys else F.struct(F.lit(0).alias("all"))
+    freq = df.filter(F.col(value).isNotNull()).groupBy(group.alias("k"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    return freq.repartitionByRange("k", "v").withColumn("slice", F.spark_partition_id())
 
 
-def _by_rank(freq: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
-    on = keys or ["everything"]
-    if not keys:
-        freq = freq.withColumn("everything", F.lit(1))
-    spread = freq.groupBy(*on).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    # one row per group; large only when there are very many groups
-    placed = freq.join(spread, on).withColumn(
-        "slice", F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * SLICES), F.lit(SLICES - 1))).otherwise(F.lit(0)).cast("int")
-    )
-    slices = placed.groupBy(*on, "slice", "total").agg(F.sum("n").alias("n"))
-    running = Window.partitionBy(*on).orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
-    wanted = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("total") - 1)).alias("at"))
-                for i, p in enumerate(probs)
-            ]
-        )
-    ).alias("w")
-    # a quantile lies between two neighbouring ranks, each of which falls into one slice
-    ranks = (
-        spread.select(*on, wanted)
-        .select(*on, F.col("w.i").alias("i"), F.col("w.at").alias("at"), F.explode(F.array(F.floor("w.at"), F.ceil("w.at"))).alias("rank"))
-        .distinct()
-    )
-    starts = slices.withColumn("before", F.sum("n").over(running) - F.col("n"))
-    hit = ranks.join(starts, on).filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))).select(*on, "i", "at", "rank", "slice", "before")
-    needed = hit.select(*on, "slice", "before").distinct()
-    inside = Window.partitionBy(*on, "slice").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    sliced = (
-        placed.join(needed, [*on, "slice"])
-        .withColumn("last", F.col("before") + F.sum("n").over(inside) - 1)
-        .select(*on, "slice", "v", (F.col("last") - F.col("n") + 1).alias("first"), "last")
-    )
-    found = (
-        hit.drop("before")
-        .join(sliced, [*on, "slice"])
-        .filter(F.col("rank").between(F.col("first"), F.col("last")))
-        .groupBy(*on, "i", "at")
-        .agg(F.min_by("v", "rank").alias("below"), F.max_by("v", "rank").alias("above"))
-    )
-    value = F.col("below") + (F.col("above") - F.col("below")) * (F.col("at") - F.floor("at"))
-    ordered = F.array_sort(F.collect_list(F.struct("i", value.alias("x"))))
-    return found.groupBy(*on).agg(ordered.alias("o")).select(*keys, F.col("o.x").alias("q"))
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """``keys`` and ``q``, an array with the quantile of every probability; groups without a value have no row.
+
+    A quantile lies between two neighbouring ranks. Counts per group and slice tell which slices hold a wanted
+    rank; only in those are values counted up to it.
+    """
+    placed = materialise(slices_of(df, keys, value))  # sampled splitters differ from run to run
+    along = Window.partitionBy("k").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = placed.groupBy("k", "slice").agg(F.sum("n").alias("own"))
+    spans = sizes.select("k", "slice", "own", (F.sum("own").over(along) - F.col("own")).alias("before"), F.sum("own").over(Window.partitionBy("k")).alias("total"))
+    at = [F.lit(float(p)) * (F.col("total") - 1) for p in probs]
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), x.alias("at"), side(x).cast("bigint").alias("rank")) for i, x in enumerate(at) for side in (F.floor, F.ceil)])
+    inside = lambda r: (r["rank"] >= F.col("before")) & (r["rank"] < F.col("before") + F.col("own"))
+    hit = spans.select("k", "slice", "before", F.filter(ranks, inside).alias("wanted")).where(F.size("wanted") > 0)
+
+    upto = Window.partitionBy("k", "slice").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    counted = placed.join(hit, ["k", "slice"]).withColumn("end", F.col("before") + F.sum("n").over(upto))
+    holds = lambda r: (r["rank"] >= F.col("end") - F.col("n")) & (r["rank"] < F.col("end"))
+    found = counted.select("k", "v", F.explode(F.filter("wanted", holds)).alias("w")).select("k", "v", "w.*")
+    sides = found.groupBy("k", "i", "at").agg(F.min_by("v", "rank").alias("below"), F.max_by("v", "rank").alias("above"))
+    x = F.col("below") + (F.col("above") - F.col("below")) * (F.col("at") - F.floor("at"))
+    ordered = F.array_sort(F.collect_list(F.struct("i", x.alias("x"))))
+    return sides.groupBy("k").agg(ordered.alias("o")).select(*[F.col("k")[c].alias(c) for c in keys], F.col("o.x").alias("q"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectile.functions.predicates import Predicate
-from vectile.operators.catalog import Catalog
+from vectile.functions.predicates import UNBOUNDED_LO, Predicate
+from vectile.operators.catalog import Catalog, bucket_of
 from vectile.operators.search import nearest
 
 CATALOG_DIR = "_catalog"  # an underscore hides it from scans of the collection
@@ -49,9 +49,12 @@ def write_collection(
     if catalog is None:
         rows.write.mode(mode).option("maxRecordsPerFile", rows_per_file).parquet(path)
         return
-    routed = rows.withColumn("part", catalog.route() if route is None else route).hint("rebalance", "part")
-    routed.write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy("part").parquet(path)
+    routed = rows.withColumn("part", catalog.route() if route is None else route)
+    if mode == "overwrite":
+        routed.limit(0).write.mode(mode).partitionBy("part").parquet(path)  # empties the folder
+    # the catalog comes first: a crash never leaves rows that a later append would take for rows without one
     catalog.to_df(df.sparkSession).coalesce(1).write.mode("overwrite").parquet(f"{path}/{CATALOG_DIR}")
+    routed.hint("rebalance", "part").write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy("part").parquet(path)
 
 
 def read_collection(spark: SparkSession, path: str) -> DataFrame:
@@ -83,14 +86,38 @@ def read_seed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{SEED_DIR}")
 
 
-def compact(spark: SparkSession, source: str, target: str, attrs: Sequence[str], n: int | None = None) -> None:
-    """Rewrite the layout: rows ranged by partition and attribute and sorted inside each task, so that
-    the minimum and maximum of a Parquet row group skip data inside a partition as well."""
+def curve_key(attrs: Sequence[str], cuts: Mapping[str, Sequence[int]]) -> Column:
+    """Place on a space-filling curve (Z order): the bits of the attributes' bucket numbers, dealt out in turn.
+
+    ``cuts`` are ascending bucket bounds per attribute. Rows next to each other on the curve are near in every attribute.
+    """
+    bits = max(len(cuts[a]).bit_length() for a in attrs)
+    if bits * len(attrs) > 62:
+        raise ValueError("the curve has at most 62 bits")
+    buckets = [bucket_of(F.coalesce(F.col(a), F.lit(UNBOUNDED_LO)), list(cuts[a])).cast("bigint") for a in attrs]
+    key = F.lit(0).cast("bigint")
+    for bit in range(bits):
+        for i, bucket in enumerate(buckets):
+            key = key.bitwiseOR(F.shiftleft(F.shiftright(bucket, bit).bitwiseAND(F.lit(1)), bit * len(attrs) + i))
+    return key
+
+
+def compact(spark: SparkSession, source: str, target: str, attrs: Sequence[str], n: int | None = None, rows_per_file: int = ROWS_PER_FILE, buckets: int = 64) -> None:
+    """Rewrite the layout so that the minimum and maximum of a Parquet row group skip data inside a partition, on every attribute.
+
+    Rows are ranged by partition and place on a space-filling curve over ``attrs`` and sorted inside each task. Bucket bounds are
+    approximate quantiles, so skewed attributes are cut where their rows are; they steer the order only, not what is stored.
+    """
     rows = read_collection(spark, source)
-    keys = [F.col(c) for c in ("part", *attrs, "id") if c in rows.columns]
-    ranged = rows.repartitionByRange(n, *keys) if n else rows.repartitionByRange(*keys)
-    out = ranged.sortWithinPartitions(*keys).write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE)
-    if "part" not in rows.columns:
+    shares = [i / buckets for i in range(1, buckets)]
+    found = rows.agg(*[F.percentile_approx(a, shares, 10_000).alias(a) for a in attrs]).first()  # one row
+    cuts = {a: sorted(set(found[a] or [])) for a in attrs}
+    whole = [F.col(c) for c in ("part",) if c in rows.columns]
+    keys = [*whole, F.col("#curve"), F.col("id")]
+    placed = rows.withColumn("#curve", curve_key(attrs, cuts))
+    ranged = placed.repartitionByRange(n, *keys) if n else placed.repartitionByRange(*keys)
+    out = ranged.sortWithinPartitions(*keys).drop("#curve").write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
+    if not whole:
         out.parquet(target)
         return
     out.partitionBy("part").parquet(target)

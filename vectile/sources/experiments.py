@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vectile.functions.predicates import DNF_TYPE
 from vectile.operators.catalog import literal_array
+from vectile.session import materialise
 
 RANGE = "struct<gt:int,lt:int>"
 ENTRY = (
@@ -16,22 +18,40 @@ ENTRY = (
     "closest_ids:array<bigint>,closest_scores:array<float>>"
 )
 RUN_ARRAYS = "search_times array<bigint>, filter_used array<boolean>, tp array<int>, fp array<int>, fn array<int>"
+MOST_CONDITIONS = 1 << 16  # of a line, in the numbers of its queries
 RUN_KEYS = ("trial", "schema_id", "workflow_id")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value): the lines of a file, or of a folder's files in the order of their paths, numbered from 0.
+
+    Spark reads a file in splits. Lines are counted per split, and a split's lines start behind those of the splits before it, so
+    numbers do not depend on how the splits are dealt to tasks.
+    """
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = materialise(read.withColumn("at", F.monotonically_increasing_id()))
+    splits = lines.groupBy("file", "block").agg(F.count("*").alias("own"), F.min("at").alias("first"))
+    whole = Window.partitionBy("file")
+    within = F.coalesce(F.sum("own").over(whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = splits.groupBy("file").agg(F.sum("own").alias("in_file"))  # a row per file
+    before = F.coalesce(F.sum("in_file").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = splits.select("file", "block", (within - F.col("first")).alias("shift")).join(files.select("file", before.alias("before")), "file")
+    return lines.join(starts, ["file", "block"]).select((F.col("at") + F.col("shift") + F.col("before")).alias("line"), "value")
+
+
 def read_workload(spark: SparkSession, path: str, attrs: Sequence[str], n: int | None = None) -> DataFrame:
     """Range conditions of a JSON-lines workload, one row per condition of a line's first conjunct.
 
     ``{"gt": g, "lt": l}`` means ``x >= g + 1 and not x >= l``. Lines that do not parse and conditions
-    of another kind, without both bounds or on an attribute outside ``attrs`` are skipped; ``n`` bounds the lines
-    read, skipped ones included.
+    of another kind, without both bounds or on an attribute outside ``attrs`` are skipped; ``n`` keeps the first lines
+    by position, skipped ones included. ``line`` is the position and ``qid`` a number for every condition, in file order.
     """
-    lines = spark.read.text(path)
+    lines = numbered_lines(spark, path)
     if n is not None:
-        lines = lines.limit(n)
-    entry = lines.select(F.from_json("value", ENTRY).alias("e")).select("e.*")
+        lines = lines.filter(F.col("line") < n)
+    entry = lines.select("line", F.from_json("value", ENTRY).alias("e")).select("line", "e.*")
     conditions = entry.select(
-        "query", "closest_ids", "closest_scores", F.explode(F.get(F.col("conditions.and"), F.lit(0))).alias("attr", "ops")
+        "line", "query", "closest_ids", "closest_scores", F.posexplode(F.get(F.col("conditions.and"), F.lit(0))).alias("pos", "attr", "ops")
     )
     first = F.get(F.map_keys("ops"), F.lit(0))
     ranged = conditions.filter(first == "range").withColumn("r", F.col("ops")["range"])
@@ -42,7 +62,8 @@ def read_workload(spark: SparkSession, path: str, attrs: Sequence[str], n: int |
     place = F.array_position(literal_array(attrs, "array<string>"), F.col("attr")) - 1
     literal = lambda neg, value: F.struct(place.cast("int").alias("attr"), F.lit(neg).alias("neg"), value.alias("value"))
     dnf = F.array(F.array(literal(False, F.col("r.gt") + 1), literal(True, F.col("r.lt")))).cast(DNF_TYPE)
-    return kept.select("query", "attr", (F.col("r.gt") + 1).alias("lower"), F.col("r.lt").alias("upper"), dnf.alias("dnf"), "closest_ids", "closest_scores")
+    qid = F.col("line") * MOST_CONDITIONS + F.col("pos")
+    return kept.select("line", qid.alias("qid"), "query", "attr", (F.col("r.gt") + 1).alias("lower"), F.col("r.lt").alias("upper"), dnf.alias("dnf"), "closest_ids", "closest_scores")
 
 
 def write_runs(runs: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -75,6 +96,16 @@ def write_config(grid: DataFrame, path: str, columns: Sequence[str], name: str)
     grid.agg(listed.alias(f"expanded_{name}")).coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_configs(grid: DataFrame, path: str, columns: Sequence[str]) -> None:
+    """A grid as JSON lines, one configuration each, written where the rows are; for grids of any size."""
+    grid.select("config_id", *columns).write.mode("overwrite").json(path)
+
+
+def read_configs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows written by ``write_configs``."""
+    return spark.read.schema(f"config_id bigint, {schema}").json(path)
+
+
 def read_config(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
     """(config_id, columns...) of the list ``expanded_<name>``; the id is the position."""
     document = spark.read.schema(f"expanded_{name} array<struct<{schema}>>").option("multiLine", True).json(path)
