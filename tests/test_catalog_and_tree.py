@@ -148,7 +148,7 @@ def test_characterized_example(spark):
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_tree_properties_in_both_strategies(spark, seed):
+def test_tree_properties(spark, seed):
     rng = random.Random(seed)
     attrs = ("a", "b", "c")
     skewed = lambda: 7 if rng.random() < 0.3 else rng.randrange(0, 20)  # a third of the rows share one value
@@ -159,12 +159,9 @@ def test_tree_properties_in_both_strategies(spark, seed):
     df = spark.createDataFrame([tuple(r[a] for a in attrs) for r in data], "a int, b int, c int")
     tree = build_tree(df, attrs, atoms, params)
     assert_grown(tree, data, atoms, params)
-    if seed < 3:
-        by_level = build_tree(df, attrs, atoms, params, max_driver_cells=0)
-        assert by_level.splits == tree.splits
     checked = validate(df, tree.catalog()).collect()
     assert sum(r.n_rows for r in checked) == 300 and all(r.n_rows == r.n_inside for r in checked)
-    routed = df.select((tree.case_route() == tree.catalog().route()).alias("same"))
+    routed = df.select(((tree.case_route() == tree.catalog().route()) & (tree.case_route() == tree.descent())).alias("same"))
     assert routed.filter("not same").count() == 0
 
 
@@ -188,3 +185,50 @@ def test_large_catalog_routes_by_lookup(spark):
     df = spark.createDataFrame([(int(x), int(y)) for x, y in np.random.default_rng(1).integers(0, 330, (500, 2))], "x int, y int")
     for r in df.select("x", "y", cat.route().alias("p")).collect():
         assert r.p == (f"g{r.x // 10}_{r.y // 10}" if r.x < 320 and r.y < 320 else UNMATCHED)
+
+
+def test_routing_past_the_lookup_table(spark):
+    """32 cuts on each of four attributes: 33^4 cells are too many for a table, and no box is tested one by one."""
+    rng = np.random.default_rng(6)
+    attrs = ("a", "b", "c", "d")
+    boxes = {f"g{i}": {x: tuple(sorted(int(v) for v in rng.integers(0, 400, 2))) for x in attrs} for i in range(300)}
+    cat = Catalog.from_ranges(attrs, boxes)
+    assert all(len(c) >= 32 for c in cat.cuts()) and cat.n_cells() > 2**20
+    rows = rng.integers(-10, 410, (400, 4))
+    df = spark.createDataFrame([tuple(int(v) for v in r) for r in rows], "a int, b int, c int, d int")
+    inside = lambda r, box: all(box[x][0] <= v <= box[x][1] for x, v in zip(attrs, r))
+    for r in df.select(*attrs, cat.route().alias("p")).collect():
+        assert r.p == next((name for name, box in boxes.items() if inside(r[:4], box)), UNMATCHED)
+
+
+def test_two_hundred_thresholds_on_four_attributes(spark):
+    """Far more cells than rows; the tree is the one that plain counting gives, and the descent routes to it."""
+    rng = np.random.default_rng(9)
+    attrs = ("a", "b", "c", "d")
+    rows = rng.integers(0, 1000, (4000, 4))
+    df = spark.createDataFrame([tuple(int(v) for v in r) for r in rows], "a int, b int, c int, d int")
+    atoms = [(x, v, int(rng.integers(10, 10_000))) for x in attrs for v in range(5, 1000, 5)]
+    params = TreeParams(10, 0.11, 20, 200)
+    tree = build_tree(df, attrs, atoms, params)
+    ordered = sorted(atoms, key=lambda t: -t[2])
+    place = {x: i for i, x in enumerate(attrs)}
+
+    def grow(path, own, first, out):
+        for i in range(first, len(ordered)):
+            x, v, _ = ordered[i]
+            up = own[:, place[x]] >= v
+            if 0.11 <= up.mean() <= 0.89 and min(up.sum(), (~up).sum()) >= 20:
+                out[path] = (x, v)
+                grow(path + "0", own[up], i + 1, out)
+                grow(path + "1", own[~up], i + 1, out)
+                return
+
+    import sys
+
+    sys.setrecursionlimit(10_000)
+    want = {}
+    grow("", rows, 0, want)
+    kept = dict(sorted(want.items())[:199])
+    assert {p: (attrs[s.attr], s.value) for p, s in tree.splits.items()} == kept
+    sizes = {r.part: r["count"] for r in df.groupBy(tree.descent().alias("part")).count().collect()}
+    assert sizes == {r.part: r.n_rows for r in validate(df, tree.catalog()).collect() if r.n_rows}

@@ -33,6 +33,8 @@ UNMATCHED = "__unmatched__"
 MAX_PARTITIONS = 16_384
 #: Largest lookup table, in cells, that a routing column carries.
 MAX_LOOKUP_CELLS = 1 << 20
+#: Bits of a word in the sets of boxes: a bigint without its sign.
+WORD_BITS = 62
 #: Queries times partitions tested at once.
 PRUNE_CELLS = 1 << 21
 
@@ -143,12 +145,16 @@ class Catalog:
         names = literal_array(self.names, "array<string>")
         return F.coalesce(F.get(names, index), F.lit(UNMATCHED))
 
+    def n_cells(self) -> int:
+        """Cells of the grid that the bounds of all boxes cut."""
+        return int(np.prod([len(c) + 1 for c in self.cuts()], dtype=object))
+
     def route_index(self) -> Column:
         """Position of the row's partition in the catalog."""
         cuts = self.cuts()
         shape = [len(c) + 1 for c in cuts]
-        if int(np.prod(shape, dtype=object)) > MAX_LOOKUP_CELLS:
-            return self._scan_index()
+        if self.n_cells() > MAX_LOOKUP_CELLS:
+            return self._set_index(cuts)
         table = np.full(shape, len(self.boxes), dtype=np.int32)
         for i in range(len(self.boxes) - 1, -1, -1):  # the first matching box is written last
             box = self.boxes[i]
@@ -162,15 +168,25 @@ class Catalog:
             flat = flat * F.lit(size) + bucket_of(F.col(attr), c)
         return F.get(literal_array(table.ravel().tolist(), "array<int>"), flat)
 
-    def _scan_index(self) -> Column:
-        """Too many cells for a table: test the boxes in order."""
-        values = F.array(*[F.col(a).cast("int") for a in self.attrs])
-        inside = lambda box: F.forall(
-            F.arrays_zip(box["lo"].alias("lo"), box["hi"].alias("hi"), values.alias("v")),
-            lambda t: t["v"].between(t["lo"], t["hi"]),
-        )
-        hit = F.filter(catalog_literal(self.boxes), inside)
-        return F.coalesce(F.get(hit, F.lit(0))["pos"], F.lit(len(self.boxes)))
+    def _set_index(self, cuts: Sequence[Sequence[int]]) -> Column:
+        """Too many cells for a table: per attribute and bucket the set of boxes that reach it, as words of bits.
+
+        A row's sets are ANDed word by word; the lowest bit left is the first box that holds it. That takes one step for every 62
+        boxes and a table of buckets times boxes bits.
+        """
+        n_words = -(-len(self.boxes) // WORD_BITS)
+        together = None
+        for d, (attr, own) in enumerate(zip(self.attrs, cuts)):
+            held = np.zeros((len(own) + 1, n_words * WORD_BITS), bool)
+            for i, box in enumerate(self.boxes):
+                held[np.searchsorted(own, box.lo[d], side="right") : np.searchsorted(own, box.hi[d], side="right") + 1, i] = True
+            weights = 1 << np.arange(WORD_BITS, dtype=np.int64)
+            words = (held.reshape(len(own) + 1, n_words, WORD_BITS) * weights).sum(axis=2)
+            sets = F.get(literal_array(words.tolist(), "array<array<bigint>>"), bucket_of(F.col(attr), own))
+            together = sets if together is None else F.zip_with(together, sets, lambda x, y: x.bitwiseAND(y))
+        lowest = lambda w, i: F.when(w != 0, i * WORD_BITS + F.bit_count(w.bitwiseAND(-w) - 1))
+        first = F.array_min(F.transform(together, lowest))  # nulls are passed over
+        return F.coalesce(first, F.lit(len(self.boxes))).cast("int")
 
     # -- pruning ---------------------------------------------------------------------------
 
@@ -246,11 +262,6 @@ def literal_array(values: Sequence, ddl: str) -> Column:
     return F.from_json(F.lit(json.dumps(list(values))), ddl)
 
 
-def catalog_literal(boxes: Sequence[Box]) -> Column:
-    rows = [{"pos": i, "lo": b.lo, "hi": b.hi} for i, b in enumerate(boxes)]
-    return F.from_json(F.lit(json.dumps(rows)), "array<struct<pos:int,lo:array<int>,hi:array<int>>>")
-
-
 def bucket_of(value: Column, cuts: Sequence[int], max_case: int = 256) -> Column:
     """Number of cuts at or below the value: a balanced CASE, or a binary search over a constant array for many cuts."""
 

@@ -1,27 +1,25 @@
-"""Workload-driven partition tree, grown from one distributed aggregation.
+"""Workload-driven partition tree, grown level by level from one distributed aggregation.
 
 A split decision depends only on how many rows lie in each cell of the grid that the candidate
-thresholds cut, so the rows are aggregated to cells once and the greedy choice runs on the counts.
-When there are too many cells for the driver, the same tree is grown level by level with one
-Spark aggregation over the cell table per level.
+thresholds cut, so the rows are aggregated to cells once. Every level is then one plan, whatever the number of cells: cells descend
+to their open node, are counted by node, attribute and bucket, and each node's counts, at most one per threshold, decide its
+split. Only the chosen splits reach the driver.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from vectile.functions.predicates import UNBOUNDED_HI, UNBOUNDED_LO, at_least
-from vectile.operators.catalog import Box, Catalog, bucket_of, literal_array
-from vectile.session import materialise
-
-#: Cells that may be brought to the driver for the greedy choice.
-MAX_DRIVER_CELLS = 500_000
+from vectile.operators.catalog import MAX_LOOKUP_CELLS, Box, Catalog, bucket_of, literal_array
+from vectile.session import materialise, ship_by_value
 
 
 @dataclass(frozen=True)
@@ -82,9 +80,29 @@ class Tree:
 
         return build("")
 
+    def nodes(self) -> tuple[list[tuple[int, int, int, int]], dict[str, int]]:
+        """Flat nodes (attribute, threshold, true child, other child), the root first, and the number of every path.
+
+        Leaves follow the splits, from left to right; children are numbers of either.
+        """
+        number = {path: i for i, path in enumerate([*sorted(self.splits, key=lambda p: (len(p), p)), *self.leaf_paths()])}
+        flat = [(s.attr, s.value, number[p + "0"], number[p + "1"]) for p, s in sorted(self.splits.items(), key=lambda x: number[x[0]])]
+        return flat, number
+
+    def descent(self) -> Column:
+        """The leaf's name by following the nodes: as many steps as the tree is deep, however many leaves it has."""
+        flat, _ = self.nodes()
+        values = F.array(*[F.col(a).cast("int") for a in self.attrs])
+        depth = max(map(len, self.leaf_paths()))
+        leaf = follow(flat, values, depth) - len(flat)
+        return F.get(literal_array([f"part_{i}" for i in range(len(flat) + 1)], "array<string>"), leaf)
+
     def route(self, max_case_leaves: int = 128) -> Column:
-        small = len(self.splits) < max_case_leaves
-        return self.case_route() if small else self.catalog().route()
+        """A nested CASE for few leaves, a lookup where the grid of thresholds is small enough, else the descent."""
+        if len(self.splits) < max_case_leaves:
+            return self.case_route()
+        catalog = self.catalog()
+        return catalog.route() if catalog.n_cells() <= MAX_LOOKUP_CELLS else self.descent()
 
     def __str__(self) -> str:
         names = {path: f"part_{i}" for i, path in enumerate(self.leaf_paths())}
@@ -110,7 +128,7 @@ def candidates_of(atoms: Sequence[tuple[str, int, int]], attrs: Sequence[str], p
     frequent = [a for a in sorted(atoms, key=lambda a: -a[2]) if a[2] >= params.min_predicate_frequency]
     cuts = {a: sorted({v for name, v, _ in frequent if name == a}) for a in attrs}
     position = {a: i for i, a in enumerate(attrs)}
-    return [Candidate(position[name], v, cuts[name].index(v) + 1) for name, v, _ in frequent]
+    return [Candidate(position[name], v, bisect_left(cuts[name], v) + 1) for name, v, _ in frequent]
 
 
 def cuts_of(candidates: Sequence[Candidate], n_attrs: int) -> list[list[int]]:
@@ -123,50 +141,63 @@ def cell_table(df: DataFrame, attrs: Sequence[str], cuts: Sequence[Sequence[int]
     return df.select(*buckets).groupBy(*[f"b{d}" for d in range(len(attrs))]).agg(F.count("*").alias("n"))
 
 
-def build_tree(
-    df: DataFrame,
-    attrs: Sequence[str],
-    atoms: Sequence[tuple[str, int, int]],
-    params: TreeParams = TreeParams(),
-    max_driver_cells: int = MAX_DRIVER_CELLS,
-) -> Tree:
+def follow(nodes: Sequence[tuple[int, int, int, int]], values: Column, depth: int) -> Column:
+    """Number that a row reaches from node 0 in at most ``depth`` steps; numbers past the nodes are ends.
+
+    A null value takes the other side, as in SQL's CASE.
+    """
+    attr, threshold, yes, no = (literal_array([n[i] for n in nodes], "array<int>") for i in range(4))
+
+    def step(at: Column, _: Column) -> Column:
+        passes = F.get(values, F.get(attr, at)) >= F.get(threshold, at)
+        return F.when(at >= len(nodes), at).when(passes, F.get(yes, at)).otherwise(F.get(no, at))
+
+    return F.reduce(literal_array(range(depth), "array<int>"), F.lit(0), step) if depth else F.lit(0)
+
+
+def build_tree(df: DataFrame, attrs: Sequence[str], atoms: Sequence[tuple[str, int, int]], params: TreeParams = TreeParams()) -> Tree:
     """Grow the tree for rows ``df`` from ``atoms``, the (attribute, threshold, frequency) list of a workload."""
     candidates = candidates_of(atoms, attrs, params)
     tree = Tree(tuple(attrs))
     if not candidates or params.max_num_partitions < 2:
         return tree
-    cells = cell_table(df, attrs, cuts_of(candidates, len(attrs)))
-    head = cells.limit(max_driver_cells + 1).toArrow()
-    if head.num_rows <= max_driver_cells:
-        grid = np.column_stack([head.column(f"b{d}").to_numpy() for d in range(len(attrs))])
-        tree.splits = _grow_on_driver(grid, head.column("n").to_numpy(), candidates, params)
-    else:
-        tree.splits = _grow_by_level(materialise(cells), tree.attrs, candidates, params)
+    cells = materialise(cell_table(df, attrs, cuts_of(candidates, len(attrs))))
+    budget = params.max_num_partitions - 1
+    taken: dict[str, int] = {}  # the candidate of each split
+    opened = {"": 0}  # open nodes and the first candidate each may use
+    while opened:
+        picked = _choose(cells, taken, opened, candidates, len(attrs), params)
+        # the budget goes to the first splits in path order, so later ones can never be kept
+        taken = dict(sorted({**taken, **picked}.items())[:budget])
+        opened = {p + side: i + 1 for p, i in picked.items() if p in taken for side in "01" if i + 1 < len(candidates)}
+    tree.splits = {path: candidates[i] for path, i in taken.items()}
     return tree
 
 
-def _grow_on_driver(grid, weight, candidates, params) -> dict[str, Candidate]:
-    attr = np.array([c.attr for c in candidates])
-    bucket = np.array([c.bucket for c in candidates])
-    splits: dict[str, Candidate] = {}
-    pending = [("", np.arange(len(weight)), 0)]
-    while pending and len(splits) + 1 < params.max_num_partitions:
-        path, rows, first = pending.pop()
-        if first >= len(candidates) or not len(rows):
-            continue
-        # rows at or above each bucket, per attribute, give the true side of every candidate at once
-        above = [np.cumsum(np.bincount(grid[rows, d], weight[rows])[::-1])[::-1] for d in range(grid.shape[1])]
-        total = above[0][0]
-        yes = np.array([above[a][b] if b < len(above[a]) else 0 for a, b in zip(attr[first:], bucket[first:])])
-        ok = _acceptable(yes, total, params)
-        if not ok.any():
-            continue
-        chosen = first + int(np.argmax(ok))
-        splits[path] = candidates[chosen]
-        side = grid[rows, attr[chosen]] >= bucket[chosen]
-        pending.append((path + "1", rows[~side], chosen + 1))
-        pending.append((path + "0", rows[side], chosen + 1))
-    return splits
+def _choose(cells: DataFrame, taken: dict[str, int], opened: dict[str, int], candidates: Sequence[Candidate], d: int, params: TreeParams) -> dict[str, int]:
+    """The first passing candidate of each open node that has one: one aggregation, and one small group per open node."""
+    grown = Tree(tuple(f"b{i}" for i in range(d)), {p: Candidate(candidates[i].attr, candidates[i].bucket, 0) for p, i in taken.items()})
+    flat, number = grown.nodes()
+    buckets = F.array(*[F.col(f"b{i}") for i in range(d)])
+    first = {number[path]: i for path, i in opened.items()}
+    level = cells.withColumn("node", follow(flat, buckets, max(map(len, grown.leaf_paths()))))
+    marked = level.filter(F.col("node").isin(sorted(first))).select("node", "n", F.posexplode(buckets).alias("attr", "bucket"))
+    counts = marked.groupBy("node", "attr", "bucket").agg(F.sum("n").alias("n"))
+    attr, bucket = (np.array([getattr(c, f) for c in candidates]) for f in ("attr", "bucket"))
+    widths = max(bucket) + 1
+
+    def choose(group: pa.Table) -> pa.Table:
+        node = group.column("node")[0].as_py()
+        above = np.zeros((d, widths + 1), np.int64)
+        np.add.at(above, (group.column("attr").to_numpy(), group.column("bucket").to_numpy()), group.column("n").to_numpy())
+        above = np.cumsum(above[:, ::-1], axis=1)[:, ::-1]  # rows in this bucket or a later one
+        start = first[node]
+        fits = _acceptable(above[attr[start:], bucket[start:]], above[0, 0], params)
+        chosen = [start + int(np.argmax(fits))] if fits.any() else []
+        return pa.table({"node": pa.array([node] * len(chosen), pa.int32()), "cand": pa.array(chosen, pa.int32())})
+
+    paths = {number[path]: path for path in opened}
+    return {paths[r.node]: r.cand for r in counts.groupBy("node").applyInArrow(choose, "node int, cand int").collect()}
 
 
 def _acceptable(yes, total, params):
@@ -174,56 +205,4 @@ def _acceptable(yes, total, params):
     return ~(share < t) & ~(share > 1 - t) & (yes >= size) & (total - yes >= size)
 
 
-def _grow_by_level(cells: DataFrame, attrs, candidates, params) -> dict[str, Candidate]:
-    """One aggregation per level. Only the chosen splits, at most one per open node, reach the driver."""
-    spark = cells.sparkSession
-    d = len(attrs)
-    order = spark.createDataFrame(
-        [(i, c.attr, c.bucket) for i, c in enumerate(candidates)], "cand int, attr int, bucket int"
-    )
-    budget = params.max_num_partitions - 1
-    splits: dict[str, Candidate] = {}
-    started = {"": 0}  # open nodes and the first candidate each may use
-    where = cells.withColumn("node", F.lit(""))
-    while started:
-        opened = spark.createDataFrame(list(started.items()), "node string, first int")
-        level = where.join(F.broadcast(opened), "node")  # at most 2 * budget open nodes
-        marks = F.posexplode(F.array(*[F.col(f"b{i}") for i in range(d)])).alias("attr", "bucket")
-        counts = level.select("node", "first", "n", marks).groupBy("node", "first", "attr", "bucket").agg(F.sum("n").alias("n"))
-        # a candidate's bucket may hold no rows of the node, so it joins in with count zero
-        asked = opened.select("node", "first", F.explode(literal_array(range(d), "array<int>")).alias("attr")).join(
-            F.broadcast(order) if len(candidates) < 100_000 else order, "attr"
-        )
-        points = counts.select("node", "first", "attr", "bucket", "n", F.lit(None).cast("int").alias("cand")).unionByName(
-            asked.filter("cand >= first").select("node", "first", "attr", "bucket", F.lit(0).cast("bigint").alias("n"), "cand")
-        )
-        above = Window.partitionBy("node", "attr").orderBy(F.desc("bucket")).rangeBetween(Window.unboundedPreceding, 0)
-        whole = Window.partitionBy("node", "attr")
-        tested = points.select("node", "cand", F.sum("n").over(above).alias("yes"), F.sum("n").over(whole).alias("total"))
-        share, t = F.col("yes") / F.col("total"), params.selectivity_threshold
-        chosen = (
-            tested.filter(F.col("cand").isNotNull() & (F.col("total") > 0))
-            .filter((share >= t) & (share <= 1 - t))
-            .filter((F.col("yes") >= params.min_partition_size) & (F.col("total") - F.col("yes") >= params.min_partition_size))
-            .groupBy("node")
-            .agg(F.min("cand").alias("cand"))
-        )
-        picked = {r.node: r.cand for r in chosen.collect()}
-        splits.update({node: candidates[i] for node, i in picked.items()})
-        # the budget goes to the first splits in path order, so later ones can never be kept
-        kept = sorted(splits)[:budget]
-        splits = {p: splits[p] for p in kept}
-        picked = {p: i for p, i in picked.items() if p in splits}
-        started = {p + side: i + 1 for p, i in picked.items() for side in "01" if i + 1 < len(candidates)}
-        if started:
-            moves = spark.createDataFrame(
-                [(p, candidates[i].attr, candidates[i].bucket) for p, i in picked.items()], "node string, a int, b int"
-            )
-            at = F.get(F.array(*[F.col(f"b{i}") for i in range(d)]), F.col("a"))
-            where = materialise(
-                where.join(F.broadcast(moves), "node").select(
-                    F.concat("node", F.when(at >= F.col("b"), F.lit("0")).otherwise(F.lit("1"))).alias("node"),
-                    *cells.columns,
-                )
-            )
-    return splits
+ship_by_value(__name__)
