@@ -157,8 +157,9 @@ def test_tree_properties(spark, seed):
     atoms = [(a, v, f) for (a, v), f in atoms]
     params = TreeParams(rng.choice([1, 2]), rng.choice([0.05, 0.11, 0.2]), rng.choice([1, 5, 20]), rng.choice([1, 2, 3, 7, 50]))
     df = spark.createDataFrame([tuple(r[a] for a in attrs) for r in data], "a int, b int, c int")
-    tree = build_tree(df, attrs, atoms, params)
+    tree = build_tree(df, attrs, atoms, params, local_cells=rng.choice([0, 3, 40, 200_000]))  # by levels, in one pass, or both
     assert_grown(tree, data, atoms, params)
+    assert build_tree(df, attrs, atoms, params).splits == tree.splits
     checked = validate(df, tree.catalog()).collect()
     assert sum(r.n_rows for r in checked) == 300 and all(r.n_rows == r.n_inside for r in checked)
     routed = df.select(((tree.case_route() == tree.catalog().route()) & (tree.case_route() == tree.descent())).alias("same"))
@@ -209,7 +210,7 @@ def test_two_hundred_thresholds_on_four_attributes(spark):
     df = spark.createDataFrame([tuple(int(v) for v in r) for r in rows], "a int, b int, c int, d int")
     atoms = [(x, v, int(rng.integers(10, 10_000))) for x in attrs for v in range(5, 1000, 5)]
     params = TreeParams(10, 0.11, 20, 200)
-    tree = build_tree(df, attrs, atoms, params)
+    tree = build_tree(df, attrs, atoms, params, local_cells=900)
     ordered = sorted(atoms, key=lambda t: -t[2])
     place = {x: i for i, x in enumerate(attrs)}
 

@@ -1,9 +1,9 @@
 """Workload-driven partition tree, grown level by level from one distributed aggregation.
 
 A split decision depends only on how many rows lie in each cell of the grid that the candidate
-thresholds cut, so the rows are aggregated to cells once. Every level is then one plan, whatever the number of cells: cells descend
-to their open node, are counted by node, attribute and bucket, and each node's counts, at most one per threshold, decide its
-split. Only the chosen splits reach the driver.
+thresholds cut, so the rows are aggregated to cells once. Cells descend to their open node. Nodes of many cells are split level by level:
+cells are counted by node, attribute and bucket, and a node's counts, at most one per threshold, decide. All smaller nodes
+are groups of one last pass that grows what hangs on each. Only the chosen splits reach the driver.
 """
 
 from __future__ import annotations
@@ -21,6 +21,9 @@ from vectile.functions.predicates import UNBOUNDED_HI, UNBOUNDED_LO, at_least
 from vectile.operators.catalog import MAX_LOOKUP_CELLS, Box, Catalog, bucket_of, literal_array
 from vectile.session import materialise, ship_by_value
 
+#: Cells of a node that one task may grow to the end.
+LOCAL_CELLS = 200_000
+
 
 @dataclass(frozen=True)
 class TreeParams:
@@ -155,8 +158,14 @@ def follow(nodes: Sequence[tuple[int, int, int, int]], values: Column, depth: in
     return F.reduce(literal_array(range(depth), "array<int>"), F.lit(0), step) if depth else F.lit(0)
 
 
-def build_tree(df: DataFrame, attrs: Sequence[str], atoms: Sequence[tuple[str, int, int]], params: TreeParams = TreeParams()) -> Tree:
-    """Grow the tree for rows ``df`` from ``atoms``, the (attribute, threshold, frequency) list of a workload."""
+def build_tree(
+    df: DataFrame, attrs: Sequence[str], atoms: Sequence[tuple[str, int, int]], params: TreeParams = TreeParams(), local_cells: int = LOCAL_CELLS
+) -> Tree:
+    """Grow the tree for rows ``df`` from ``atoms``, the (attribute, threshold, frequency) list of a workload.
+
+    Nodes of more than ``local_cells`` cells are split one level after the other; every smaller one is a group of one
+    last pass, which grows all that hangs on it.
+    """
     candidates = candidates_of(atoms, attrs, params)
     tree = Tree(tuple(attrs))
     if not candidates or params.max_num_partitions < 2:
@@ -164,40 +173,90 @@ def build_tree(df: DataFrame, attrs: Sequence[str], atoms: Sequence[tuple[str, i
     cells = materialise(cell_table(df, attrs, cuts_of(candidates, len(attrs))))
     budget = params.max_num_partitions - 1
     taken: dict[str, int] = {}  # the candidate of each split
-    opened = {"": 0}  # open nodes and the first candidate each may use
+    opened, small = {"": (0, cells.count())}, {}  # of a node, the first candidate it may use and its number of cells
     while opened:
-        picked = _choose(cells, taken, opened, candidates, len(attrs), params)
+        small |= {p: first for p, (first, n) in opened.items() if n <= local_cells}
+        opened = {p: first for p, (first, n) in opened.items() if n > local_cells}
+        picked = _split(cells, taken, opened, candidates, params) if opened else {}
         # the budget goes to the first splits in path order, so later ones can never be kept
-        taken = dict(sorted({**taken, **picked}.items())[:budget])
-        opened = {p + side: i + 1 for p, i in picked.items() if p in taken for side in "01" if i + 1 < len(candidates)}
+        taken = dict(sorted({**taken, **{p: i for p, (i, *_) in picked.items()}}.items())[:budget])
+        sides = [(p + side, i + 1, n) for p, (i, *own) in picked.items() if p in taken for side, n in zip("01", own)]
+        opened = {p: (first, n) for p, first, n in sides if first < len(candidates)}
+    small = {p: first for p, first in small.items() if not p or p[:-1] in taken}
+    if small:
+        taken = dict(sorted({**taken, **_finish(cells, taken, small, candidates, params, budget)}.items())[:budget])
     tree.splits = {path: candidates[i] for path, i in taken.items()}
     return tree
 
 
-def _choose(cells: DataFrame, taken: dict[str, int], opened: dict[str, int], candidates: Sequence[Candidate], d: int, params: TreeParams) -> dict[str, int]:
-    """The first passing candidate of each open node that has one: one aggregation, and one small group per open node."""
+def _at_nodes(cells: DataFrame, taken: dict[str, int], nodes: dict[str, int], candidates: Sequence[Candidate]) -> tuple[DataFrame, dict[int, str]]:
+    """The cells of some open ``nodes`` with the number of their node, and the path of each number."""
+    d = len(cells.columns) - 1
     grown = Tree(tuple(f"b{i}" for i in range(d)), {p: Candidate(candidates[i].attr, candidates[i].bucket, 0) for p, i in taken.items()})
     flat, number = grown.nodes()
     buckets = F.array(*[F.col(f"b{i}") for i in range(d)])
-    first = {number[path]: i for path, i in opened.items()}
+    paths = {number[path]: path for path in nodes}
     level = cells.withColumn("node", follow(flat, buckets, max(map(len, grown.leaf_paths()))))
-    marked = level.filter(F.col("node").isin(sorted(first))).select("node", "n", F.posexplode(buckets).alias("attr", "bucket"))
-    counts = marked.groupBy("node", "attr", "bucket").agg(F.sum("n").alias("n"))
+    return level.filter(F.col("node").isin(sorted(paths))).select("node", buckets.alias("buckets"), "n"), paths
+
+
+def _split(cells: DataFrame, taken: dict[str, int], nodes: dict[str, int], candidates: Sequence[Candidate], params: TreeParams) -> dict[str, tuple[int, int, int]]:
+    """Of each node, the first candidate that passes and the cells on its sides: one aggregation, one small group per node."""
+    level, paths = _at_nodes(cells, taken, nodes, candidates)
+    marked = level.select("node", "n", F.posexplode("buckets").alias("attr", "bucket"))
+    counts = marked.groupBy("node", "attr", "bucket").agg(F.sum("n").alias("n"), F.count("*").alias("cells"))
     attr, bucket = (np.array([getattr(c, f) for c in candidates]) for f in ("attr", "bucket"))
-    widths = max(bucket) + 1
+    shape = (len(cells.columns) - 1, max(bucket) + 2)
 
     def choose(group: pa.Table) -> pa.Table:
         node = group.column("node")[0].as_py()
-        above = np.zeros((d, widths + 1), np.int64)
-        np.add.at(above, (group.column("attr").to_numpy(), group.column("bucket").to_numpy()), group.column("n").to_numpy())
-        above = np.cumsum(above[:, ::-1], axis=1)[:, ::-1]  # rows in this bucket or a later one
-        start = first[node]
-        fits = _acceptable(above[attr[start:], bucket[start:]], above[0, 0], params)
-        chosen = [start + int(np.argmax(fits))] if fits.any() else []
-        return pa.table({"node": pa.array([node] * len(chosen), pa.int32()), "cand": pa.array(chosen, pa.int32())})
-
-    paths = {number[path]: path for path in opened}
-    return {paths[r.node]: r.cand for r in counts.groupBy("node").applyInArrow(choose, "node int, cand int").collect()}
+        start = nodes[paths[node]]
+        above = {}
+        for name in ("n", "cells"):
+            held = np.zeros(shape, np.int64)
+            np.add.at(held, (group.column("attr").to_numpy(), group.column("bucket").to_numpy()), group.column(name).to_numpy())
+            above[name] = np.cumsum(held[:, ::-1], axis=1)[:, ::-1]  # in this bucket or a later one
+        fits = _acceptable(above["n"][attr[start:], bucket[start:]], above["n"][0, 0], params)
+        at = [start + int(np.argmax(fits))] if fits.any() else []
+        yes = [int(above["cells"][attr[i], bucket[i]]) for i in at]
+        no = [int(above["cells"][0, 0]) - y for y in yes]
+        return pa.table({"node": pa.array([node] * len(at), pa.int32()), "cand": pa.array(at, pa.int32()), "yes": pa.array(yes, pa.int64()), "no": pa.array(no, pa.int64())})
+
+    found = counts.groupBy("node").applyInArrow(choose, "node int, cand int, yes long, no long").collect()  # a row per open node
+    return {paths[r.node]: (r.cand, r.yes, r.no) for r in found}
+
+
+def _finish(cells: DataFrame, taken: dict[str, int], nodes: dict[str, int], candidates: Sequence[Candidate], params: TreeParams, budget: int) -> dict[str, int]:
+    """The splits below each of the nodes, the first ``budget`` of them in path order. A group holds the cells of one node."""
+    level, paths = _at_nodes(cells, taken, nodes, candidates)
+    attr, bucket = (np.array([getattr(c, f) for c in candidates]) for f in ("attr", "bucket"))
+
+    def grow(group: pa.Table) -> pa.Table:
+        path = paths[group.column("node")[0].as_py()]
+        grid = group.column("buckets").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
+        weight = group.column("n").to_numpy()
+        splits: dict[str, int] = {}
+        pending = [(path, np.arange(len(weight)), nodes[path])]
+        while pending and len(splits) < budget:
+            here, rows, first = pending.pop()
+            if first >= len(attr) or not len(rows):
+                continue
+            # rows at or above each bucket, per attribute, give the true side of every candidate at once
+            above = np.zeros((grid.shape[1], max(bucket) + 2))
+            for d in range(grid.shape[1]):
+                own = np.bincount(grid[rows, d], weight[rows], max(bucket) + 2)
+                above[d] = np.cumsum(own[::-1])[::-1]
+            fits = _acceptable(above[attr[first:], bucket[first:]], above[0, 0], params)
+            if fits.any():
+                chosen = first + int(np.argmax(fits))
+                splits[here] = chosen
+                side = grid[rows, attr[chosen]] >= bucket[chosen]
+                pending.append((here + "1", rows[~side], chosen + 1))
+                pending.append((here + "0", rows[side], chosen + 1))
+        return pa.table({"path": pa.array(list(splits), pa.string()), "cand": pa.array(list(splits.values()), pa.int32())})
+
+    found = level.groupBy("node").applyInArrow(grow, "path string, cand int").orderBy("path").limit(budget)
+    return {r.path: r.cand for r in found.collect()}
 
 
 def _acceptable(yes, total, params):
