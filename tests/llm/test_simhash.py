@@ -111,3 +111,10 @@ def test_drop_keeps_one_row_of_each_group(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], DOCS)
     assert simhash_groups(df).collect() == [] and drop_near_copies(df).collect() == []
+
+
+def test_rows_with_maps_keep_one_of_each_group(spark):
+    schema = "doc_id long, text string, tags map<string,int>, more array<struct<m:map<string,string>>>"
+    rows = [(3, "a b c d", {"x": 1}, None), (2, "A B C D", None, [({"k": "v"},)]), (2, "A B C D", None, [({"k": "v"},)]), (9, "other words entirely here", {}, [])]
+    kept = drop_near_copies(spark.createDataFrame(rows, schema)).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.tags) for r in kept] == [(2, None), (9, {})]

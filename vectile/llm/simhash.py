@@ -142,7 +142,9 @@ def drop_near_copies(docs: DataFrame, width: int = 3, radius: int = 2, doc_id: s
     A group without any id keeps one row.
     """
     # Fingerprints and ids decide; the texts are shuffled once, to meet the list of rows that stay.
-    body = F.xxhash64(F.col("row"))
+    # Maps cannot be hashed, so rows that hold some are hashed as their JSON text.
+    mapped = "map<" in docs.schema.simpleString()
+    body = F.xxhash64(F.to_json("row") if mapped else F.col("row"))
     slim = materialise(with_fingerprints(docs, width, text).select(F.col(f"row.{doc_id}").alias("doc_id"), "print", F.xxhash64(F.coalesce(F.col(f"row.{text}"), F.lit(""))).alias("order"), body.alias("body")))
     alone = F.when(F.col("component_id").isNull(), F.col("print"))
     placed = slim.join(fingerprint_groups(slim, radius), "print")
