@@ -98,3 +98,38 @@ def test_overlapping_sources(spark):
     members = F.when(F.col("doc_id") < 50, F.array(F.lit("a"), F.lit("b"))).when(F.col("doc_id") < 120, F.array(F.lit("b"))).otherwise(F.array(F.lit("c"), F.lit("a")))
     counted = Counter(r.doc_id for r in mix_documents(df, members).collect())
     assert abs(sum(counted.values()) * 10 - 2000) <= 20 and max(counted.values()) <= 3
+
+
+def test_equal_rows_meet_the_target(spark):
+    rows = [(1, "a b c d e f g h i j", "s", "", "")] * 1000 + [(2 + i, "k l m", "t", "", "") for i in range(1000)]
+    df = spark.createDataFrame(rows, DOCS).repartition(7)
+    got = mixed_sizes(df).collect()
+    for size, (taken, goal) in {r.size: (sum(x.taken for x in got if x.size == r.size), r.target) for r in got}.items():
+        assert abs(taken - goal) <= 0.005 * goal, (size, taken, goal)
+    mixed = mix_documents(df, membership("source"))
+    counted = Counter(r.doc_id for r in mixed.collect())
+    assert counted[1] * 10 == sum(r.taken for r in got if r.size == 10)
+
+
+def test_twins_with_other_columns_agree_over_partitions(spark):
+    rows = [(1, "a b c d", "s", str(i % 50), "") for i in range(400)] + [(2, "e " * 30, "t", "", "")] * 20
+    taken = lambda n: Counter(map(tuple, mix_documents(spark.createDataFrame(rows, DOCS).repartition(n), membership("source")).collect()))
+    assert taken(2) == taken(6)
+
+
+def test_many_overlapping_patterns_are_solved_in_seconds():
+    import random
+    import time
+
+    draw = random.Random(5)
+    names = [f"s{i:03d}" for i in range(100)]
+    supply = {tuple(sorted(draw.sample(names, draw.randint(1, 5)))): draw.randint(1, 10**9) for _ in range(10_000)}
+    quota = {s: draw.randint(10**9, 10**11) for s in names}
+    start = time.time()
+    routed = route(supply, quota)
+    assert time.time() - start < 20
+    by_pattern, by_source = Counter(), Counter()
+    for (p, s), f in routed.items():
+        by_pattern[p] += f
+        by_source[s] += f
+    assert all(by_pattern[p] <= 3 * n for p, n in supply.items()) and all(by_source[s] <= q for s, q in quota.items())

@@ -8,7 +8,6 @@ takes; documents are then selected by a seeded hash.
 
 from __future__ import annotations
 
-import heapq
 from collections import defaultdict
 from collections.abc import Sequence
 
@@ -46,84 +45,95 @@ def targets(sizes: dict[str | None, int], weights: Sequence[float] = (1, 2, 3),
 
 
 class Flow:
-    """Successive cheapest paths with node potentials; capacities and prices are whole numbers."""
-
-    def __init__(self):
-        self.arcs: list[list[int]] = []  # to, capacity left, price; an arc and its reverse are neighbours
-        self.out: dict[object, list[int]] = defaultdict(list)
-
-    def arc(self, a, b, capacity: int, price: int) -> int:
-        self.arcs += [[b, capacity, price], [a, 0, -price]]
-        self.out[a].append(len(self.arcs) - 2)
-        self.out[b].append(len(self.arcs) - 1)
-        return len(self.arcs) - 2
-
-    def run(self, start, end) -> None:
-        height: dict[object, int] = defaultdict(int)
-        while True:
-            best, came, heap, tick = {start: 0}, {}, [(0, 0, start)], 0
-            while heap:
-                cost, _, node = heapq.heappop(heap)
-                if cost > best[node]:
+    """Largest flows by blocking flows over shortest paths; nodes are numbers, 0 the start and 1 the end."""
+
+    def __init__(self, nodes: int):
+        self.to: list[int] = []
+        self.left: list[int] = []  # an arc and its reverse are neighbours
+        self.out: list[list[int]] = [[] for _ in range(nodes)]
+
+    def arc(self, a: int, b: int, capacity: int) -> int:
+        self.out[a].append(len(self.to))
+        self.out[b].append(len(self.to) + 1)
+        self.to += [b, a]
+        self.left += [capacity, 0]
+        return len(self.to) - 2
+
+    def _depths(self) -> list[int]:
+        depth = [-1] * len(self.out)
+        depth[0], row = 0, [0]
+        while row and depth[1] < 0:
+            after = []
+            for a in row:
+                for i in self.out[a]:
+                    b = self.to[i]
+                    if self.left[i] and depth[b] < 0:
+                        depth[b] = depth[a] + 1
+                        after.append(b)
+            row = after
+        return depth
+
+    def run(self) -> None:
+        """Push all that the capacities let through."""
+        to, left, out = self.to, self.left, self.out
+        while (depth := self._depths())[1] >= 0:
+            tried, path, node = [0] * len(out), [], 0
+            while True:
+                if node == 1:
+                    step = min(left[i] for i in path)
+                    for i in path:
+                        left[i] -= step
+                        left[i ^ 1] += step
+                    # Go back to the first arc that is full now.
+                    full = next(k for k, i in enumerate(path) if not left[i])
+                    node = to[path[full] ^ 1]
+                    del path[full:]
                     continue
-                for i in self.out[node]:
-                    to, capacity, price = self.arcs[i]
-                    there = cost + price + height[node] - height[to]
-                    if capacity and there < best.get(to, 1 << 62):
-                        tick += 1
-                        best[to], came[to] = there, i
-                        heapq.heappush(heap, (there, tick, to))
-            if end not in best:
-                return
-            for node in self.out:
-                height[node] += min(best.get(node, best[end]), best[end])
-            path, node = [], end
-            while node != start:
-                path.append(came[node])
-                node = self.arcs[came[node] ^ 1][0]
-            step = min(self.arcs[i][1] for i in path)
-            for i in path:
-                self.arcs[i][1] -= step
-                self.arcs[i ^ 1][1] += step
+                while tried[node] < len(out[node]):
+                    i = out[node][tried[node]]
+                    if left[i] and depth[to[i]] == depth[node] + 1:
+                        break
+                    tried[node] += 1
+                if tried[node] < len(out[node]):
+                    path.append(i)
+                    node = to[i]
+                elif path:
+                    node = to[path.pop() ^ 1]
+                    tried[node] += 1
+                else:
+                    break
 
 
 def route(supply: dict[Pattern, int], quota: dict[str | None, int], most: int = 3) -> dict[tuple[Pattern, str | None], int]:
     """Words that each pattern gives to each of its sources.
 
     The quotas are met as far as possible, and among the ways to do so the one with the least repetition is taken: the
-    n-th use of a pattern's words costs n - 1 each. Patterns that share no source, directly or through others, are
-    solved apart.
+    n-th use of a pattern's words costs n - 1 each. Prices stand on the arcs that leave the start, and what these can
+    carry together is a polymatroid; so the largest flow at one price, enlarged at the next, is a cheapest one. A
+    source whose patterns belong to no other needs no flow where it has one pattern alone.
     """
-    parent: dict[object, object] = {}
-
-    def top(x):
-        parent.setdefault(x, x)
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for pattern in supply:
+    patterns = sorted((p for p in supply if p), key=repr)
+    of_source: dict[str | None, int] = defaultdict(int)
+    for pattern in patterns:
+        for source in pattern:
+            of_source[source] += 1
+    alone = [p for p in patterns if len(p) == 1 and of_source[p[0]] == 1]
+    routed = {(p, p[0]): min(most * supply[p], quota.get(p[0], 0)) for p in alone}
+    shared = [p for p in patterns if (p, p[0]) not in routed]
+    sources = sorted({s for p in shared for s in p}, key=repr)
+    place = {s: 2 + len(shared) + i for i, s in enumerate(sources)}
+    flow, arcs = Flow(2 + len(shared) + len(sources)), {}
+    enter = [flow.arc(0, 2 + i, 0) for i in range(len(shared))]
+    for i, pattern in enumerate(shared):
         for source in pattern:
-            parent[top(("source", source))] = top(("source", pattern[0]))
-    groups: dict[object, list[Pattern]] = defaultdict(list)
-    for pattern in sorted(supply, key=repr):
-        if pattern:
-            groups[top(("source", pattern[0]))].append(pattern)
-    routed = {}
-    for patterns in groups.values():
-        flow, arcs, sources = Flow(), {}, set()
-        for pattern in patterns:
-            for use in range(most):
-                flow.arc("start", ("pattern", pattern), supply[pattern], use)
-            for source in pattern:
-                arcs[pattern, source] = flow.arc(("pattern", pattern), ("source", source), most * supply[pattern], 0)
-                sources.add(source)
-        for source in sorted(sources, key=repr):
-            flow.arc(("source", source), "end", quota.get(source, 0), 0)
-        flow.run("start", "end")
-        routed |= {key: flow.arcs[i ^ 1][1] for key, i in arcs.items()}
-    return routed
+            arcs[pattern, source] = flow.arc(2 + i, place[source], most * supply[pattern])
+    for source in sources:
+        flow.arc(place[source], 1, quota.get(source, 0))
+    for _ in range(most):
+        for i, pattern in zip(enter, shared):
+            flow.left[i] += supply[pattern]
+        flow.run()
+    return routed | {key: flow.left[i ^ 1] for key, i in arcs.items()}
 
 
 def small(table: DataFrame, rows: int) -> DataFrame:
@@ -150,18 +160,18 @@ PLAN = T.StructType([T.StructField("pattern", T.ArrayType(T.StringType())), T.St
 
 
 def select_documents(sized: DataFrame, plan: DataFrame) -> DataFrame:
-    """(pattern, uses, cut, flips): every document is used ``uses`` times, and once more if its draw is up to ``cut``.
+    """(pattern, uses, edge, of_edge, flips): every document is used ``uses`` times, and once more if its draw is below ``edge``.
 
     The documents of a pattern stand in the order of their draws, and ``rest`` words are wanted from the front. Where
     that point lies is narrowed down by two histograms of 4,096 slices over partial sums, so only a 2^24-th of a
-    pattern is ever ordered, whatever its share of all rows. Then ``FLIPS`` documents, each the one whose inclusion
-    or exclusion brings the pattern nearest to what is wanted, change sides.
+    pattern is ever ordered, whatever its share of all rows; equal rows are counted before. Of the ``edge`` draw, where
+    the point lies, ``of_edge`` rows are used once more. Then one row of each of ``FLIPS`` draws, each the one whose
+    inclusion or exclusion brings the pattern nearest to what is wanted, changes sides.
     """
     partial = plan.where("rest > 0").select(F.col("pattern").alias("wanted"), "rest")
     rows = sized.join(partial, F.col("pattern") == F.col("wanted")).select("pattern", "rest", "size", "draw")
     # Per level: the slice of the pattern in which the running total passes what is wanted.
     level = rows.select("pattern", F.col("rest").alias("missing"), "size", "draw", F.lit(0).cast("long").alias("slice"))
-    at = partial.select(F.col("wanted").alias("pattern"), F.col("rest").alias("missing"), F.lit(0).cast("long").alias("slice"))
     for shift in (51, 39):
         sums = level.groupBy("pattern", "missing", F.shiftright("draw", shift).alias("slice")).agg(F.sum("size").alias("words"))
         before = F.coalesce(F.sum("words").over(Window.partitionBy("pattern").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -169,24 +179,26 @@ def select_documents(sized: DataFrame, plan: DataFrame) -> DataFrame:
         at = materialise(stands.select("pattern", (F.col("missing") - F.col("before")).alias("missing"), "slice"))
         here = at.select(F.col("pattern").alias("there"), "missing", "slice")
         level = rows.select("pattern", "size", "draw").join(here, (F.col("pattern") == F.col("there")) & (F.shiftright("draw", shift) == F.col("slice"))).select("pattern", "missing", "size", "draw", "slice")
-    running = F.sum("size").over(Window.partitionBy("pattern").orderBy("draw").rangeBetween(Window.unboundedPreceding, 0))
-    fits = level.withColumn("running", running).where("running <= missing").groupBy("pattern").agg(F.max("draw").alias("cut"), F.max("running").alias("inside"))
-    front = at.join(fits, "pattern", "left").select("pattern", F.coalesce("cut", F.shiftleft("slice", 39) - 1).alias("cut"), (F.col("missing") - F.coalesce("inside", F.lit(0))).alias("missing"))
+    equal = level.groupBy("pattern", "missing", "draw").agg(F.sum("size").alias("words"), F.max("size").alias("size"))
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("pattern").orderBy("draw").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = equal.withColumn("missing", F.col("missing") - before).where("missing >= 0 AND missing < words")
+    of_edge = F.expr("missing div size")
+    front = inside.select("pattern", F.col("draw").alias("edge"), of_edge.alias("of_edge"), (F.col("missing") - of_edge * F.col("size")).alias("missing"))
     front = materialise(front.withColumn("flips", F.array().cast("array<long>")))
     for _ in range(FLIPS):
         there = front.withColumnRenamed("pattern", "there")
         others = sized.where("size > 0").join(there, F.col("pattern") == F.col("there")).where("NOT array_contains(flips, draw)")
-        change = F.when(F.col("draw") <= F.col("cut"), -F.col("size")).otherwise(F.col("size"))
+        change = F.when(F.col("draw") < F.col("edge"), -F.col("size")).otherwise(F.col("size"))
         gap = F.abs(F.col("missing") - change)
         best = others.where(gap < F.abs("missing")).groupBy("pattern").agg(F.min(F.struct(gap.alias("gap"), "draw", change.alias("change"))).alias("best"))
         flips = F.when(F.col("best").isNull(), F.col("flips")).otherwise(F.array_append("flips", F.col("best.draw")))
-        front = materialise(front.join(best, "pattern", "left").select("pattern", "cut", (F.col("missing") - F.coalesce("best.change", F.lit(0))).alias("missing"), flips.alias("flips")))
+        front = materialise(front.join(best, "pattern", "left").select("pattern", "edge", "of_edge", (F.col("missing") - F.coalesce("best.change", F.lit(0))).alias("missing"), flips.alias("flips")))
     # A pattern whose wanted words are all of it has no slice that passes them; the plan counts it as one more use.
-    return plan.select("pattern", "uses").join(front.select("pattern", "cut", "flips"), "pattern", "left")
+    return plan.select("pattern", "uses").join(front.drop("missing"), "pattern", "left")
 
 
 def planned_mix(sized: DataFrame, weights: Sequence[float], most: int) -> tuple[dict[str | None, int], dict[str | None, float], DataFrame]:
-    """Sizes and targets of the sources, and the selection of every pattern. The driver gets one row per pattern."""
+    """Sizes and targets of the sources, and the selection of every pattern. The driver gets one row per pattern, and solves the flow."""
     spark = sized.sparkSession
     supply = {tuple(r.pattern): int(r.words or 0) for r in sized.groupBy("pattern").agg(F.sum("size").alias("words")).collect()}
     sizes: dict[str | None, int] = defaultdict(int)
@@ -205,21 +217,45 @@ def planned_mix(sized: DataFrame, weights: Sequence[float], most: int) -> tuple[
     return dict(sizes), goal, small(chosen, len(rows))
 
 
-def repeats() -> Column:
-    again = (F.col("draw") <= F.col("cut")) != F.array_contains("flips", F.col("draw"))
-    return F.col("uses") + F.when(F.coalesce(again, F.lit(False)), 1).otherwise(0)
+def with_copies(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``copy``: 1, 2, ... among the rows of a (pattern, draw), in the order of a hash of ``row``.
+
+    Rows are written with the task they come from, and numbers are sums of counts before plus a place within (hash,
+    task), so no task holds all rows of one draw. Rows of equal hashes are alike, and any order of them will do.
+    """
+    mark = F.xxhash64(F.to_json(F.struct("row")))
+    kept = materialise(rows.withColumn("mark", mark).withColumn("task", F.spark_partition_id()))
+    key = ["pattern", "draw"]
+    before = lambda n, by, order: F.coalesce(F.sum(n).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marks = kept.groupBy(*key, "mark", "task").agg(F.count("*").alias("n")).withColumn("bucket", F.shiftrightunsigned("mark", 52))
+    buckets = marks.groupBy(*key, "bucket").agg(F.sum("n").alias("n")).withColumn("ahead", before("n", key, ["bucket"])).drop("n")
+    starts = marks.withColumn("within", before("n", [*key, "bucket"], ["mark", "task"])).join(buckets, [*key, "bucket"])
+    starts = starts.select(*key, "mark", "task", (F.col("ahead") + F.col("within")).alias("first"))
+    place = F.row_number().over(Window.partitionBy(*key, "mark", "task").orderBy(F.lit(0)))
+    return kept.withColumn("place", place).join(starts, [*key, "mark", "task"]).withColumn("copy", F.col("first") + F.col("place")).drop("mark", "task", "place", "first")
+
+
+def with_times(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``rows`` (pattern, draw, row and more) with ``times``: how often the mix uses each."""
+    placed = rows.join(chosen, "pattern")
+    draw, edge, flipped = F.col("draw"), F.col("edge"), F.coalesce(F.array_contains("flips", F.col("draw")), F.lit(False))
+    split = F.coalesce(draw == edge, F.lit(False)) | flipped
+    whole = placed.where(~split).withColumn("times", F.col("uses") + F.coalesce(draw < edge, F.lit(False)).cast("int"))
+    again = F.when(draw == edge, F.col("copy") <= F.col("of_edge") + flipped.cast("int")).when(draw < edge, F.col("copy") > 1).otherwise(F.col("copy") <= 1)
+    some = with_copies(placed.where(split)).withColumn("times", F.col("uses") + again.cast("int"))
+    return whole.unionByName(some.drop("copy"))
 
 
 def mix_documents(docs: DataFrame, members: Column, weights: Sequence[float] = (1, 2, 3), most: int = 3, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` as the mix takes them: each row as often as it is used, with all its columns; unused rows are gone.
 
     ``members`` is an array of the sources a document belongs to; null is a source like any other, and a document
-    without any is never taken. Documents of equal id and text share a draw and go together. Size is the
-    number of words, so empty and null texts are taken with their pattern's full uses alone.
+    without any is never taken. Documents of equal id and text share a draw and are counted, so some of them can be
+    taken. Size is the number of words; empty and null texts are taken as their draws have it, like others.
     """
     sized = materialise(measured(docs, members, doc_id, text, seed))
     _, _, chosen = planned_mix(sized, weights, most)
-    taken = measured(docs, members, doc_id, text, seed, packed(docs)).join(chosen, "pattern").withColumn("times", repeats()).where("times > 0")
+    taken = with_times(measured(docs, members, doc_id, text, seed, packed(docs)).drop("size"), chosen).where("times > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
 
 
@@ -229,5 +265,5 @@ def mixed_sizes(docs: DataFrame, source: str = "source", weights: Sequence[float
     sized = materialise(measured(docs, membership(source), doc_id, text, seed, F.col(doc_id)))
     sizes, goal, chosen = planned_mix(sized, weights, most)
     facts = spark.createDataFrame([([s], sizes[s], float(goal[s])) for s in sizes], "pattern array<string>, source_size long, target double")
-    placed = sized.join(small(chosen.join(facts, "pattern"), len(sizes)), "pattern")
-    return placed.select(F.col("row").alias("doc_id"), "size", "source_size", "target", (repeats() * F.col("size")).alias("taken"))
+    placed = with_times(sized, small(chosen.join(facts, "pattern"), len(sizes)))
+    return placed.select(F.col("row").alias("doc_id"), "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
