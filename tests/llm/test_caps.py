@@ -5,7 +5,8 @@ import math
 import numpy as np
 from pyspark.sql import types as T
 
-from vectile.llm.caps import decode, near_vectors, product_code
+from vectile.llm import caps
+from vectile.llm.caps import code_for, decode, near_vectors, product_code
 
 VECTORS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("label", T.IntegerType()), T.StructField("cls", T.StringType())])
 
@@ -97,3 +98,44 @@ def _lists(row, name, n):
 
 def test_empty_table(spark):
     assert near_vectors(spark.createDataFrame([], VECTORS)).collect() == []
+
+
+def unit(rows):
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+def test_levels_keep_recall_and_bound_what_meets():
+    draw = np.random.default_rng(6)
+    x = unit(draw.standard_normal((400, 64)))
+    side = draw.standard_normal((400, 64))
+    y = 0.93 * x + math.sqrt(1 - 0.93**2) * unit(side - (side * x).sum(axis=1, keepdims=True) * x)
+    shares = []
+    for level in (0, 1, 2, 4):
+        code, cap = code_for(64, level, 2, 1024, 4.0, 42)
+        filters = math.prod(len(rows) for _, rows in code)
+        assert filters >= 4**level * 1024**2
+        of = lambda v: [set(g) for g in _names(*decode(v, code, cap, 32), len(v))]
+        one, two = of(x), of(y)
+        assert np.mean([bool(a & b) for a, b in zip(one, two)]) >= 0.9, level
+        # The largest label of a level has four times the vectors of the one below: each filter takes as many of them.
+        shares.append(np.mean([len(a) for a in one]) / filters * 4**level)
+    assert max(shares) <= 3 * shares[0]
+
+
+def _names(row, name, n):
+    return [name[row == i].tolist() for i in range(n)]
+
+
+def test_large_labels_take_more_filters(spark, monkeypatch):
+    monkeypatch.setattr(caps, "CROWD", 40)
+    rows = vectors()
+    assert result(near_vectors(spark.createDataFrame(rows, VECTORS))) == brute(rows)
+
+
+def test_long_labels_and_double_components(spark):
+    turn = math.acos(0.93)
+    flat = [[1.0] + [0.0] * 7, [math.cos(turn - 1e-9), math.sin(turn - 1e-9)] + [0.0] * 6, [math.cos(turn + 1e-9), -math.sin(turn + 1e-9)] + [0.0] * 6]
+    rows = [(i, v, 2**40 + 1) for i, v in enumerate(flat)] + [(9, flat[0], 2**40 + 1 + 2**32)]
+    shape = "vec_id long, embedding array<double>, label long"
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, shape)).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (0, 2), 9: (0, 9)}

@@ -1,5 +1,6 @@
 """Codes, n-gram counts and held-out accuracy of language identification."""
 
+import math
 import zlib
 
 import numpy as np
@@ -28,6 +29,44 @@ def test_blocks_do_not_change_counts(monkeypatch):
     assert parts.sum() >= whole.sum() and np.abs(parts - whole).sum() <= 9 * (len(text) // 1000)
 
 
+def plain_grams(text):
+    """The 1-, 2- and 3-grams of a text one by one, as the buckets they fall into."""
+    chars, counts = [c if c.isalpha() else " " for c in text.lower()], np.zeros(langid.BUCKETS, np.int64)
+    factors = [[1], [0x27D4EB2F, 0x165667B1], [0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D]]
+    for n, own in enumerate(factors, 1):
+        for i in range(len(chars) - n + 1):
+            gram = chars[i : i + n]
+            if gram[0] == " " and gram[-1] == " ":
+                continue
+            mixed = (sum(ord(c) * f for c, f in zip(gram, own)) + n - 1) * 0x9E3779B97F4A7C15 % 2**64
+            counts[mixed >> 49] += 1
+    return counts
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000, 1 << 20])
+def test_counts_equal_plain_counts_at_every_block_size(monkeypatch, size):
+    monkeypatch.setattr(langid, "BLOCK_CHARS", size)
+    for text in ("Größe – déjà vu, 日本 x1y! " * 20, "a", "ab", " ab  c", "", "ΟΔΟΣ ΟΔΟΣ"):
+        assert (gram_counts(text) == plain_grams(text)).all()
+
+
+def test_decoding_equals_a_plain_search_of_the_codewords():
+    draw = np.random.default_rng(7)
+    for classes in (2, 3, 5, 9):
+        code = codewords(classes)
+        model = langid.LanguageModel([f"l{i}" for i in range(classes)], code, draw.standard_normal((langid.BUCKETS, code.shape[1])))
+        for text in ("the cat sat", "été", "x", "日本 go 12"):
+            counts = plain_grams(text)
+            losses = []
+            for word in code:
+                margins = [sum(int(counts[b]) * model.weights[b, k] for b in np.flatnonzero(counts)) / counts.sum() for k in range(code.shape[1])]
+                losses.append(sum(math.log1p(math.exp(-4 * bit * m)) for bit, m in zip(word, margins)))
+            order = sorted(range(classes), key=lambda i: losses[i])
+            name, score, close = model.decode(text, 1.0)
+            assert name == f"l{order[0]}" and score == pytest.approx(1 / sum(math.exp(losses[order[0]] - x) for x in losses))
+            assert close == (losses[order[1]] - losses[order[0]] < 1.0)
+
+
 def test_held_out_accuracy(spark, sf):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = predict_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()

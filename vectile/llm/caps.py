@@ -16,9 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vectile.llm.components import components
-from vectile.session import materialise
+from vectile.session import materialise, ship_by_value
+
+CROWD = 1 << 16
+STEP_SUMS = 1 << 21
+MOST_WORDS = 4096
+BROADCAST_ROWS = 1_000_000
 
 
 def product_code(dims: int, parts: int, words: int, seed: int) -> list[tuple[slice, np.ndarray]]:
@@ -34,6 +40,32 @@ def product_code(dims: int, parts: int, words: int, seed: int) -> list[tuple[sli
     return code
 
 
+def cap_share(dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products from 0 to 1, and the share of the sphere's directions that reach each with a given unit vector."""
+    t = np.linspace(0, 1, 100_001)
+    density = (1 - t * t) ** ((dims - 3) / 2) if dims > 3 else np.ones_like(t)
+    tail = density[::-1].cumsum()[::-1]
+    return t, tail / (2 * tail[0])
+
+
+def code_for(dims: int, level: int, parts: int, words: int, deviations: float, seed: int) -> tuple[list[tuple[slice, np.ndarray]], float]:
+    """The code and the cap of labels of a level: each has four times the filters of the one below and takes a fourth of their share.
+
+    A vector so passes about as many filters at every level, while the vectors of one filter stay as many.
+    More words than ``MOST_WORDS`` a part are spread over more parts.
+    """
+    filters, cap = words**parts * 4**level, deviations / np.sqrt(dims)
+    while level and filters ** (1 / parts) > max(MOST_WORDS, words) + 0.5:
+        parts += 1
+    if level:
+        words = int(np.ceil(filters ** (1 / parts) - 1e-6))
+        t, share = cap_share(dims)
+        at = np.searchsorted(t, cap)
+        if at < len(t):
+            cap = float(t[len(t) - np.searchsorted(share[::-1], share[at] / 4**level, "right")])
+    return product_code(dims, parts, words, seed), cap
+
+
 def decode(vectors: np.ndarray, code: list[tuple[slice, np.ndarray]], cap: float, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, filter) of all filters whose inner product with a unit vector is at least ``cap``.
 
@@ -46,9 +78,14 @@ def decode(vectors: np.ndarray, code: list[tuple[slice, np.ndarray]], cap: float
     while len(todo):
         row, name, total = todo, np.zeros(len(todo), np.int64), np.zeros(len(todo))
         for s, left in zip(sums, rest):
-            reach = total[:, None] + s[row]
-            i, j = np.nonzero(reach >= (caps[row] - left[row])[:, None])
-            row, name, total = row[i], name[i] * s.shape[1] + j, reach[i, j]
+            wanted, more = caps[row] - left[row], []
+            step = max(1, STEP_SUMS // s.shape[1])
+            for at in range(0, max(len(row), 1), step):
+                cut = slice(at, at + step)
+                reach = total[cut, None] + s[row[cut]]
+                i, j = np.nonzero(reach >= wanted[cut, None])
+                more.append((row[cut][i], name[cut][i] * s.shape[1] + j, reach[i, j]))
+            row, name, total = (np.concatenate(c) for c in zip(*more))
         enough = np.bincount(row, minlength=len(vectors)) >= least
         done = enough[todo] | (caps[todo] <= -top[todo])
         take = np.isin(row, todo[done])
@@ -59,26 +96,28 @@ def decode(vectors: np.ndarray, code: list[tuple[slice, np.ndarray]], cap: float
 
 
 def with_filters(vectors: DataFrame, parts: int, words: int, deviations: float, least: int, seed: int) -> DataFrame:
-    """(label, dims, cls, filters): the sorted filters of every vector of ``vectors`` (label, dims, cls, embedding)."""
+    """(label, dims, cls, filters): the sorted filters of every vector of ``vectors`` (label, dims, level, cls, embedding)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[int, list] = {}
+        codes: dict[tuple[int, int], tuple] = {}
         for batch in batches:
             df = batch.to_pandas()
-            for dims, own in df.groupby("dims"):
-                code = codes.setdefault(dims, product_code(dims, parts, words, seed))
+            for (dims, level), own in df.groupby(["dims", "level"]):
+                if (dims, level) not in codes:
+                    codes[dims, level] = code_for(dims, level, parts, words, deviations, seed)
+                code, cap = codes[dims, level]
                 for at in range(0, len(own), 256):
                     some = own.iloc[at : at + 256]
                     x = np.stack(some.embedding.to_numpy()).astype(np.float64)
                     x /= np.abs(x).max(axis=1, keepdims=True)
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    row, name = decode(x, code, deviations / np.sqrt(dims), least)
+                    row, name = decode(x, code, cap, least)
                     order = np.lexsort((name, row))
                     ends = np.searchsorted(row[order], np.arange(len(some) + 1))
                     lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(name[order]))
-                    yield pa.RecordBatch.from_arrays([pa.array(some.label, pa.int32()), pa.array(some.dims, pa.int32()), pa.array(some.cls, pa.int64()), lists], names=["label", "dims", "cls", "filters"])
+                    yield pa.RecordBatch.from_arrays([pa.array(some.label, pa.int64()), pa.array(some.dims, pa.int32()), pa.array(some.cls, pa.int64()), lists], names=["label", "dims", "cls", "filters"])
 
-    return vectors.select("label", "dims", "cls", "embedding").mapInArrow(run, "label int, dims int, cls long, filters array<long>")
+    return vectors.select("label", "dims", "level", "cls", "embedding").mapInArrow(run, "label long, dims int, cls long, filters array<long>")
 
 
 def linked_block(cls: np.ndarray, copies: np.ndarray, block: np.ndarray, vectors: np.ndarray, below: list[np.ndarray], within: bool, threshold: float):
@@ -159,6 +198,17 @@ def compared_blocks(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select(*columns).repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(run, "cls long, links long, root long")
 
 
+def with_levels(classes: DataFrame) -> DataFrame:
+    """``classes`` with ``level``: by how many powers of four a label has more vectors of a length than ``CROWD``.
+
+    Only labels above that are joined, at most one for ``CROWD`` vectors; they are broadcast if counted to be few.
+    """
+    level = F.ceil(F.log2(F.col("n") / CROWD) / 2).cast("int")
+    large = materialise(classes.groupBy("label", "dims").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("label", "dims", level.alias("level")))
+    joined = classes.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, ["label", "dims"], "left")
+    return joined.withColumn("level", F.coalesce("level", F.lit(0)))
+
+
 def near_vectors(
     vectors: DataFrame,
     threshold: float = 0.93,
@@ -174,27 +224,30 @@ def near_vectors(
 ) -> DataFrame:
     """One row per vector: (vec_id, n_links, component_id, kept).
 
-    Vectors link when labels are equal and not null, lengths are equal and the cosine in double precision is at least
-    ``threshold``. Null, empty and zero vectors and those with null, NaN or infinite components link with
+    Vectors link when labels (whole numbers up to 64 bits) are equal and not null, lengths are equal and the cosine in
+    double precision is at least ``threshold``; components that come as doubles stay doubles. Null, empty and zero vectors and those with null, NaN or infinite components link with
     nothing: no links, their own id as component. Equal vectors of a label are compared once and counted as often as
     they occur. Repeated ids keep their rows; a null id names a component only where no other does, and a
     vector with a null id is not kept. An empty table gives no rows.
 
     A cap of ``deviations`` standard deviations of a random inner product takes about 2e-5 of the filters, and every
-    vector takes at least ``least`` (measured recall at the threshold: 1.0 of 3,000 pairs). A link is missed only if no common filter takes both ends.
+    vector takes at least ``least``. A label of more than ``CROWD`` different vectors gets more filters and smaller caps, by
+    its counted vectors, so that the vectors of a filter do not grow with the label. A link is missed only if no
+    common filter takes both ends; tests measure the recall at the threshold for several levels.
     Only filters with several different vectors are joined back with the vectors; a filter's vectors are compared
     in pairs of blocks, so no task holds more than two blocks however many vectors meet.
     """
-    typed = vectors.select(F.col(vec_id).alias("vec_id"), F.col(label).cast("int").alias("label"), F.transform(F.col(embedding).cast("array<float>"), lambda x: x + F.lit(0).cast("float")).alias("embedding"))
+    kind = "double" if vectors.select(F.col(embedding)).schema[0].dataType == T.ArrayType(T.DoubleType()) else "float"
+    typed = vectors.select(F.col(vec_id).alias("vec_id"), F.col(label).cast("long").alias("label"), F.transform(F.col(embedding).cast(f"array<{kind}>"), lambda x: x + F.lit(0).cast(kind)).alias("embedding"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     usable = F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0)
     rows = materialise(typed.select("vec_id", "label", F.when(usable, F.col("embedding")).alias("embedding"), F.when(usable, F.xxhash64("embedding")).alias("digest")))
-    # The digest shortens the key; the vector itself stays part of it.
+    # The digest shortens the key; the vector itself stays part of it. Classes are numbered, and the numbers are written.
     shape = ["label", "digest", "embedding"]
     classes = materialise(
-        rows.where("embedding IS NOT NULL").groupBy(*shape).agg(F.count("*").alias("copies"), F.min("vec_id").alias("low")).withColumn("cls", F.xxhash64("label", "embedding")).withColumn("dims", F.size("embedding"))
+        rows.where("embedding IS NOT NULL").groupBy(*shape).agg(F.count("*").alias("copies"), F.min("vec_id").alias("low")).withColumn("cls", F.monotonically_increasing_id()).withColumn("dims", F.size("embedding"))
     )
-    filters = materialise(with_filters(classes, parts, words, deviations, least, seed))
+    filters = materialise(with_filters(with_levels(classes), parts, words, deviations, least, seed))
     member = filters.select("label", "dims", "cls", F.explode("filters").alias("filter"))
     crowded = member.groupBy("label", "dims", "filter").agg(F.count("*").alias("members")).where("members > 1").withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
     met = member.join(crowded, ["label", "dims", "filter"]).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(seed)), "blocks").cast("int"))
@@ -211,3 +264,6 @@ def near_vectors(
     apart = rows.where("embedding IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     joined = rows.where("embedding IS NOT NULL").join(known, shape).select("vec_id", "n_links", "component_id").union(apart)
     return joined.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+ship_by_value(__name__)

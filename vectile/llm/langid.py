@@ -39,17 +39,20 @@ def _is_letter() -> np.ndarray:
 
 def gram_counts(text: str) -> np.ndarray:
     """Counts per bucket of the 1-, 2- and 3-grams of a whole text; what is no letter counts as one blank."""
-    counts = np.zeros(BUCKETS, np.int64)
+    counts, text = np.zeros(BUCKETS, np.int64), text.lower()
     for at in range(0, len(text), BLOCK_CHARS):
-        # Two characters of overlap keep the n-grams across the border.
-        part = text[max(0, at - 2) : at + BLOCK_CHARS].lower()
+        # A block counts the n-grams that end in it; two characters before it complete those at its border.
+        seen = min(at, 2)
+        part = text[at - seen : at + BLOCK_CHARS]
         code = np.frombuffer(part.encode("utf-32-le"), "<u4")
         letter = _is_letter()[code]
         code = np.where(letter, code, 32).astype(np.uint64)
         blank = ~letter
         three = code[:-2] * np.uint64(0x9E3779B1) + code[1:-1] * np.uint64(0x85EBCA77) + code[2:] * np.uint64(0xC2B2AE3D) if len(code) > 2 else code[:0]
         two = code[:-1] * np.uint64(0x27D4EB2F) + code[1:] * np.uint64(0x165667B1)
-        grams = [code[~blank], two[~(blank[:-1] & blank[1:])], three[~(blank[:-2] & blank[2:])]] if len(code) > 1 else [code[~blank]]
+        first = [seen, max(seen - 1, 0), 0]
+        useful = [~blank, ~(blank[:-1] & blank[1:]), ~(blank[:-2] & blank[2:])]
+        grams = [own[a:][keep[a:]] for own, keep, a in zip((code, two, three), useful, first)]
         for salt, own in enumerate(grams):
             mixed = (own + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
             counts += np.bincount((mixed >> np.uint64(49)).astype(np.int64), minlength=BUCKETS)
@@ -143,7 +146,9 @@ def fit_languages(docs: DataFrame, most: int = 4000, lang: str = "lang", text: s
 def identify_languages(docs: DataFrame, model: LanguageModel, gap: float = 1.0, text: str = "text") -> DataFrame:
     """``docs`` as column ``row`` with (lang_pred, score, ambiguous) from whole texts alone.
 
-    A null text or one without a letter is ``und`` with score 0, as is every text if no language was learned.
+    A null text or one without a letter is ``und`` with score 0, as is every text if no language was learned. Texts
+    of any length are counted whole, repeated rows get equal answers, other columns are only carried in ``row``,
+    and an empty table gives no rows.
     The score is the share of the chosen codeword among all, and ``ambiguous`` tells that the runner-up's loss is within
     ``gap`` of the best. Ties go to the first language by name.
     """
