@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import types as T
 
 from vectile.llm import caps
-from vectile.llm.caps import code_for, decode, near_vectors, product_code
+from vectile.llm.caps import code_for, decode, near_vectors, product_code, rotation
 
 VECTORS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("label", T.IntegerType()), T.StructField("cls", T.StringType())])
 
@@ -139,3 +139,19 @@ def test_long_labels_and_double_components(spark):
     shape = "vec_id long, embedding array<double>, label long"
     got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, shape)).collect()}
     assert got == {0: (1, 0), 1: (1, 0), 2: (0, 2), 9: (0, 9)}
+
+
+def test_recall_with_few_dimensions_and_sparse_vectors():
+    draw = np.random.default_rng(8)
+    for dims in (3, 8, 16, 24, 64):
+        for filled in {2, dims}:
+            x = np.zeros((300, dims))
+            x[:, :filled] = draw.standard_normal((300, filled))
+            x = unit(x)
+            side = np.zeros((300, dims))
+            side[:, :filled] = draw.standard_normal((300, filled))
+            side -= (side * x).sum(axis=1, keepdims=True) * x
+            y = 0.93 * x + math.sqrt(1 - 0.93**2) * unit(side)
+            code, cap = code_for(dims, 0, 2, 1024, 4.0, 42)
+            of = lambda v: [set(g) for g in _names(*decode(v @ rotation(dims, 42), code, cap, 32), len(v))]
+            assert np.mean([bool(a & b) for a, b in zip(of(x), of(y))]) >= 0.9, (dims, filled)

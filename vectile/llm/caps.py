@@ -40,6 +40,11 @@ def product_code(dims: int, parts: int, words: int, seed: int) -> list[tuple[sli
     return code
 
 
+def rotation(dims: int, seed: int) -> np.ndarray:
+    """A random rotation, without which vectors that lie mostly in one part would be far from all filters."""
+    return np.linalg.qr(np.random.Generator(np.random.PCG64([seed, dims])).standard_normal((dims, dims)))[0]
+
+
 def cap_share(dims: int) -> tuple[np.ndarray, np.ndarray]:
     """Inner products from 0 to 1, and the share of the sphere's directions that reach each with a given unit vector."""
     t = np.linspace(0, 1, 100_001)
@@ -48,13 +53,14 @@ def cap_share(dims: int) -> tuple[np.ndarray, np.ndarray]:
     return t, tail / (2 * tail[0])
 
 
-def code_for(dims: int, level: int, parts: int, words: int, deviations: float, seed: int) -> tuple[list[tuple[slice, np.ndarray]], float]:
+def code_for(dims: int, level: int, parts: int, words: int, deviations: float, seed: int, threshold: float = 0.93) -> tuple[list[tuple[slice, np.ndarray]], float]:
     """The code and the cap of labels of a level: each has four times the filters of the one below and takes a fourth of their share.
 
     A vector so passes about as many filters at every level, while the vectors of one filter stay as many.
-    More words than ``MOST_WORDS`` a part are spread over more parts.
+    More words than ``MOST_WORDS`` a part are spread over more parts. With few dimensions the cap has to stay clearly below the
+    inner product that the middle of two vectors at the threshold has with both.
     """
-    filters, cap = words**parts * 4**level, deviations / np.sqrt(dims)
+    filters, cap = words**parts * 4**level, min(deviations / np.sqrt(dims), 0.87 * np.sqrt((1 + threshold) / 2))
     while level and filters ** (1 / parts) > max(MOST_WORDS, words) + 0.5:
         parts += 1
     if level:
@@ -95,7 +101,7 @@ def decode(vectors: np.ndarray, code: list[tuple[slice, np.ndarray]], cap: float
     return np.concatenate([r for r, _ in found]), np.concatenate([n for _, n in found])
 
 
-def with_filters(vectors: DataFrame, parts: int, words: int, deviations: float, least: int, seed: int) -> DataFrame:
+def with_filters(vectors: DataFrame, parts: int, words: int, deviations: float, least: int, seed: int, threshold: float) -> DataFrame:
     """(label, dims, cls, filters): the sorted filters of every vector of ``vectors`` (label, dims, level, cls, embedding)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,13 +110,13 @@ def with_filters(vectors: DataFrame, parts: int, words: int, deviations: float,
             df = batch.to_pandas()
             for (dims, level), own in df.groupby(["dims", "level"]):
                 if (dims, level) not in codes:
-                    codes[dims, level] = code_for(dims, level, parts, words, deviations, seed)
-                code, cap = codes[dims, level]
+                    codes[dims, level] = (*code_for(dims, level, parts, words, deviations, seed, threshold), rotation(dims, seed))
+                code, cap, turn = codes[dims, level]
                 for at in range(0, len(own), 256):
                     some = own.iloc[at : at + 256]
                     x = np.stack(some.embedding.to_numpy()).astype(np.float64)
                     x /= np.abs(x).max(axis=1, keepdims=True)
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    x = x / np.linalg.norm(x, axis=1, keepdims=True) @ turn
                     row, name = decode(x, code, cap, least)
                     order = np.lexsort((name, row))
                     ends = np.searchsorted(row[order], np.arange(len(some) + 1))
@@ -247,7 +253,7 @@ def near_vectors(
     classes = materialise(
         rows.where("embedding IS NOT NULL").groupBy(*shape).agg(F.count("*").alias("copies"), F.min("vec_id").alias("low")).withColumn("cls", F.monotonically_increasing_id()).withColumn("dims", F.size("embedding"))
     )
-    filters = materialise(with_filters(with_levels(classes), parts, words, deviations, least, seed))
+    filters = materialise(with_filters(with_levels(classes), parts, words, deviations, least, seed, threshold))
     member = filters.select("label", "dims", "cls", F.explode("filters").alias("filter"))
     crowded = member.groupBy("label", "dims", "filter").agg(F.count("*").alias("members")).where("members > 1").withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
     met = member.join(crowded, ["label", "dims", "filter"]).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(seed)), "blocks").cast("int"))
