@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectile.llm.pii import FEATURES, KINDS, SpanModel, Tree, boost, find_personal_data, fit_spans, redact
+from vectile.llm.pii import FEATURES, KINDS, SpanModel, Tree, boost, find_personal_data, fit_spans, redact, threshold
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("base", T.StringType()), T.StructField("row", T.StringType())])
 PLAIN = {
@@ -142,3 +142,40 @@ def test_rare_kinds_count_in_a_large_table(spark):
     rest = spark.range(60, 60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("nothing here "), "id").alias("text"), F.lit("").alias("base"), F.lit("").alias("row"))
     model = fit_spans(rare.unionByName(rest), support=20)
     assert model.thresholds[KINDS.index("ip")] < float("inf")
+
+
+def harmless(n):
+    """Numbers that are no personal data, beside words or in layouts that telephone numbers have too."""
+    draw = random.Random(17)
+    for i in range(n):
+        yield f"mobile sales reached {draw.randint(10**7, 10**8 - 1)} units"
+        yield f"they call the recall of lot {draw.randint(10**11, 10**12 - 1)}"
+        yield f"version 1 ({draw.randint(200, 999)}) 555-{draw.randint(0, 9999):04} of the part list"
+        yield f"it ran from 12:{i % 60:02}:45:{draw.randint(0, 99):02} and on"
+        yield f"they look at noon{i} dot the end and then"
+
+
+def test_harmless_numbers_stay(spark):
+    draw = random.Random(23)
+    number = lambda: f"({draw.randint(200, 999)}) 555-{draw.randint(0, 9999):04}"
+    for bare in (0, 40):  # percent of the real numbers without a plus
+        real = [f"ring my phone {'' if draw.randint(0, 99) < bare else '+'}1 {number()} after nine" for _ in range(300)]
+        plain_texts = list(harmless(300))
+        df = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(real + plain_texts)], DOCS).repartition(4)
+        found = {r.doc_id: r for r in find_personal_data(df).collect()}
+        assert not any(found[i].spans for i in range(300, 300 + len(plain_texts)))
+        assert sum(bool(found[i].spans) for i in range(300)) >= 0.95 * 300, bare
+
+
+def test_threshold_against_counts():
+    level = lambda yes, n, new: (yes, n, 0, new)
+    # Every second true number shows its plus, at both margins: both are right. The third margin has none.
+    assert threshold({2.0: level(50, 100, 50), 1.0: level(40, 80, 40), 0.0: level(0, 500, 500)}, 0.95, 20, 0.3) == 1.0
+    # Where nearly all true numbers show it, a margin where half do is half right.
+    assert threshold({2.0: level(1000, 1000, 0), 1.0: level(100, 200, 100)}, 0.95, 20, 0.3) == 2.0
+    # Evidence that few candidates have says nothing; neither do too few candidates, nor none.
+    assert threshold({2.0: level(10, 1000, 990)}, 0.95, 20, 0.3) == float("inf")
+    assert threshold({2.0: level(19, 19, 0)}, 0.95, 20, 0.3) == threshold({}, 0.95, 20, 0.3) == threshold({}, 0.95, 20) == float("inf")
+    # Whole evidence counts itself, and those that would be added count alone as well.
+    assert threshold({2.0: (96, 100, 96, 100), 1.0: (900, 900, 0, 0), 0.0: (10, 20, 5, 10)}, 0.95, 20) == 1.0
+    assert threshold({2.0: (990, 1000, 1, 5)}, 0.95, 20) == float("inf")

@@ -2,8 +2,9 @@
 
 Fixed patterns give the base spans. Wider generators propose further spans, which may overlap them: obfuscated mail addresses,
 IPv6-like groups, long digit runs, telephone numbers without a plus. Boosted trees over format and context score the
-candidates, and a threshold calibrated for each kind selects those to redact as well. They learn from checks of format and
-context, not from the base spans, so that what the base patterns miss can be right.
+candidates, and a threshold calibrated for each kind selects those to redact as well. They learn from evidence that is no
+feature: an address that parses, eight groups, a check sum, a plus. The plus only shows some telephone numbers, so
+for them the share of true candidates is estimated from the share that has it.
 """
 
 from __future__ import annotations
@@ -35,14 +36,16 @@ GENERATORS = (
     r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])",
     r"(?<![0-9])(?<![0-9][ -.])\(?[0-9](?:[ ().-]{0,2}[0-9]){6,14}+(?![ .-]?[0-9])",
 )
-CONTEXT = ("mail|contact|write to", r"\bip\b|host|server|addr", "card|visa|credit|debit", "phone|tel|call|fax|mobile|dial")
+CONTEXT = (r"\b(?:e?-?mail|contact|write to)", r"\b(?:ip\b|host|server|addr)", r"\b(?:card|visa|credit|debit)", r"\b(?:(?:tele)?phone|tel\b|call|fax|mobile|dial)")
 OCTETS = "^" + r"\.".join(["0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"] * 4) + "$"
-# Syntax of an address whose marks are written out, known issuers of cards with their lengths, layouts of telephone numbers.
-ADDRESS = r"^[a-z0-9](?:[a-z0-9_%+-]|\.(?=[a-z0-9_%+-]))*@(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,24}$"
+# Syntax of an address (its last part is a country's two letters or a general name), known issuers of cards with their
+# lengths, layouts of telephone numbers.
+ADDRESS = r"^[a-z0-9](?:[a-z0-9_%+-]|\.(?=[a-z0-9_%+-]))*@(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+(?:[a-z]{2}|com|org|net|edu|gov|mil|int|info|biz|name|pro|app|dev|online|site|shop)$"
 ISSUERS = r"^(?:4[0-9]{12}|4[0-9]{15}|4[0-9]{18}|3[47][0-9]{13}|3(?:0[0-5]|[68][0-9])[0-9]{11}|5[1-5][0-9]{14}|2[2-7][0-9]{14}|35[0-9]{14}|6[0-9]{15,18})$"
 LAYOUTS = (r"^(?:[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\) ?[0-9]{3,4}[ .-]?[0-9]{3,4}$", r"^(?:[0-9]{1,3}[ .-])?[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}$")
 NEAR = 24
 FEATURES = ("kind", "digits", "breaks", "letters", "context", "before", "after", "form")
+EMAIL, IP, CARD, PHONE = range(len(KINDS))
 
 
 def _digits(match: Column) -> Column:
@@ -106,22 +109,22 @@ def written_form(kind: int, match: Column) -> Column:
     return F.when(match.rlike(LAYOUTS[0]), 2).when(match.rlike(LAYOUTS[1]), 1).otherwise(0) if kind == 3 else F.lit(0)
 
 
-def is_sound(kind: int, m: Column, named: Column) -> Column:
-    """The label of a candidate, whatever the base patterns say: valid syntax, check sum or layout, or a word that names the kind.
+def is_sound(kind: int, m: Column) -> Column:
+    """The evidence of a candidate, none of which the trees see.
 
-    The check sum and the plus of a telephone number are no features.
+    An address parses once its marks are written out, eight groups make an IPv6 address (their colons are no feature), the
+    digits of a card pass the check sum, and 8 to 15 digits after a plus are a telephone number. A telephone number
+    without a plus has no evidence, which does not make it another number; ``fit_spans`` allows for that.
     """
     match, digits = m["match"], _digits(m["match"])
-    alone = ~F.right(m["before"], F.lit(1)).rlike("[a-z0-9]") & ~F.lower(m["after"]).rlike("[a-z0-9]")
-    if kind == 0:
+    if kind == EMAIL:
         plain = F.regexp_replace(F.regexp_replace(match, r" ?[(\[]at[)\]] ?| at | ?@ ?", "@"), r" ?[(\[]dot[)\]] ?| dot | ?\. ?", ".")
-        return F.lower(plain).rlike(ADDRESS) & ((written_form(0, match) > 0) | named)
-    if kind == 1:
+        return F.lower(plain).rlike(ADDRESS)
+    if kind == IP:
         return F.length(match) - F.length(F.translate(match, ":", "")) == 7
-    if kind == 2:
-        return alone & luhn(digits)
-    quad = match.rlike(r"^[0-9]+(?:\.[0-9]+){3}$")
-    return alone & ~quad & F.length(digits).between(8, 15) & (F.endswith(m["before"], F.lit("+")) | named | (written_form(3, match) > 0))
+    if kind == CARD:
+        return luhn(digits)
+    return F.endswith(m["before"], F.lit("+")) & F.length(digits).between(8, 15)
 
 
 def candidates(text: Column) -> Column:
@@ -138,13 +141,13 @@ def candidates(text: Column) -> Column:
                 m["start"].alias("start"),
                 m["end"].alias("end"),
                 F.least(F.length(_digits(m["match"])), F.lit(20)).alias("digits"),
-                F.least(F.length(F.regexp_replace(m["match"], "[A-Za-z0-9]", "")), F.lit(8)).alias("breaks"),
+                (F.lit(0) if kind == IP else F.least(F.length(F.regexp_replace(m["match"], "[A-Za-z0-9]", "")), F.lit(8))).alias("breaks"),
                 m["match"].rlike("[A-Za-z]").cast("int").alias("letters"),
                 F.when(hits[kind], 2).when(others, 1).otherwise(0).alias("context"),
                 edge(last).alias("before"),
                 edge(F.lower(m["after"])).alias("after"),
                 written_form(kind, m["match"]).alias("form"),
-                is_sound(kind, m, hits[kind]).alias("sound"),
+                is_sound(kind, m).alias("sound"),
             )
 
         return one
@@ -229,13 +232,37 @@ def settled(c: Column) -> Column:
     return (c["kind"] == 2) & (c["digits"] >= 16)
 
 
-def fit_spans(docs: DataFrame, precision: float = 0.95, support: int = 20, text: str = "text", doc_id: str = "doc_id", seed: int = 42) -> SpanModel:
+def threshold(levels: dict[float, tuple[int, int, int, int]], precision: float, support: int, least_share: float | None = None) -> float:
+    """The lowest margin from which enough candidates are right; infinite without one.
+
+    ``levels`` has for each margin the number with evidence, of all, and both among those no base span overlaps. With
+    ``least_share`` evidence only shows a share of the right ones (learning from positive and unlabelled examples, Elkan
+    and Noto 2008): the share is the mean rate of evidence among those that have it, and a margin's rate divided by
+    it is the part that is right. Below ``least_share`` evidence says too little, and nothing is added.
+    """
+    sure = sum(yes for yes, *_ in levels.values())
+    share = 1.0 if least_share is None else sum(yes * yes / n for yes, n, *_ in levels.values()) / max(sure, 1)
+    bar, total, right, new, new_right = math.inf, 0, 0.0, 0, 0.0
+    if share < (least_share or 0.0):
+        return bar
+    for margin in sorted(levels, reverse=True):
+        yes, n, new_yes, new_n = levels[margin]
+        part = min(1.0, yes / n / share) if share else 0.0
+        total, right = total + n, right + n * part
+        new, new_right = new + new_n, new_right + (new_yes if least_share is None else new_n * part)
+        if total >= support and right >= precision * total and new_right >= precision * new:
+            bar = margin
+    return bar
+
+
+def fit_spans(docs: DataFrame, precision: float = 0.95, support: int = 20, text: str = "text", doc_id: str = "doc_id", seed: int = 42, least_share: float = 0.3) -> SpanModel:
     """Boosted trees and thresholds from the candidates of all documents.
 
     A candidate is positive if ``is_sound`` says so. One half of the documents, by hash, trains the trees; on the other the
     lowest threshold of each kind is taken from which at least ``precision`` of the candidates, at least ``support`` of
-    them, are positive, and likewise of those that no base span overlaps, which are what is added. A kind without one
-    adds no span. The driver gets counts per combination of features, of which there are few.
+    them, are right, and likewise of those that no base span overlaps, which are what is added. A kind without one
+    adds no span. Telephone numbers are right by the estimate of ``threshold``, where at least ``least_share`` of them
+    show a plus. The driver gets counts per combination of features, of which there are few.
     """
     draw = F.xxhash64(F.lit(seed), F.col(doc_id), whole_text(text))
     halved = docs.select(F.pmod(draw, F.lit(2)).alias("fold"), whole_text(text).alias("own_text"))
@@ -250,15 +277,12 @@ def fit_spans(docs: DataFrame, precision: float = 0.95, support: int = 20, text:
     trees = boost({x: (c[0], c[1] - c[0]) for x, c in halves[0].items()})
     thresholds = []
     for kind in range(len(KINDS)):
-        scored = sorted(((sum(t.score(x) for t in trees), *c) for x, c in halves[1].items() if x[0] == kind), reverse=True)
-        bar, seen = math.inf, (0, 0, 0, 0)
-        for i, (score, *c) in enumerate(scored):
-            seen = tuple(a + b for a, b in zip(seen, c))
-            yes, n, new_yes, new_n = seen
-            last_of_score = i + 1 == len(scored) or scored[i + 1][0] < score
-            if last_of_score and n >= support and yes >= precision * n and new_yes >= precision * new_n:
-                bar = score
-        thresholds.append(round(bar, 6) - 1e-6 if bar < math.inf else bar)
+        levels: dict[float, tuple] = {}
+        for x, c in halves[1].items():
+            if x[0] == kind:
+                margin = round(sum(t.score(x) for t in trees), 6)
+                levels[margin] = tuple(a + b for a, b in zip(levels.get(margin, (0,) * 4), c))
+        thresholds.append(threshold(levels, precision, support, least_share if kind == PHONE else None) - 1e-6)
     return SpanModel(trees, tuple(thresholds))
 
 
