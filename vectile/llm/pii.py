@@ -110,7 +110,7 @@ def written_form(kind: int, match: Column) -> Column:
 
 
 def is_sound(kind: int, m: Column) -> Column:
-    """The evidence of a candidate, none of which the trees see.
+    """The evidence of a candidate, which the trees do not see but for the length of a telephone number.
 
     An address parses once its marks are written out, eight groups make an IPv6 address (their colons are no feature), the
     digits of a card pass the check sum, and 8 to 15 digits after a plus are a telephone number. A telephone number
