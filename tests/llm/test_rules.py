@@ -62,6 +62,20 @@ def test_ratio_is_the_mean_log_ratio(spark):
     assert abs(model.threshold - (np.mean(spread) - 4 * np.std(spread))) < 1e-6
 
 
+def test_counts_come_from_every_trusted_document(spark):
+    docs = [(i, f"w{i % 7} all" if i % 4 else f"v{i % 5}", "", "") for i in range(16_000)]
+    df = spark.createDataFrame(docs, DOCS)
+    model = fit_ratio(df, spark.createDataFrame([(i,) for i in range(12_000)], "doc_id long"))
+    words = sorted({w for _, t, _, _ in docs for w in t.split()} | {t for _, t, _, _ in docs})
+    gram = lambda t: F.pmod(F.xxhash64(*[F.lit(w) for w in t.split()]), F.lit(BUCKETS))
+    bucket = spark.range(1).select(*[gram(w).alias(w) for w in words]).first().asDict()
+    count = lambda own: Counter(bucket[g] for _, t, _, _ in own for g in (t.split() if " " not in t else [*t.split(), t]))
+    raw, good = count(docs), count(docs[:12_000])
+    whole, trusted = (sum(c.values()) + BUCKETS for c in (raw, good))
+    expected = [round(math.log((good[b] + 1) / trusted) - math.log((raw[b] + 1) / whole), 6) for b in range(BUCKETS)]
+    assert [round(x, 6) for x in model.ratios] == expected
+
+
 def test_clean_documents_stay_and_junk_goes(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")

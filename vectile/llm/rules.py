@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectile.llm.common import WORD, packed, stratified_bound, whole_text
+from vectile.llm.common import WORD, packed, whole_text
 
 BUCKETS = 10_000
 SYMBOLS = "#*$%&|<>"  # fixed by the contract
@@ -74,18 +74,18 @@ class RatioModel:
         return F.when(F.size(words) > 0, let(grams(words), summed))
 
 
-def fit_ratio(docs: DataFrame, trusted: DataFrame, deviations: float = 4.0, most: int = 10_000, text: str = "text", doc_id: str = "doc_id", smooth: float = 1.0, seed: int = 42) -> RatioModel:
+def fit_ratio(docs: DataFrame, trusted: DataFrame, deviations: float = 4.0, text: str = "text", doc_id: str = "doc_id", smooth: float = 1.0) -> RatioModel:
     """Count the grams of all documents, and of the trusted ones (``trusted`` has their ids).
 
-    The corpus multinomial comes from every document: partial sums leave a task as one row per bucket. The
-    trusted one is fitted to at most about ``most`` trusted documents, chosen by a hash of their id: the documented
-    bound that lets their ids be broadcast, so no text is shuffled. The threshold lies ``deviations`` standard deviations
-    below the mean score of these documents. Without any of them all ratios are 0 and everything is kept.
+    Both multinomials come from every document they are about: partial sums leave a task as one row per bucket. Trusted
+    documents are found by a join that shuffles by id, as their ids may be too many to broadcast. Texts are shuffled
+    once; for the threshold, ``deviations`` standard deviations below the mean score of the trusted, every document is scored in place
+    and only the scores meet the ids. Without any trusted document all ratios are 0 and everything is kept.
     """
-    ids = trusted.select(F.col(doc_id).alias("trusted_id"), F.lit(1).alias("stratum_of")).where("trusted_id IS NOT NULL").distinct()
-    chosen = F.broadcast(stratified_bound(ids, "trusted_id", "stratum_of", most, seed).select("trusted_id"))
+    ids = trusted.select(F.col(doc_id).alias("trusted_id")).where("trusted_id IS NOT NULL").distinct()
     slim = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
-    good = slim.join(chosen, F.col("doc_id") == F.col("trusted_id"), "left_semi")
+    is_trusted = F.col("doc_id") == F.col("trusted_id")
+    good = slim.join(ids.hint("merge"), is_trusted, "left_semi")
     words = words_of(F.col("text"))
     count = lambda df: {r.bucket: r.n for r in df.select(F.explode(let(words, grams)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).collect()}
     target = count(good)
@@ -95,7 +95,8 @@ def fit_ratio(docs: DataFrame, trusted: DataFrame, deviations: float = 4.0, most
     whole, trusted_whole = sum(raw.values()) + smooth * BUCKETS, sum(target.values()) + smooth * BUCKETS
     ratios = tuple(round(math.log((target.get(b, 0) + smooth) / trusted_whole) - math.log((raw.get(b, 0) + smooth) / whole), 9) for b in range(BUCKETS))
     model = RatioModel(ratios, float("-inf"))
-    spread = good.select(let(words, model.score).alias("score")).agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd")).first()
+    scored = slim.select("doc_id", let(words, model.score).alias("score")).join(ids, is_trusted)  # ids are distinct; a semi join would move below the scores
+    spread = scored.agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd")).first()
     return RatioModel(ratios, round(spread["mean"] - deviations * spread["sd"], 9))
 
 
