@@ -1,3 +1,4 @@
+import tracemalloc
 from dataclasses import replace
 
 import numpy as np
@@ -153,6 +154,28 @@ def test_a_seeded_wave_passes_on_few_candidates(spark):
     assert "Exchange" not in plan_of(plain).split("MapInArrow")[0]
 
 
+@pytest.mark.parametrize("filtered", [False, True])
+def test_a_tile_takes_no_more_memory_for_more_queries(filtered):
+    rng = np.random.default_rng(3)
+    rows = rng.random((4096, 8), dtype=np.float32)
+    lists = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.float32()))
+    values = pa.array(rng.integers(0, 1000, (4096, 1)).tolist(), pa.list_(pa.int32()))
+    batch = pa.record_batch([pa.array(np.arange(4096)), lists(rows), values], names=["id", "vector", "values"])
+    literal = pa.list_(pa.list_(pa.struct([("attr", pa.int32()), ("neg", pa.bool_()), ("value", pa.int32())])))
+
+    def peak(n):
+        asked = [[[{"attr": 0, "neg": bool(i % 2), "value": i % 999}]] if filtered else None for i in range(n)]
+        table = pa.table({"qid": np.arange(n), "vector": lists(rng.random((n, 8), dtype=np.float32)), "dnf": pa.array(asked, literal)})
+        block = QueryBlock(table, k=4)
+        tracemalloc.start()
+        block.add(batch)
+        used = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return used
+
+    assert peak(24_000) < peak(6_000) + 18_000 * 500  # candidates only; a byte for each row of the tile would be 4096
+
+
 def test_single_query(spark, sf):
     rows = base(spark, sf)
     catalog = Catalog.from_ranges(ATTRS, SIX_BOXES)

@@ -49,7 +49,7 @@ def nearest(
 class SearchLimits:
     """Sizes that bound what tasks hold and pass on; none of them changes a result."""
 
-    broadcast_bytes: int = 512 << 20  # query vectors, filters, routes and top-k state of one wave, held by each task
+    broadcast_bytes: int = 64 << 20  # query vectors, filters, routes, top-k state and candidates of one wave, held by each task
     merge_width: int = 64  # tasks beyond this many pass their candidates through a middle level of the merge
     seed_one_in: int = 16  # with as many tasks, a sample of one row in so many bounds the queries first
 
@@ -113,10 +113,13 @@ def search(
             table = table.append_column("bound", pa.array([bound.get(q) for q in table.column("qid").to_pylist()], pa.float64()))
         return candidates(base, table, fan)
 
-    # the vector is held as float and double, and as a float matrix with one more column
-    per_query = 64 + 32 * k + 16 * F.size("vector") + 16 * F.coalesce(F.size(F.flatten("dnf")), F.lit(0))
+    # the vector is held as float, twice while queries are sorted, as double, and as a float matrix with one more column; beside
+    # the k best there are half as many candidates, three times while they are merged
+    per_query = 256 + 64 * k + 24 * F.size("vector") + 64 * F.coalesce(F.size(F.flatten("dnf")), F.lit(0))
     if "parts" in routing:
-        per_query = per_query + 24 * F.size("parts")
+        per_query = per_query + 48 * F.size("parts")
+    if "probes" in routing:  # a flag for each code of each table
+        per_query = per_query + 8 * F.size(F.flatten("probes")) + F.size("probes") * (1 + F.array_max(F.flatten("probes")))
     if "part_set" in routing:
         per_query = per_query + F.coalesce(F.octet_length("part_set"), F.lit(0))
     held = queries.agg(F.sum(per_query.cast("bigint"))).first()[0] or 0
@@ -155,7 +158,7 @@ def _prefiltered(base: DataFrame, table: pa.Table, attrs: Sequence[str], names:
         read = [names[i] for i in np.flatnonzero(np.unpackbits(together))]
     if read is not None:  # a constant list prunes folders before anything is read
         base = base.filter(F.col("part").isin(read)) if read else base.filter(F.lit(False))
-    forms = set(filter_forms(table))
+    forms = filter_forms(table)[0]
     if len(forms) <= most and None not in forms:
         base = base.filter(reduce(or_, [dnf_column(form, attrs) for form in forms], F.lit(False)))
     return base
@@ -190,21 +193,35 @@ def matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float32, copy=False)
 
 
-def filter_forms(table: pa.Table) -> list:
-    """The filters of the queries in hashable form; ``None`` is no filter."""
+def filter_forms(table: pa.Table, step: int = 1024) -> tuple[list, np.ndarray]:
+    """The distinct filters of the queries in hashable form, ``None`` being no filter, and the number of each query's own."""
     literals = lambda clause: tuple((l["attr"], l["neg"], l["value"]) for l in clause)
-    return [None if form is None else tuple(map(literals, form)) for form in table.column("dnf").to_pylist()]
+    forms: dict = {}
+    numbers = np.empty(table.num_rows, np.int64)
+    for s in range(0, table.num_rows, step):  # Python objects of a few queries at a time
+        for i, form in enumerate(table.column("dnf").slice(s, step).to_pylist(), s):
+            numbers[i] = forms.setdefault(None if form is None else tuple(map(literals, form)), len(forms))
+    return list(forms), numbers
 
 
 class QueryBlock:
     """Running top-k of a block of queries over the base rows of one task.
 
     A float32 matrix product rules rows out, with a margin that covers its rounding error; rows that
-    remain are measured in double precision, so results do not depend on how Spark cut the data.
+    remain are measured in double precision, so results do not depend on how Spark cut the data. What is
+    held beside the queries and their k best has a fixed size: a tile of rows meets ``ASKED`` queries and their filters at a time.
     """
 
+    ASKED, PRODUCT = 2048, 256  # queries whose filters are tested together, and those of one matrix product
+
     def __init__(self, table: pa.Table, names: Sequence[str] | None = None, *, k: int):
         self.k, self.n = k, table.num_rows
+        # queries with the same filter are neighbours and masked together
+        self.filters, numbers = filter_forms(table)
+        if len(self.filters) > 1:
+            order = np.argsort(numbers, kind="stable")
+            table, numbers = table.take(pa.array(order)), numbers[order]
+        self.filter_of = numbers
         self.qid = table.column("qid").to_numpy()
         self.vec = matrix(table.column("vector")).astype(np.float64)
         self.norm = np.einsum("ij,ij->i", self.vec, self.vec)
@@ -215,11 +232,6 @@ class QueryBlock:
         if "bound" in table.column_names:
             self.bound = pc.fill_null(table.column("bound"), np.inf).to_numpy().copy()
         self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        # queries with the same filter are masked together
-        keyed = filter_forms(table)
-        self.filters = list(dict.fromkeys(keyed))
-        where = {f: i for i, f in enumerate(self.filters)}
-        self.filter_of = np.array([where[f] for f in keyed], dtype=np.int64)
         self.routed = bool({"parts", "part_set"} & set(table.column_names))
         self.readers: dict = {}
         if "part_set" in table.column_names:
@@ -231,12 +243,13 @@ class QueryBlock:
             self.readers = self._readers(table)
         self.probed = None
         if "probes" in table.column_names:  # which codes of which table a query reads
-            codes = table.column("probes").to_pylist()
-            tables = len(codes[0]) if codes else 0
-            self.probed = np.zeros((self.n, tables, 1 + max((c for q in codes for t in q for c in t), default=0)), bool)
-            for t in range(tables):
-                for i, q in enumerate(codes):
-                    self.probed[i, t, q[t]] = True
+            per_query = table.column("probes").combine_chunks()
+            per_table = per_query.flatten()
+            codes = per_table.flatten().to_numpy(zero_copy_only=False)
+            tables = len(per_table) // self.n if self.n else 0
+            self.probed = np.zeros((self.n, tables, 1 + codes.max(initial=0)), bool)
+            owner = np.repeat(np.arange(len(per_table)), pc.list_value_length(per_table).to_numpy(zero_copy_only=False))
+            self.probed.reshape(len(per_table), -1)[owner, codes] = True
 
     @staticmethod
     def _readers(table: pa.Table) -> dict:
@@ -268,13 +281,14 @@ class QueryBlock:
             for start in range(0, len(rows) if len(asked) else 0, 4096):
                 tile = rows[start : start + 4096]
                 earlier = None if hashed is None else hashed[tile, : part >> 32]
-                self._tile(asked, ids[tile], vectors[tile], values[tile], earlier)
-
-    def _tile(self, asked, ids, vectors, values, earlier=None) -> None:
-        exact = vectors.astype(np.float64)
-        norms = np.einsum("ij,ij->i", exact, exact)
-        # one product gives 2 q.r - |r|^2, so a row is close enough where that reaches |q|^2 - bound
-        rows32 = np.column_stack([vectors, -norms]).astype(np.float32)
+                exact = vectors[tile].astype(np.float64)
+                norms = np.einsum("ij,ij->i", exact, exact)
+                # one product gives 2 q.r - |r|^2, so a row is close enough where that reaches |q|^2 - bound
+                rows32 = np.column_stack([vectors[tile], -norms]).astype(np.float32)
+                for s in range(0, len(asked), self.ASKED):
+                    self._tile(asked[s : s + self.ASKED], ids[tile], exact, norms, rows32, values[tile], earlier)
+
+    def _tile(self, asked, ids, exact, norms, rows32, values, earlier=None) -> None:
         used, group = np.unique(self.filter_of[asked], return_inverse=True)
         masks = self._masks(used, values)
         n_group, n_rows = np.bincount(group), masks.sum(axis=1)
@@ -282,20 +296,20 @@ class QueryBlock:
         if np.sum(n_group * n_rows + overhead) < len(asked) * len(ids):
             work = [(asked[group == g], np.flatnonzero(masks[g]), None, None) for g in range(len(used)) if n_rows[g]]
         else:
-            work = [(asked, np.arange(len(ids)), masks[group], n_rows[group])]
-        for queries, rows, mask, matches in work:
+            work = [(asked, np.arange(len(ids)), None if n_rows.min() == len(ids) else group, n_rows[group])]
+        for queries, rows, mask_of, matches in work:
             block = rows32[rows].T
             longest = norms[rows].max()
-            for s in range(0, len(queries), 1024):
-                q = queries[s : s + 1024]
+            for s in range(0, len(queries), self.PRODUCT):
+                q = queries[s : s + self.PRODUCT]
                 near = self.twice[q] @ block
-                passing = None if mask is None else mask[s : s + 1024]
+                passing = None if mask_of is None else masks[mask_of[s : s + self.PRODUCT]]
                 bound = self.bound[q]
                 scale = self.norm[q] + longest + np.where(np.isfinite(bound), bound, 0.0)
-                slack = scale * (vectors.shape[1] + 8) * 2.0**-22  # several times the rounding error
+                slack = scale * (exact.shape[1] + 8) * 2.0**-22  # several times the rounding error
                 limit = np.maximum(self.norm[q] - bound - slack, -np.finfo(np.float32).max)
                 # without a bound yet, the k-th best of a tile with plenty of matches is one
-                plenty = (len(rows) if matches is None else matches[s : s + 1024]) > 2 * self.k
+                plenty = (len(rows) if matches is None else matches[s : s + self.PRODUCT]) > 2 * self.k
                 first = np.flatnonzero(np.isinf(bound) & plenty)
                 if len(first):
                     seen = near[first] if passing is None else np.where(passing[first], near[first], -np.inf)
@@ -310,8 +324,8 @@ class QueryBlock:
                     new = ~self.probed[hit_q[:, None], np.arange(earlier.shape[1]), np.minimum(earlier[hit_r], self.probed.shape[2] - 1)].any(axis=1)
                     hit_q, hit_r = hit_q[new], hit_r[new]
                 self._measure(hit_q, hit_r, ids, exact)
-        if sum(len(f[0]) for f in self.found) >= max(50_000, self.n * self.k // 2):
-            self._merge()
+                if sum(len(f[0]) for f in self.found) >= max(50_000, self.n * self.k // 2):
+                    self._merge()
 
     def _masks(self, used, values) -> np.ndarray:
         """Which rows pass each of the filters; every distinct literal is tested once per tile."""
@@ -365,7 +379,7 @@ class QueryBlock:
     def results(self) -> Iterator[pa.RecordBatch]:
         if self.found:
             self._merge()
-        step = max(1, 1_000_000 // self.k)
+        step = max(1, 250_000 // self.k)
         for s in range(0, self.n, step):
             q, col = np.nonzero(np.isfinite(self.dist[s : s + step]))
             columns = [self.qid[s + q], self.ids[s + q, col], self.dist[s + q, col]]
