@@ -81,3 +81,12 @@ def test_the_query(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = sorted((tuple(r) for r in op13_repeated_windows(spark, str(tmp_path)).collect()), key=str)
     assert found == sorted(((d, n, g, hashlib.sha256(k.encode()).hexdigest()) for d, n, g, k in plain(rows, 20)), key=str)
+
+
+def test_one_large_step_does_not_widen_all():
+    values = np.cumsum(np.random.default_rng(5).integers(1, 1 << 15, 100_000)).astype(np.uint64)
+    narrow = len(pack_sorted(values))
+    values[50_000:] += np.uint64(1 << 40)
+    packed = pack_sorted(values)
+    assert (unpack_sorted(packed) == values).all()
+    assert len(packed) < 1.1 * narrow  # six bytes each before

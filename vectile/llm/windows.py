@@ -43,17 +43,22 @@ BLOCKS = "block long, n_words long, payload binary"
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
-    """Ascending whole numbers as differences of the fewest bytes that hold them all; the first byte says how many."""
+    """Ascending whole numbers as differences of the fewest bytes that hold them all, compressed.
+
+    Lowest bytes come first, then the next ones of all differences, so the few large differences that need one byte more cost little.
+    The first byte says how many there are, the next eight how many numbers.
+    """
     steps = np.diff(values.astype(np.uint64), prepend=np.uint64(0))
     width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    planes = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + len(steps).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(planes.tobytes(), asbytes=True)
 
 
 def unpack_sorted(packed: bytes) -> np.ndarray:
-    width = packed[0]
-    raw = np.frombuffer(packed, np.uint8, offset=1).reshape(-1, width)
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, :width] = raw
+    width, n = packed[0], int.from_bytes(packed[1:9], "little")
+    raw = pa.Codec("zstd").decompress(packed[9:], decompressed_size=width * n, asbytes=True)
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
     return np.cumsum(wide.view("<u8").ravel())
 
 
@@ -70,7 +75,7 @@ def _among(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
 def _packed_block(number: int, ids: list, texts: list[str], n_words: int, id_type: pa.DataType) -> pa.RecordBatch:
     rows = pa.record_batch([pa.array(ids, id_type), pa.array(texts, pa.large_string())], names=["doc_id", "text"])
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as out:
         out.write_batch(rows)
     return pa.record_batch([pa.array([number]), pa.array([n_words]), pa.array([sink.getvalue().to_pybytes()])], names=["block", "n_words", "payload"])
 
