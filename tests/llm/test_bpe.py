@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vectile.llm.bpe import Encoder, Vocabulary, decode_ids, encode_texts, round_trip
+from vectile.llm.bpe import Encoder, Vocabulary, WordMemory, decode_ids, encode_texts, round_trip
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [
@@ -73,3 +73,20 @@ def test_round_trip(spark, library):
 
 def test_empty_table(spark):
     assert round_trip(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_known_words_are_looked_up_once():
+    class Counted(str):
+        hashed = 0
+
+        def __hash__(self):
+            Counted.hashed += 1
+            return str.__hash__(self)
+
+    memory = WordMemory(1000)
+    words = [Counted(f"w{i}") for i in range(100)]
+    encode = lambda new: [w.encode() for w in new]
+    assert memory.ids_of(words, encode) == encode(words)
+    Counted.hashed = 0
+    assert memory.ids_of(words, lambda new: [w.encode() for w in new]) == encode(words)
+    assert Counted.hashed <= 200  # found, and noted as seen again

@@ -145,15 +145,20 @@ class WordMemory:
     def ids_of(self, words: list, encode: Callable[[list], list[bytes]]) -> list[bytes]:
         """The ids of each of ``words``, which are distinct; ``encode`` makes those of new ones."""
         known = self.known
-        new = [w for w in words if w not in known]
-        again = set(words).difference(new)
-        self.again |= again
+        found = list(map(known.get, words))  # the one look-up of most words
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        new = [words[i] for i in missing]
+        again = [w for w, ids in zip(words, found) if ids is not None]
+        self.again.update(again)
         if len(known) + len(new) > self.most:
             keep = self.again if len(self.again) + len(new) <= self.most // 2 else again
             known = self.known = {w: known[w] for w in keep}
             self.again = set()
-        known.update(zip(new, encode(new)))
-        return list(map(known.__getitem__, words))
+        coded = encode(new)
+        known.update(zip(new, coded))
+        for i, ids in zip(missing, coded):
+            found[i] = ids
+        return found
 
 
 def gather(found: list[bytes], order: np.ndarray, counts: np.ndarray) -> pa.ListArray:
