@@ -176,6 +176,27 @@ def test_a_tile_takes_no_more_memory_for_more_queries(filtered):
     assert peak(24_000) < peak(6_000) + 18_000 * 500  # candidates only; a byte for each row of the tile would be 4096
 
 
+def peak_of(block, batch):
+    tracemalloc.start()
+    block.add(batch)
+    used = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return used
+
+
+def test_a_task_that_reads_many_partitions_keeps_no_list_of_readers_for_each():
+    names, n = [f"p{i}" for i in range(512)], 4_000
+    lists = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.float32()))
+    rng = np.random.default_rng(4)
+    rows = len(names)
+    batch = pa.record_batch([pa.array(np.arange(rows)), lists(rng.random((rows, 2), dtype=np.float32)), pa.array([[]] * rows, pa.list_(pa.int32())), pa.array(names)], names=["id", "vector", "values", "part"])
+    table = pa.table({"qid": np.arange(n), "vector": lists(rng.random((n, 2), dtype=np.float32)), "dnf": pa.array([None] * n, pa.list_(pa.list_(pa.struct([("attr", pa.int32()), ("neg", pa.bool_()), ("value", pa.int32())])))), "part_set": pa.array([b"\xff" * 64] * n)})
+    block = QueryBlock(table, names, k=1)
+    assert peak_of(block, batch) < 8 * n * len(names) // 2  # lists for all partitions take 8 bytes a query and partition
+    (found,) = block.results()
+    assert found.num_rows == n
+
+
 def test_single_query(spark, sf):
     rows = base(spark, sf)
     catalog = Catalog.from_ranges(ATTRS, SIX_BOXES)

@@ -234,6 +234,7 @@ class QueryBlock:
         self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.routed = bool({"parts", "part_set"} & set(table.column_names))
         self.readers: dict = {}
+        self.place: dict = {}
         if "part_set" in table.column_names:
             self.place = {name: i for i, name in enumerate(names)}
             width = (len(names) + 7) // 8
@@ -261,9 +262,9 @@ class QueryBlock:
         return {name: owner[order[edges[i] : edges[i + 1]]] for i, name in enumerate(codes.dictionary.to_pylist())}
 
     def _who_reads(self, part) -> np.ndarray:
-        if part not in self.readers and hasattr(self, "place"):
-            at = self.place.get(part)
-            self.readers[part] = np.empty(0, np.int64) if at is None else np.flatnonzero(self.sets[:, at >> 3] & (0x80 >> (at & 7)))
+        at = self.place.get(part) if self.place else None
+        if at is not None:  # read off the bitmaps anew: kept lists would take a number per query and partition
+            return np.flatnonzero(self.sets[:, at >> 3] & (0x80 >> (at & 7)))
         return self.readers.get(part, np.empty(0, np.int64))
 
     def add(self, batch: pa.RecordBatch) -> None:
@@ -276,7 +277,7 @@ class QueryBlock:
         if self.routed:
             codes = batch.column("part").dictionary_encode()
             place = codes.indices.to_numpy()
-            groups = [(name, self._who_reads(name), np.flatnonzero(place == i)) for i, name in enumerate(codes.dictionary.to_pylist())]
+            groups = ((name, self._who_reads(name), np.flatnonzero(place == i)) for i, name in enumerate(codes.dictionary.to_pylist()))
         for part, asked, rows in groups:
             for start in range(0, len(rows) if len(asked) else 0, 4096):
                 tile = rows[start : start + 4096]
