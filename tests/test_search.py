@@ -197,6 +197,19 @@ def test_a_task_that_reads_many_partitions_keeps_no_list_of_readers_for_each():
     assert found.num_rows == n
 
 
+def test_copies_that_meet_in_many_hash_tables_are_compared_a_few_at_a_time():
+    n, rows, tables = 256, 4096, 40
+    lists = lambda m, kind: pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(kind))
+    same_vector = lambda m: lists(np.ones((m, 2), np.float32), pa.float32())
+    batch = pa.record_batch([pa.array(np.arange(rows)), same_vector(rows), pa.array([[]] * rows, pa.list_(pa.int32())), lists(np.zeros((rows, tables), np.int32), pa.int32()), pa.array([tables - 1 << 32] * rows)], names=["id", "vector", "values", "codes", "part"])
+    probes = pa.array([[[1]] * (tables - 1) + [[0]]] * n, pa.list_(pa.list_(pa.int32())))  # rows and queries share the last code only
+    table = pa.table({"qid": np.arange(n), "vector": same_vector(n), "dnf": pa.array([None] * n, pa.list_(pa.list_(pa.struct([("attr", pa.int32()), ("neg", pa.bool_()), ("value", pa.int32())])))), "probes": probes, "parts": pa.array([[tables - 1 << 32]] * n, pa.list_(pa.int64()))})
+    block = QueryBlock(table, k=3)
+    assert peak_of(block, batch) < 8 * n * rows * tables // 2  # a number for each pair and table
+    (found,) = block.results()
+    assert found.column("id").to_pylist() == [0, 1, 2] * n
+
+
 def test_single_query(spark, sf):
     rows = base(spark, sf)
     catalog = Catalog.from_ranges(ATTRS, SIX_BOXES)

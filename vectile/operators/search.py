@@ -321,10 +321,7 @@ class QueryBlock:
                     hit &= passing
                 hit_q, hit_r = np.divmod(np.flatnonzero(hit), len(rows))
                 hit_q, hit_r = q[hit_q], rows[hit_r]
-                if earlier is not None and earlier.shape[1] and len(hit_q):  # pairs that an earlier table has
-                    new = ~self.probed[hit_q[:, None], np.arange(earlier.shape[1]), np.minimum(earlier[hit_r], self.probed.shape[2] - 1)].any(axis=1)
-                    hit_q, hit_r = hit_q[new], hit_r[new]
-                self._measure(hit_q, hit_r, ids, exact)
+                self._measure(hit_q, hit_r, ids, exact, earlier)
                 if sum(len(f[0]) for f in self.found) >= max(50_000, self.n * self.k // 2):
                     self._merge()
 
@@ -341,9 +338,12 @@ class QueryBlock:
             masks[i] = True if dnf is None else np.logical_or.reduce(hold) if len(hold) > 1 else hold[0] if hold else False
         return masks
 
-    def _measure(self, q, r, ids, exact) -> None:
+    def _measure(self, q, r, ids, exact, earlier=None) -> None:
         for s in range(0, len(q), 4_096):
             part_q, part_r = q[s : s + 4_096], r[s : s + 4_096]
+            if earlier is not None and earlier.shape[1]:  # pairs that an earlier table has
+                new = ~self.probed[part_q[:, None], np.arange(earlier.shape[1]), np.minimum(earlier[part_r], self.probed.shape[2] - 1)].any(axis=1)
+                part_q, part_r = part_q[new], part_r[new]
             diff = exact.take(part_r, axis=0)
             diff -= self.vec.take(part_q, axis=0)
             dist = np.einsum("ij,ij->i", diff, diff)
